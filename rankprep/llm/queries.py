@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import op9_language_id
 from .mixing import mix_sql, op3_mix_sources
+from .substring_dedup import op6_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
+    "op6_substring_dedup": op6_substring_dedup,
     "op9_language_id": op9_language_id,
 }
 
