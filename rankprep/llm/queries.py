@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .language_id import op9_language_id
 from .mixing import mix_sql, op3_mix_sources
 from .substring_dedup import op6_substring_dedup
+from .suffix_dedup import op2_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op6_substring_dedup": op6_substring_dedup,
     "op9_language_id": op9_language_id,
