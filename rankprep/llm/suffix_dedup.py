@@ -164,12 +164,13 @@ def _large_bucket_repeats(blocks: DataFrame, length: int) -> DataFrame:
         has = lambda lo, hi: (F.length("lefts") >= lo) & (F.length("rights") >= F.lit(reach) - hi)
         key = lambda salt, parts: F.struct(F.xxhash64("h", "lo", "hi", F.lit(salt), *parts).alias("a"), F.xxhash64(F.lit(salt + 1), *reversed(parts), "h", "lo", "hi").alias("b"))
         todo = saved(todo.where(has(F.col("lo"), F.col("hi"))).withColumn("hull", F.when(has(F.col("hi"), F.col("lo")), key(1, hull))).withColumn("core", key(3, core)))
-        hulls = todo.where("hull IS NOT NULL").groupBy("hull").agg(F.count("*").alias("n_hull"))
+        hulls = todo.where("hull IS NOT NULL").groupBy("hull").agg(F.count("*").alias("n_hull"), F.min(F.struct("doc_id", "pos")).alias("least"))
         cores = todo.groupBy("core").agg(F.count("*").alias("n_core")).where("n_core > 1")
         seen = saved(todo.join(cores, "core").join(hulls, "hull", "left"))
         done = seen.where("n_hull > 1").select("doc_id", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("stop"))
         found = done if found is None else found.unionByName(done)
-        rest = seen.where("coalesce(n_hull, 1) = 1 AND lo < hi")
+        # one row of each hull goes on, as a partner for other hulls with the same core
+        rest = seen.where("lo < hi AND (hull IS NULL OR n_core > n_hull AND struct(doc_id, pos) = least)")
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         todo = rest.select("h", "doc_id", "pos", "lefts", "rights", F.explode(F.array(F.struct(F.col("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi")))).alias("o")).select("h", "doc_id", "pos", "lefts", "rights", "o.lo", "o.hi")
         if rest.isEmpty():
