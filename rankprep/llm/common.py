@@ -122,11 +122,21 @@ class Rolling:
         return mix((self.sums[k:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, U64)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of all rows: byte starts, byte ends, offsets of the rows in words, 64-bit hashes."""
+#: What parts words where punctuation doesn't count: ASCII but letters and digits.
+NOT_ALNUM = np.arange(256) < 128
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+
+
+def words(
+    data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes that are not ``between``; by default ``[^\\x20\\x09-\\x0D]+``) of all rows.
+
+    Byte starts, byte ends, offsets of the rows in words, 64-bit hashes.
+    """
     if lower:
         data = _LOWER[data]
-    ink = ~_SPACE[data]
+    ink = ~between[data]
     first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1]
     last[:-1] &= ~ink[1:]
