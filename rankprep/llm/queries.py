@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op1_decontaminate
 from .jaccard_join import op10_jaccard_join
 from .language_id import op9_language_id
 from .mixing import mix_sql, op3_mix_sources
@@ -13,6 +14,7 @@ from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op6_substring_dedup": op6_substring_dedup,
