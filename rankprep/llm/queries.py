@@ -10,6 +10,7 @@ from .decontaminate import op1_decontaminate
 from .jaccard_join import op10_jaccard_join
 from .language_id import op9_language_id
 from .mixing import mix_sql, op3_mix_sources
+from .personal_data import op7_personal_data
 from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
 
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_personal_data": op7_personal_data,
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
 }

@@ -85,3 +85,30 @@ def jaccard_components(rows, percent=85):
         links += [(a, b) for b, n in common.items() if 100 * n >= percent * (len(s) + len(sets[b]) - n)]
     root = components(sets, links)
     return [(d, len(sets[d]), root[d]) for d, _ in rows]
+
+
+def base_pii(text):
+    """n_email, n_ip, n_card, n_phone and the listed base spans."""
+
+    def luhn(d):
+        total = 0
+        for i, c in enumerate(reversed(d)):
+            v = int(c) * (2 if i % 2 else 1)
+            total += v - 9 if v > 9 else v
+        return total % 10 == 0
+
+    def digits(m):
+        return re.sub("[^0-9]", "", m)
+
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    ]
+    counts, spans = [], []
+    for kind, pattern, ok in rules:
+        own = [m for m in re.finditer(pattern, text or "") if ok(m.group(0))]
+        counts.append(len(own))
+        spans += [f"{kind}:{m.start()}:{m.end()}" for m in own]
+    return (*counts, ",".join(spans))
