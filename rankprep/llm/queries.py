@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_decontaminate
+from .embedding_dedup import op5_embedding_dedup
 from .jaccard_join import op10_jaccard_join
 from .language_id import op9_language_id
 from .mixing import mix_sql, op3_mix_sources
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_personal_data": op7_personal_data,
     "op9_language_id": op9_language_id,
