@@ -10,6 +10,7 @@ from .decontaminate import op1_decontaminate
 from .embedding_dedup import op5_embedding_dedup
 from .jaccard_join import op10_jaccard_join
 from .language_id import op9_language_id
+from .license_scan import op4_license_scan
 from .mixing import mix_sql, op3_mix_sources
 from .personal_data import op7_personal_data
 from .substring_dedup import op6_substring_dedup
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op4_license_scan": op4_license_scan,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_personal_data": op7_personal_data,
