@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, arrow_schema, as_batch, connected_components, joined_bytes, key_groups, map_arrow, mix, packed, saved, signed, text_slices, unpack, words
+from .common import U64, Rolling, arrow_schema, as_batch, connected_components, joined_bytes, key_groups, map_arrow, mix, packed, saved, signed, slices, text_slices, unpack, words
 
 #: Buckets of the frequency sketch: a fixed size, whatever the corpus.
 SKETCH_BITS = 22
@@ -32,6 +32,16 @@ def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray
     return out
 
 
+def packed_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
+    """The sets of packed texts, in slices."""
+    out = []
+    for a in range(0, len(texts), 100):
+        data, offsets = joined_bytes(unpack(texts[a : a + 100]))
+        for x, y in slices(offsets):
+            out += ngram_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], n)
+    return out
+
+
 def set_rows(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, s1, s2): size and 128-bit signature of each set; equal sets have equal signatures."""
 
@@ -147,7 +157,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in key_groups(batches, ["b", "block"], rows=1000):
             b, block, a, role = (np.asarray(table[c].combine_chunks()) for c in ("b", "block", "a", "role"))
-            sets = ngram_sets(*joined_bytes(unpack(table["packed"].to_pylist())), n)
+            sets = packed_sets(table["packed"].to_pylist(), n)
             edges = np.concatenate([[0], np.flatnonzero((b[1:] != b[:-1]) | (block[1:] != block[:-1])) + 1, [len(b)]]).tolist()
             keep = []
             for x, y in zip(edges[:-1], edges[1:], strict=True):
@@ -236,5 +246,20 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     return sets.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """``docs`` with one document of each near-duplicate class: the one whose doc_id is the component.
+
+    Of repeated rows of one doc_id one stays (the smallest text); rows with a null doc_id stay.
+    """
+    _, found = similar_classes(docs, n, percent)
+    kept = docs.join(found.where("component < doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    single = kept.join(twice, "doc_id").select(*docs.columns, first.alias("_nth")).where("_nth = 1").drop("_nth")
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(single)
+
+
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
