@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -222,21 +223,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min_w
     nothing is reported that the edit distance doesn't confirm. Null and empty texts hold nothing; repeated rows of
     documents or items are reported for each; empty tables give an empty result.
     """
-    items = benchmark.where("text IS NOT NULL").select("item_id", "text")
-    blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK))
     result = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        index = build_index(sorted((r["item_id"] or 0, r["text"]) for r in rows), rate, min_words, recall)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for shared in _indexes(benchmark, rate, min_words, recall):
 
         def find(batch: pa.RecordBatch, shared=shared) -> Iterator[dict]:
+            index = shared.value
             for a, b, data, offsets in text_slices(batch):
-                tokens, at = _tokens(data, offsets)
-                found = search(shared.value, tokens, at)
+                found = search(index, *_tokens(data, offsets))
                 if found:
                     row, item, edits, first, end = zip(*found, strict=True)
-                    index = shared.value
                     yield {"doc_id": batch.column(0).slice(a, b - a).take(pa.array(row)), "item_id": [index.ids[i] for i in item], "item_words": [len(index.tokens[i]) for i in item], "edits": list(edits), "first_word": list(first), "end_word": list(end)}
 
         found = map_arrow(docs.select("doc_id", "text"), find, "doc_id long, item_id long, item_words long, edits long, first_word long, end_word long")
@@ -244,6 +239,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min_w
     return result
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min_words: int = 5, recall: float = 0.99) -> DataFrame:
+    """``docs`` without the rows that hold a copy of an item, as ``contaminated`` finds them. Nothing is shuffled."""
+    place = docs.columns.index("text")
+    for shared in _indexes(benchmark, rate, min_words, recall):
+
+        def drop(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for a, _, data, offsets in text_slices(batch, batch.schema.names[place]):
+                    for row, *_ in search(shared.value, *_tokens(data, offsets)):
+                        keep[a + row] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(drop, docs.schema)
+    return docs
+
+
+def _indexes(benchmark: DataFrame, rate: float, min_words: int, recall: float) -> Iterator[Broadcast]:
+    """Broadcast indexes of blocks of at most about ITEMS_PER_BLOCK items; one, of no items, for an empty table."""
+    items = benchmark.where("text IS NOT NULL").select("item_id", "text")
+    blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK))
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+        index = build_index(sorted((r["item_id"] or 0, r["text"]) for r in rows), rate, min_words, recall)
+        yield benchmark.sparkSession.sparkContext.broadcast(index)
+
+
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

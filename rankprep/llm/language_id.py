@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import map_arrow, slices, text_bytes
+from .common import slices, text_bytes
 
 #: Bytes of a segment: states start anew at each segment, so a long text's positions run side by side.
 SEGMENT = 128
@@ -195,32 +197,39 @@ def fit(docs: DataFrame, rows_per_language: int = 400) -> Model:
     return train(*training_rows(docs, rows_per_language))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row.
+def with_language(docs: DataFrame, model: Model, label: str = "lang_pred", score: str = "score", keep_text: bool = True) -> DataFrame:
+    """``docs`` with the language of every whole text and its probability, in the columns ``label`` and ``score``.
 
     Every byte position of the whole text gets a distribution over the languages; a document's is their mean, its
     label the most likely (ties: the first by name). Null, empty and letterless texts get ``und`` with score 0.
-    Without anything learned all get ``und``; with one language learned all texts with letters get it.
+    Without anything learned all get ``und``; with one language learned all texts with letters get it. Repeated rows
+    each get a result, an empty table stays empty, other columns pass through.
     """
     names = model.languages
+    place = docs.columns.index("text")
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != place]
+    schema = StructType([*[docs.schema.fields[i] for i in kept], StructField(label, StringType()), StructField(score, DoubleType())])
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(place))
+            for a, b in slices(offsets):
+                part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                ok = _has_letter(part, own) if names else np.zeros(b - a, bool)
+                p = _pooled(model, part, own) if len(names) > 1 else np.ones((b - a, 1))
+                best = p.argmax(1)
+                found = [names[k] if good else UNKNOWN for k, good in zip(best, ok, strict=True)]
+                sure = np.where(ok, np.clip(p[np.arange(b - a), best], 0, 1), 0.0)
+                columns = [*[batch.column(i).slice(a, b - a) for i in kept], pa.array(found, pa.string()), pa.array(sure)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    return docs.mapInArrow(run, schema)
+
 
-    def label(batch: pa.RecordBatch) -> Iterator[dict]:
-        data, offsets = text_bytes(batch.column(1))
-        for a, b in slices(offsets):
-            part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            ok = _has_letter(part, own)
-            if len(names) > 1:
-                p = _pooled(model, part, own)
-            else:
-                p = np.ones((b - a, len(names)))
-            best = p.argmax(1) if names else np.zeros(b - a, int)
-            yield {
-                "doc_id": batch.column(0).slice(a, b - a),
-                "lang_pred": [names[k] if good and names else UNKNOWN for k, good in zip(best, ok, strict=True)],
-                "score": np.where(ok, np.clip(p[np.arange(b - a), best], 0, 1), 0.0) if names else np.zeros(b - a),
-            }
-
-    return map_arrow(docs.select("doc_id", "text"), label, "doc_id long, lang_pred string, score double")
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row."""
+    return with_language(docs.select("doc_id", "text"), model, keep_text=False)
 
 
 def held_out() -> Column:
