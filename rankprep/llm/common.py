@@ -206,19 +206,20 @@ def key_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 2
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed): the texts as zstandard frames, which is what travels where whole texts have to be shuffled."""
+def packed(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, packed, ...): the texts as zstandard frames, which is what travels where whole texts are shuffled."""
+    kinds = dict(docs.dtypes)
 
     def pack(batch: pa.RecordBatch) -> Iterator[dict]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1)
-        ids, texts = batch.column(0), batch.column(1).cast(pa.large_binary())
-        for a in range(0, len(ids), 1000):
+        texts = batch.column(1).cast(pa.large_binary())
+        for a in range(0, batch.num_rows, 1000):
             part = [None if x is None else squeeze.compress(x) for x in texts.slice(a, 1000).to_pylist()]
-            yield {"doc_id": ids.slice(a, 1000), "packed": part}
+            yield {"doc_id": batch.column(0).slice(a, 1000), "packed": part, **{c: batch.column(2 + i).slice(a, 1000) for i, c in enumerate(more)}}
 
-    return map_arrow(docs.select("doc_id", "text"), pack, "doc_id long, packed binary")
+    return map_arrow(docs.select("doc_id", "text", *more), pack, ", ".join(["doc_id long, packed binary", *[f"{c} {kinds[c]}" for c in more]]))
 
 
 def unpack(values: list[bytes | None]) -> list[bytes]:

@@ -13,6 +13,7 @@ from .language_id import op9_language_id
 from .license_scan import op4_license_scan
 from .mixing import mix_sql, op3_mix_sources
 from .personal_data import op7_personal_data
+from .quality import op8_quality
 from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
 
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_personal_data": op7_personal_data,
+    "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
 }
