@@ -68,7 +68,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKEN_ORDER = ["s", "doc", "sub", "at"]
 TOKENS = """texts AS (SELECT 0 AS s, doc_id AS doc, 0 AS sub, text FROM documents UNION ALL SELECT 1, conv_id, turn, text FROM conversations UNION ALL SELECT 2, item_id, 0, text FROM benchmark),
 listed AS (SELECT s, doc, sub, string_split(text, ' ') AS words FROM texts WHERE text IS NOT NULL),
-tok AS (SELECT s, doc, sub, unnest(range(0, len(words))) AS "at", unnest(words) AS token FROM listed)"""
+tok AS (SELECT s, doc, sub, unnest(range(0, len(words))) AS pl, unnest(words) AS token FROM listed)"""
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,7 +154,7 @@ ORACLE_SQL = {
     "j3_reindex_catalogue": "WITH d AS (SELECT doc_id AS id FROM documents UNION ALL SELECT -1), a AS (SELECT d.id, quality, toxic FROM d LEFT JOIN labels l ON l.doc_id = d.id) SELECT id, round(coalesce(quality, (SELECT avg(quality) FROM a))::double, 9) AS quality, coalesce(toxic, 0) AS toxic FROM a",
     "j4_attach_features": f"WITH {INTER} SELECT tie, user_id, item_id, c_nationkey AS nation, p_size AS size FROM inter LEFT JOIN customer ON c_custkey = user_id LEFT JOIN part ON p_partkey = item_id",
     "a1_build_dictionary": f"WITH {KCORE}, {_DICT.format(t='r6')} SELECT token, id FROM dict",
-    "a2_frequency_vocab": f"WITH {TOKENS}, c AS (SELECT token, count(*) AS freq, min((s, doc, sub, "at")) AS f FROM tok GROUP BY 1) SELECT token, row_number() OVER (ORDER BY freq DESC, f) AS id, freq FROM c",
+    "a2_frequency_vocab": f"WITH {TOKENS}, c AS (SELECT token, count(*) AS freq, min((s, doc, sub, pl)) AS f FROM tok GROUP BY 1) SELECT token, row_number() OVER (ORDER BY freq DESC, f) AS id, freq FROM c",
     "a6_history": f"WITH {INTER}, l AS (SELECT user_id, list(item_id ORDER BY ts, tie) AS items FROM inter GROUP BY 1) SELECT c_custkey AS id, coalesce(items, []) AS items, len(coalesce(items, []))::int AS n FROM customer LEFT JOIN l ON user_id = c_custkey",
     "a8_kcore": f"WITH {KCORE} SELECT user_id, item_id, rating, tie FROM r6",
     "a9_drop_duplicate_pairs": f"WITH {INTER} SELECT user_id, item_id, tie FROM inter QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts, tie) = 1",
