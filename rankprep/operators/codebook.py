@@ -114,11 +114,14 @@ def assign_codes(items: DataFrame, c0: np.ndarray, c1: np.ndarray) -> DataFrame:
     return a0.join(a1, "item_id")
 
 
-def item_weights(codes: DataFrame, mode: str = "count", freq: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
-    """``codes`` with ``weight``: 1, the item's popularity weight, exp(-|v|^2 / 2), or the product of the last two."""
+def item_weights(codes: DataFrame, mode: str = "count", freq: DataFrame | None = None, items: DataFrame | None = None, legacy_shift: bool = False) -> DataFrame:
+    """``codes`` with ``weight``: 1, the item's popularity weight, exp(-|v|^2 / 2), or the product of the last two.
+
+    With ``legacy_shift`` each item gets the popularity weight of the id before it, the first that of the pad (0).
+    """
     out = codes.withColumn("weight", F.lit(1.0))
     if "pop" in mode:
-        w = freq.select("item_id", F.col("weight").alias("_w"))
+        w = freq.select((F.col("item_id") + int(legacy_shift)).alias("item_id"), F.col("weight").alias("_w"))
         out = out.join(w, "item_id", "left").withColumn("weight", F.col("weight") * F.coalesce("_w", F.lit(0.0))).drop("_w")
     if "norm" in mode:
         w = items.select("item_id", F.exp(-0.5 * inner_product("vec", "vec")).alias("_w"))

@@ -363,3 +363,19 @@ def test_losses(spark):
     items = vectors(spark, [[1.0], [0.5], [-0.5], [0.0]])
     pos = spark.createDataFrame([(1, 1, 1.0), (1, 0, 0.0)], "row_id long, item_id long, score double")
     assert losses.full_softmax_loss(q, items, pos).first()[0] == pytest.approx(0.787339, abs=1e-6)
+
+
+def test_flags(spark):
+    codes = spark.createDataFrame([(1, 0, 0), (2, 0, 0)], "item_id long, k0 int, k1 int")
+    freq = spark.createDataFrame([(1, 5.0), (2, 7.0)], "item_id long, weight double")
+    weights = lambda **k: {r["item_id"]: r["weight"] for r in codebook.item_weights(codes, "pop", freq, **k).collect()}
+    assert weights() == {1: 5.0, 2: 7.0} and weights(legacy_shift=True) == {1: 0.0, 2: 5.0}
+    rows = split.leave_n_out(user(spark, 5), ["ts"])
+    assert [sorted(r["item_id"] for r in sequence.train_items(rows, ["ts"], f).collect()) for f in (False, True)] == [["b", "c"], ["a", "b", "c"]]
+    pos = spark.createDataFrame([(1, 1), (1, 0)], "query_id long, item_id long")
+    scored = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.0), (1, 0, 0.0)], "query_id long, item_id long, score double")
+    value = lambda *a, **k: {r["item_id"]: r["log_q"] for r in negatives.positive_log_q(pos, *a, **k).collect()}
+    assert value("uniform") == {1: 1.0, 0: 1.0} and value("hard") == {1: 0.0, 0: 0.0} and value("sphere") == {1: 0.0, 0: 0.0}
+    cdf = spark.createDataFrame([(1, 0.25)], "item_id long, prob double")
+    assert value("popular", cdf) == {1: math.log(0.25), 0: 0.0}
+    assert value("sphere", scored=scored, n=2, correct_pos=True)[1] == pytest.approx(math.log(2 * 101 / 103))
