@@ -15,6 +15,7 @@ from .common import U64, Rolling, arrow_schema, as_batch, connected_components,
 SKETCH_BITS = 22
 #: A posting group of at most so many members is compared pair by pair; larger ones go pivot by pivot.
 SMALL_GROUP = 64
+#: Pivots of a large group in the first round; each round has twice as many as the one before.
 PIVOTS = 16
 #: Candidates that one probe meets in one block.
 BLOCK = 128
@@ -76,7 +77,7 @@ def frequent_buckets(docs: DataFrame, n: int) -> np.ndarray:
                 buckets, times = np.unique((grams & U64(size - 1)).astype(np.int32), return_counts=True)
                 counts[buckets] += times.astype(np.int32)
                 total += len(grams)
-        out = np.flatnonzero(counts >= max(16, 4 * total / size))
+        out = np.flatnonzero(counts >= max(5, 4 * total / size))
         yield as_batch({"bucket": np.append(out, -1).astype(np.int32), "n": np.append(counts[out], total).astype(np.int64)}, target)
 
     counted = docs.select("doc_id", "text").mapInArrow(count, schema).groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -89,28 +90,34 @@ def frequent_buckets(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def prefix_rows(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(token, doc_id, n): the first n - ceil(n * percent / 100) + 1 n-grams of each set in the global order."""
+    """(token, doc_id, n, early): the first n - ceil(n * percent / 100) + 1 n-grams of each set in the global order.
+
+    ``early`` are those at which the set can first meet one of its size or larger and still reach the similarity: past
+    them too few n-grams remain. A pair is found where the smaller set is early, so groups without such members go.
+    """
     flags = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
     mask = U64(len(frequent) - 1)
 
     def emit(batch: pa.RecordBatch) -> Iterator[dict]:
         late = np.unpackbits(flags.value).astype(bool)
         for a, b, data, offsets in text_slices(batch):
-            tokens, sizes, times = [], [], []
+            tokens, sizes, times, early = [], [], [], []
             for s in ngram_sets(data, offsets, n):
                 k = len(s) and len(s) - (len(s) * percent + 99) // 100 + 1
                 last = late[s & mask]
                 own = np.concatenate([s[~last], s[last]])[:k] if last.any() else s[:k]
                 tokens.append(own)
                 times.append(len(own))
+                early.append((100 + percent) * (len(s) - np.arange(len(own))) >= 2 * percent * len(s))
                 sizes.append(len(s))
             yield {
                 "token": signed(np.concatenate(tokens)),
                 "doc_id": batch.column(0).slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), times))),
                 "n": np.repeat(np.array(sizes, np.int32), times),
+                "early": np.concatenate(early),
             }
 
-    return map_arrow(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), emit, "token long, doc_id long, n int")
+    return map_arrow(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), emit, "token long, doc_id long, n int, early boolean")
 
 
 def trie_join(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[bool]:
@@ -150,7 +157,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     schema = "a long, b long"
     target = arrow_schema(pairs.sparkSession, schema)
     order = Window.partitionBy("b").orderBy("a")
-    pairs = pairs.select("a", "b", F.floor((F.row_number().over(order) - 1) / BLOCK).alias("block"))
+    # written first: its size is known then, and where it is small the texts needn't be shuffled to meet it
+    pairs = saved(pairs.select("a", "b", F.floor((F.row_number().over(order) - 1) / BLOCK).alias("block")))
     probes = pairs.select("b", "block").distinct().join(texts.withColumnRenamed("doc_id", "b"), "b").select("b", "block", F.col("b").alias("a"), F.lit(0).alias("role"), "packed")
     members = pairs.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "block", "a", F.lit(1).alias("role"), "packed")
 
@@ -198,37 +206,45 @@ def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[Dat
     of = known.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     copies = saved(known.join(of, ["s1", "s2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
 
-    alike = Window.partitionBy("token")
-    rows = prefix_rows(docs, frequent_buckets(docs, n), n, percent).repartition("token")
-    rows = rows.withColumn("m", F.count("*").over(alike)).where("m > 1").drop("m")
-    rows = rows.join(copies.select(F.col("a").alias("doc_id"), "b"), "doc_id", "left_anti").repartition("token").dropDuplicates(["token", "doc_id"])
-    rows = rows.withColumn("m", F.count("*").over(alike)).withColumn("pivot", F.min(F.struct("doc_id", "n")).over(alike))
-    rows = saved(rows.where("m > 1").select("token", "doc_id", "n", F.col("pivot.doc_id").alias("p"), F.col("pivot.n").alias("pn")))
+    # groups are counted by aggregates and joined with one row each, so a frequent n-gram can be split over tasks
+    rows = prefix_rows(docs, frequent_buckets(docs, n), n, percent)
+    rows = rows.join(rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "token")
+    rows = saved(rows.join(copies.select(F.col("a").alias("doc_id"), "b"), "doc_id", "left_anti").dropDuplicates(["token", "doc_id"]))
+    groups = rows.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("pivot")).where("m > 1")
+    rows = saved(rows.join(groups, "token").select("token", "doc_id", "n", "early", F.col("pivot.doc_id").alias("p"), F.col("pivot.n").alias("pn")))
     texts = saved(packed(docs).join(rows.select("doc_id").distinct(), "doc_id"))
 
     first = rows.where("doc_id > p").where(_sizes_fit("n", "pn", percent)).groupBy("doc_id", "p", "n", "pn").agg(F.count("*").alias("c"))
     first = first.where(F.col("c") * 2 >= _needed("n", "pn", percent)).select(F.col("doc_id").alias("a"), F.col("p").alias("b"))
     links = saved(confirmed(first, texts, n, percent))
 
-    left = rows.select("token", "doc_id", "n")
+    left, n_pivots = rows.select("token", "doc_id", "n", "early"), PIVOTS
     while True:
         components = saved(connected_components(links))
         now = left.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        now = now.repartition("token").select("*", F.min("component").over(alike).alias("c0"), F.max("component").over(alike).alias("c1"), F.count("*").over(alike).alias("m"))
-        left = saved(now.where("c0 < c1").drop("c0", "c1"))
-        big = left.where(F.col("m") > SMALL_GROUP)
+        now = saved(now)
+        mixed = now.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m"), F.count_if("early").alias("k")).where("c0 < c1")
+        left = saved(now.join(mixed.select("token", "m", "k"), "token"))
+        big = left.where((F.col("m") > SMALL_GROUP) & F.col("early"))
         if big.isEmpty():
             break
         central = left.groupBy("doc_id").agg(F.sum("m").alias("weight"))
-        ranked = big.join(central, "doc_id").withColumn("rank", F.row_number().over(alike.orderBy(F.desc("weight"), "doc_id")))
-        pivots = saved(ranked.where(F.col("rank") <= PIVOTS).select("token", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc")))
-        pairs = big.join(pivots, "token").where("doc_id <> b AND component <> bc").where(_sizes_fit("n", "bn", percent)).select(F.col("doc_id").alias("a"), "b").distinct()
+        ranked = big.join(central, "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("weight"), "doc_id")))
+        pivots = saved(ranked.where(F.col("rank") <= n_pivots).select("doc_id").distinct())
+        own = left.join(pivots, "doc_id").select("token", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
+        pairs = left.join(own, "token").where("doc_id <> b AND component <> bc").where(_sizes_fit("n", "bn", percent)).groupBy("doc_id", "b", "n", "bn").agg(F.count("*").alias("c"))
+        pairs = pairs.where(F.col("c") >= _needed("n", "bn", percent)).select(F.col("doc_id").alias("a"), "b")
         links = saved(links.unionByName(confirmed(pairs, texts, n, percent)))
-        left = left.drop("m", "component").join(pivots.select("token", F.col("b").alias("doc_id")), ["token", "doc_id"], "left_anti")
+        n_pivots *= 2
+        # a pivot has met all that it shares an n-gram with
+        left = left.drop("m", "k", "component").join(pivots, "doc_id", "left_anti")
+    more = left.where(F.col("m") > SMALL_GROUP).groupBy("doc_id").agg(F.count("*").alias("more"))
+    left = saved(left.where(F.col("m") <= SMALL_GROUP).join(more, "doc_id", "left").fillna(0, ["more"]))
     x, y = left.alias("x"), left.alias("y")
     pairs = x.join(y, F.col("x.token") == F.col("y.token")).where("x.doc_id > y.doc_id AND x.component <> y.component")
-    pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn")).where(_sizes_fit("an", "bn", percent))
-    pairs = pairs.groupBy("a", "b", "an", "bn").agg(F.count("*").alias("c")).where(F.col("c") >= _needed("an", "bn", percent))
+    pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn"), F.least("x.more", "y.more").alias("more")).where(_sizes_fit("an", "bn", percent))
+    # what the two may share in the groups that are left out counts as shared, so the bound loses none
+    pairs = pairs.groupBy("a", "b", "an", "bn", "more").agg(F.count("*").alias("c")).where(F.col("c") + F.col("more") >= _needed("an", "bn", percent))
     links = saved(links.unionByName(confirmed(pairs.select("a", "b"), texts, n, percent)))
     found = connected_components(links.unionByName(copies)).select(F.col("id").alias("doc_id"), "component")
     return sets.select("doc_id", "n_shingles"), found
