@@ -17,7 +17,7 @@ from rankprep.llm.personal_data import find_personal_data, redacted
 from rankprep.llm.personal_data import fit as fit_personal_data
 
 #: Below this probability a text is taken to be in none of the learned languages.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
