@@ -15,6 +15,8 @@ from .common import arrow_schema, as_batch, connected_components, map_arrow, sav
 #: Length of a neighbour list, vectors of a leaf, vectors of a block when a component is compared as a whole.
 K, LEAF, CHUNK = 8, 256, 512
 SLACK = 1e-9
+#: True links of a class of the audit, from which on its share counts by itself; how far below the threshold its vectors' best go.
+LEAST_TRUE, MARGIN = 50, 0.1
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -129,53 +131,141 @@ def refine(graph: DataFrame, nodes: DataFrame, homes: DataFrame, k: int) -> Data
     return best_lists(graph.unionByName(found), k)
 
 
-def audit(nodes: DataFrame, links: DataFrame, members: DataFrame, threshold: float, sample: int = 128) -> float:
-    """Share of the true links of ``sample`` vectors, chosen by a hash, that are among the links (a, b) or join two
-    ``members`` (id, component) of one component, all of whose links are counted."""
-    rows = nodes.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(sample).collect()
+def audit(nodes: DataFrame, classes: DataFrame, links: DataFrame, members: DataFrame, threshold: float, sample: int = 64) -> float:
+    """Share of the true links of a sample that are among the links (a, b) or join two ``members`` (id, component) of one
+    component, all of whose links are counted.
+
+    The sample has ``sample`` vectors of each of the ``classes`` (id, class), chosen by a hash. The share is the lowest of
+    that of all and those of the classes with LEAST_TRUE true links at least.
+    """
+    dealt = Window.partitionBy("class").orderBy(F.xxhash64("id", F.lit("audit")), "id")
+    chosen = classes.withColumn("r", F.row_number().over(dealt)).where(F.col("r") <= sample).select("id", "class")
+    rows = nodes.join(chosen, "id").collect()
     known: dict[int, list] = {}
     for r in rows:
         known.setdefault(r["dim"], []).append(r)
-    asked = {d: (np.array([r["id"] for r in own]), np.frombuffer(b"".join(bytes(r["v"]) for r in own), np.float64).reshape(len(own), d)) for d, own in known.items()}
+    asked = {d: (np.array([r["id"] for r in own]), np.array([r["class"] for r in own]), np.frombuffer(b"".join(bytes(r["v"]) for r in own), np.float64).reshape(len(own), d)) for d, own in known.items()}
 
     def against(batch: pa.RecordBatch) -> Iterator[dict]:
         ids, dims, raw = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
-        for d, (q, x) in asked.items():
+        for d, (q, kind, x) in asked.items():
             own = np.flatnonzero(dims == d)
             y = np.frombuffer(b"".join(raw.take(pa.array(own)).to_pylist()), np.float64).reshape(len(own), d)
             i, j = np.nonzero(y @ x.T >= threshold)
             i, j = i[ids[own[i]] != q[j]], j[ids[own[i]] != q[j]]
-            yield {"a": ids[own[i]], "b": q[j]}
+            yield {"a": ids[own[i]], "b": q[j], "class": kind[j]}
 
-    true = saved(map_arrow(nodes, against, "a long, b long"))
-    total = true.count()
-    if not total:
-        return 1.0
+    true = saved(map_arrow(nodes, against, "a long, b long, class long"))
     ends = [members.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
-    within = true.join(links, ["a", "b"], "left_anti").join(ends[0], "a").join(ends[1], "b").where("ca = cb")
-    return (true.join(links, ["a", "b"], "left_semi").count() + within.count()) / total
+    marked = true.join(links.withColumn("linked", F.lit(1)), ["a", "b"], "left").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    found = F.col("linked").isNotNull() | F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))
+    counts = marked.groupBy("class").agg(F.count("*").alias("n"), F.sum(found.cast("long")).alias("f")).collect()
+    if not counts:
+        return 1.0
+    return min([sum(r["f"] for r in counts) / sum(r["n"] for r in counts), *[r["f"] / r["n"] for r in counts if r["n"] >= LEAST_TRUE]])
+
 
+def audit_classes(nodes: DataFrame, graph: DataFrame, components: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """(id, class): vectors by the magnitude of their component and by whether their list is full; those without a link by
+    whether their best neighbour is near the threshold."""
+    sizes = components.groupBy("component").agg(F.floor(F.log2(F.count("*"))).alias("class"))
+    grouped = components.join(sizes, "component").select("id", "class")
+    best = graph.groupBy(F.col("u").alias("id")).agg(F.max("s").alias("best"))
+    rows = nodes.select("id").join(grouped, "id", "left").join(best, "id", "left").join(full.select("id", F.lit(1).alias("full")), "id", "left")
+    single = F.when(F.col("best") >= threshold - MARGIN, -1).otherwise(-2)
+    return rows.select("id", (2 * F.coalesce("class", single) + F.coalesce("full", F.lit(0))).cast("long").alias("class"))
 
-def component_links(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(id, n): how many others of its component each vector links with, where lists would be too short to tell.
 
-    A component is compared chunk by chunk, whatever its size; only counts leave a task.
+def block_links(members: DataFrame, nodes: DataFrame, threshold: float, key: str = "component") -> DataFrame:
+    """(id, other, n): how many others with its ``key`` each vector of ``members`` (id, component, key) links with
+    (``other`` is null there), and for each component but its own that it links with a vector of that (``n`` is null).
+
+    What has one key is compared chunk by chunk, whatever its size; only counts and one link a component leave a task.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    rows = members.join(sizes, "component").join(nodes, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-    rows = saved(rows.select("component", "chunks", "chunk", "id", "v"))
+    sizes = members.groupBy(key).agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    rows = members.join(sizes, key).join(nodes.select("id", "v"), "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    rows = saved(rows.select(F.col(key).alias("place"), F.col("component").alias("own"), "chunks", "chunk", "id", "v"))
     left = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("side", F.lit(0))
     right = rows.withColumn("other", F.col("chunk")).drop("chunk").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("side", F.lit(1))
-    both = left.select("component", "chunk", "other", "side", "id", "v").unionByName(right.select("component", "chunk", "other", "side", "id", "v"))
+    both = left.select("place", "chunk", "other", "side", "own", "id", "v").unionByName(right.select("place", "chunk", "other", "side", "own", "id", "v"))
 
     def count(table: pa.Table) -> pa.Table:
         side, ids, x = np.asarray(table["side"].combine_chunks()), np.asarray(table["id"].combine_chunks()), _matrix(table["v"])
+        own = np.asarray(table["own"].combine_chunks())
         a, b = side == 0, side == 1
         near = (x[a] @ x[b].T >= threshold) & (ids[a][:, None] != ids[b][None])
-        return pa.table({"id": ids[a], "n": near.sum(1).astype(np.int64)})
+        i, j = np.nonzero(near & (own[a][:, None] != own[b][None]))
+        _, first = np.unique(np.stack([i, own[b][j]]), axis=1, return_index=True)
+        n = near.sum(1).astype(np.int64)
+        some, none = n > 0, np.zeros(len(first), bool)
+        ends = np.concatenate([np.zeros(some.sum(), np.int64), ids[b][j[first]]])
+        is_count = np.concatenate([some[some], none])
+        return pa.table({"id": np.concatenate([ids[a][some], ids[a][i[first]]]), "other": pa.array(ends, mask=is_count), "n": pa.array(np.concatenate([n[some], np.zeros(len(first), np.int64)]), mask=~is_count)})
+
+    return both.groupBy("place", "chunk", "other").applyInArrow(count, "id long, other long, n long")
+
+
+def counted(found: DataFrame) -> DataFrame:
+    return found.where("n IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def cells(full: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(cell, dim, component, id, radius, v): vectors of ``full`` (id, component) around one of them, the id of which is
+    the cell's name, at a cosine of ``threshold`` at least; ``radius`` is the angle to it."""
+    sizes = full.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    rows = full.join(sizes, "component").join(nodes, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+
+    def gather(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id").combine_chunks()
+        ids, x = np.asarray(table["id"].combine_chunks()), _matrix(table["v"])
+        lead, angle, free = np.full(len(ids), -1), np.zeros(len(ids)), np.ones(len(ids), bool)
+        while free.any():
+            at = int(np.argmax(free))
+            cosine = x @ x[at]
+            near = free & (cosine >= threshold)
+            near[at] = True
+            lead[near], angle[near], free[near] = at, np.arccos(np.clip(cosine[near], -1, 1)), False
+        return pa.table({"cell": ids[lead], "dim": table["dim"], "component": table["component"], "id": ids, "radius": angle, "v": table["v"]})
+
+    return rows.select("component", "chunk", "dim", "id", "v").groupBy("component", "chunk").applyInArrow(gather, "cell long, dim int, component long, id long, radius double, v binary")
+
+
+def links_across(full: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): a link of each two cells of vectors with full lists that are in different components and link.
+
+    Full lists may hide such links, however good they are. The cells' middles are all compared, blocks against blocks; by
+    the angles between them and their radii, two cells are left out where no pair can be near enough, else compared whole.
+    """
+    around = saved(cells(full, nodes, threshold))
+    middles = around.groupBy("cell", "dim", "component").agg(F.max("radius").alias("radius"), F.max(F.when(F.col("id") == F.col("cell"), F.col("v"))).alias("v"))
+    chunks = max(1, math.ceil(middles.count() / (4 * CHUNK)))
+    dealt = middles.withColumn("home", F.pmod(F.xxhash64("cell"), F.lit(chunks)))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    dealt = dealt.withColumn("low", F.least("home", "with")).withColumn("high", F.greatest("home", "with"))
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+
+    def near(table: pa.Table) -> pa.Table:
+        ids, own, home = (np.asarray(table[c].combine_chunks()) for c in ("cell", "component", "home"))
+        r, x = np.asarray(table["radius"].combine_chunks()), _matrix(table["v"])
+        a, b = home == table["low"][0].as_py(), home == table["high"][0].as_py()
+        most = np.minimum(r[a][:, None] + r[b][None] + reach, math.pi)
+        ok = (x[a] @ x[b].T >= np.cos(most) - 1e-9) & (own[a][:, None] != own[b][None])
+        i, j = np.nonzero(ok)
+        p, q = ids[a][i], ids[b][j]
+        return pa.table({"p": np.minimum(p, q), "q": np.maximum(p, q)})
+
+    pairs = dealt.select("dim", "low", "high", "home", "cell", "component", "radius", "v").groupBy("dim", "low", "high").applyInArrow(near, "p long, q long").distinct()
+    pairs = saved(pairs)
+    vectors = around.select("cell", "id", "v")
+    sides = [pairs.join(vectors.withColumnRenamed("cell", c), c).select("p", "q", F.lit(i).alias("side"), "id", "v") for i, c in enumerate("pq")]
+
+    def first(table: pa.Table) -> pa.Table:
+        side, ids, x = np.asarray(table["side"].combine_chunks()), np.asarray(table["id"].combine_chunks()), _matrix(table["v"])
+        a, b = side == 0, side == 1
+        i, j = np.nonzero(x[a] @ x[b].T >= threshold)
+        return pa.table({"a": ids[a][i[:1]], "b": ids[b][j[:1]]})
 
-    counted = both.groupBy("component", "chunk", "other").applyInArrow(count, "id long, n long")
-    return counted.groupBy("id").agg(F.sum("n").alias("n"))
+    return sides[0].unionByName(sides[1]).groupBy("p", "q").applyInArrow(first, "a long, b long")
 
 
 def near_duplicates(
@@ -185,8 +275,9 @@ def near_duplicates(
 
     Starts from the nearest vectors within random trees' leaves, refines the lists of ``k`` neighbours by neighbours of
     neighbours until a round finds hardly any new link, and audits the recall of a sample by brute force; if it is too
-    low, more trees and rounds follow. A list whose every entry is a link is saturated: the links of its whole component
-    are then counted by blocks instead. Labels are not looked at.
+    low, more trees and rounds follow, and in the end a comparison of all by blocks. A list whose every entry is a link is
+    saturated: links between saturated vectors of different components are looked for apart, and the links of their whole
+    components are counted by blocks instead. Labels are not looked at.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing, nor do vectors of different
     lengths; rows of one vec_id are one vector (the smallest) and get equal results; a null vec_id links with nothing and
@@ -215,12 +306,24 @@ def near_duplicates(
         links = saved(edges.select(F.col("u").alias("a"), F.col("w").alias("b")).unionByName(edges.select(F.col("w").alias("a"), F.col("u").alias("b"))).distinct())
         components = saved(connected_components(links))
         full = edges.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("u").alias("id"))
-        saturated = components.join(full, "id").select("component").distinct()
-        members = components.join(saturated, "component")
-        if attempt == 2 or audit(nodes, links, members, limit) >= recall:
+        full = saved(components.join(full, "id"))
+        across = saved(links_across(full, nodes, limit))
+        if not across.isEmpty():
+            components = saved(connected_components(links.unionByName(across)))
+        saturated = components.join(full.select("id"), "id").select("component").distinct()
+        members = saved(components.join(saturated, "component"))
+        good = audit(nodes, audit_classes(nodes, graph, components, full, limit), links, members, limit) >= recall
+        if good:
             break
     own = links.groupBy("a").agg(F.count("*").alias("n")).select(F.col("a").alias("id"), "n")
-    more = component_links(members, nodes, limit)
+    if good:
+        more = counted(block_links(members, nodes, limit))
+    else:
+        everyone = nodes.select("id", "dim").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        found = saved(block_links(everyone, nodes, limit, "dim"))
+        more = counted(found)
+        joins = found.where("n IS NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
+        components = saved(connected_components(joins.unionByName(components.select(F.col("id").alias("a"), F.col("component").alias("b")))))
     n_links = own.join(more.select("id", F.col("n").alias("m")), "id", "full").select("id", F.coalesce("m", "n").alias("n_links"))
     found = components.join(n_links, "id", "left").select(F.col("id").alias("vec_id"), "n_links", "component")
     component = F.coalesce("component", "vec_id")

@@ -267,6 +267,32 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def tight_groups(rng, singles=200, each=12, dim=32):
+    """Three times two groups at a cosine of 0.96 to each other, closer within than a list can show, and single vectors."""
+    x = [rng.normal(size=(singles, dim))]
+    for _ in range(3):
+        a, b = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+        for middle in (a, 0.96 * a + math.sqrt(1 - 0.96**2) * b):
+            x.append(middle + 0.0005 * rng.normal(size=(each, dim)))
+    x = np.concatenate(x)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    return x, near
+
+
+@pytest.mark.parametrize("recall", [0.98, 2.0])
+def test_embeddings_link_across_tight_groups(spark, recall):
+    """Also where the audit never passes (a recall above 1), so that all is compared."""
+    x, near = tight_groups(np.random.default_rng(4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, recall=recall).collect()}
+    comp = brute.components(range(len(x)), np.argwhere(near).tolist())
+    assert near.sum() >= 6 * 12 * 23
+    assert [got[i]["n_links"] for i in range(len(x))] == near.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(len(x))] == [comp[i] for i in range(len(x))]
+
+
 # ---- 7: personal data ------------------------------------------------------------------------------------------------
 
 
