@@ -239,6 +239,27 @@ def test_licenses(spark, docs):
     assert license_scan.scan_licenses(empty(docs)).count() == 0 and license_scan.scan_licenses(odd(spark)).count() == 0
 
 
+def test_licenses_are_all_found(spark):
+    """Several notices in one block or one long line, notices that begin before their cue, and broken cues."""
+    apache, mit, kept = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "All rights reserved."
+    long = "".join(f"{license_scan.TEMPLATES[n][0]} " for n in ("GPL-2.0", "LGPL-3.0", "MPL-2.0", "CC-BY-NC-4.0", "BSD", "CC0-1.0"))
+    cases = [
+        (f"{apache}\n{mit}\n{kept}", [("Apache-2.0", 0), ("MIT", 1), ("proprietary", 2)]),
+        (f"{mit} {kept} {mit}", [("MIT", 0), ("proprietary", 0), ("MIT", 0)]),
+        ("word " * 600 + apache + " word" * 100 + " " + mit + " word" * 600, [("Apache-2.0", 0), ("MIT", 0)]),
+        ("prose\nThis work is\nlicensed under the GNU General Public License, version 2.\nprose", [("GPL-2.0", 1)]),
+        ("prose\n# Permission\n# to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", [("ISC", 1)]),
+        (long, [(n, 0) for n in ("GPL-2.0", "LGPL-3.0", "MPL-2.0", "CC-BY-NC-4.0", "BSD", "CC0-1.0")]),
+        ("the license of birds\n" * 50, []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {i: [] for i in range(len(cases))}
+    for r in license_scan.scan_licenses(df).collect():
+        assert (r["missing"], r["extra"]) == ([], []) and r["reduction"] > 0
+        got[r["doc_id"]].append((r["license"], r["line"]))
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
 # ---- 5: embeddings ---------------------------------------------------------------------------------------------------
 
 
