@@ -37,7 +37,27 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/rankprep-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more: what was made of them has been saved itself."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._saved_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Up to so many ids (8 MB) are broadcast.
+FEW_IDS = 1_000_000
+
+
+def anti_join(df: DataFrame, ids: DataFrame, on: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose id is not among ``ids``; nothing is shuffled where the ids are counted to be few."""
+    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+    return df.join(F.broadcast(ids) if few else ids, on, "left_anti").select(*df.columns)
 
 
 # ---- text as arrays --------------------------------------------------------------------------------------------------
@@ -249,6 +269,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     before = None
     for _ in range(max_rounds):
+        last = e
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -260,6 +281,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
+        release(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break

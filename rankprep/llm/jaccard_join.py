@@ -1,4 +1,10 @@
-"""N-gram Jaccard join: prefixes of globally ordered n-gram sets find candidates, a prefix tree confirms them."""
+"""N-gram Jaccard join: globally ordered n-gram sets, stored in prefix trees that are traversed to find the pairs.
+
+Only n-grams that several documents hold can make an overlap, and almost all n-grams of prose are held by one. They are
+counted exactly, in sorted runs that travel as compressed blobs, and each document gets back those that it shares. Sets
+whose n-grams are ordered from rare to frequent then fall into small blocks by the n-grams of their prefixes; the sets of
+a block meet once, in one task, as a prefix tree.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +12,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, arrow_schema, as_batch, connected_components, joined_bytes, key_groups, map_arrow, mix, packed, saved, signed, slices, text_slices, unpack, words
+from .common import U64, Rolling, anti_join, arrow_schema, as_batch, connected_components, key_groups, map_arrow, mix, release, saved, signed, text_slices, words
 
-#: Buckets of the frequency sketch: a fixed size, whatever the corpus.
-SKETCH_BITS = 22
-#: A posting group of at most so many members is compared pair by pair; larger ones go pivot by pivot.
-SMALL_GROUP = 64
-#: Pivots of a large group in the first round; each round has twice as many as the one before.
-PIVOTS = 16
-#: Candidates that one probe meets in one block.
-BLOCK = 128
+#: n-grams are told apart by so many leading bits of their hashes.
+BITS = 56
+#: n-grams, and documents, that one task sorts at a time.
+RUN_GRAMS, RUN_DOCS = 1 << 19, 1 << 14
+#: A block of more sets or n-grams than these is dealt over several tasks, two parts of it to each.
+PART_SETS, PART_GRAMS = 4000, 2_000_000
+#: (probe, n-gram) cells, and (path, n-gram) look-ups, in memory at a time.
+CELLS, LOOKUPS = 1 << 25, 1 << 21
 
 
 def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -33,16 +40,6 @@ def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray
     return out
 
 
-def packed_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
-    """The sets of packed texts, in slices."""
-    out = []
-    for a in range(0, len(texts), 100):
-        data, offsets = joined_bytes(unpack(texts[a : a + 100]))
-        for x, y in slices(offsets):
-            out += ngram_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], n)
-    return out
-
-
 def set_rows(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, s1, s2): size and 128-bit signature of each set; equal sets have equal signatures."""
 
@@ -58,195 +55,378 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), emit, "doc_id long, n_shingles long, s1 long, s2 long")
 
 
-def frequent_buckets(docs: DataFrame, n: int) -> np.ndarray:
-    """Buckets of n-gram hashes that hold well over an even share of all n-grams of all documents.
+# ---- n-grams that several documents hold -----------------------------------------------------------------------------
 
-    The flags only set the global order (frequent n-grams last), which any fixed choice keeps exact. Tasks report just
-    the buckets that stand out, so at most a quarter of the ``2**SKETCH_BITS`` buckets ever reach the driver.
-    """
-    size = 1 << SKETCH_BITS
-    schema = "bucket int, n long"
-    target = arrow_schema(docs.sparkSession, schema)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(size, np.int32), 0
-        for batch in batches:
-            for _, _, data, offsets in text_slices(batch):
-                _, _, at, hashes = words(data, offsets, lower=True)
-                grams = Rolling(hashes).windows(n)
-                buckets, times = np.unique((grams & U64(size - 1)).astype(np.int32), return_counts=True)
-                counts[buckets] += times.astype(np.int32)
-                total += len(grams)
-        out = np.flatnonzero(counts >= max(5, 4 * total / size))
-        yield as_batch({"bucket": np.append(out, -1).astype(np.int32), "n": np.append(counts[out], total).astype(np.int64)}, target)
-
-    counted = docs.select("doc_id", "text").mapInArrow(count, schema).groupBy("bucket").agg(F.sum("n").alias("n"))
-    total = counted.where("bucket = -1").first()
-    out = np.zeros(size, bool)
-    if total is not None:
-        often = max(64.0, 4.0 * total["n"] / size)
-        out[[r["bucket"] for r in counted.where((F.col("bucket") >= 0) & (F.col("n") >= often)).select("bucket").collect()]] = True
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers as one zstandard frame, byte by byte of their places, which is what compresses."""
+    import zstandard
+
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unsqueezed(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    rows, at, out = len(raw) // sum(widths), 0, []
+    for kind, width in zip(kinds, widths, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + rows * width].reshape(width, rows).T).view(kind).reshape(rows))
+        at += rows * width
     return out
 
 
-def prefix_rows(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(token, doc_id, n, early): the first n - ceil(n * percent / 100) + 1 n-grams of each set in the global order.
+def steps(grams: np.ndarray) -> np.ndarray:
+    """Ascending numbers as the first and the steps between them; ``np.cumsum`` takes it back."""
+    return np.diff(grams, prepend=U64(0))
 
-    ``early`` are those at which the set can first meet one of its size or larger and still reach the similarity: past
-    them too few n-grams remain. A pair is found where the smaller set is early, so groups without such members go.
-    """
-    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
-    mask = U64(len(frequent) - 1)
 
-    def emit(batch: pa.RecordBatch) -> Iterator[dict]:
-        late = np.unpackbits(flags.value).astype(bool)
-        for a, b, data, offsets in text_slices(batch):
-            tokens, sizes, times, early = [], [], [], []
-            for s in ngram_sets(data, offsets, n):
-                k = len(s) and len(s) - (len(s) * percent + 99) // 100 + 1
-                last = late[s & mask]
-                own = np.concatenate([s[~last], s[last]])[:k] if last.any() else s[:k]
-                tokens.append(own)
-                times.append(len(own))
-                early.append((100 + percent) * (len(s) - np.arange(len(own))) >= 2 * percent * len(s))
-                sizes.append(len(s))
-            yield {
-                "token": signed(np.concatenate(tokens)),
-                "doc_id": batch.column(0).slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), times))),
-                "n": np.repeat(np.array(sizes, np.int32), times),
-                "early": np.concatenate(early),
-            }
-
-    return map_arrow(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), emit, "token long, doc_id long, n int, early boolean")
-
-
-def trie_join(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[bool]:
-    """Which of the sorted sets reach the similarity with the sorted probe.
-
-    The sets in lexical order are the depth-first order of their path-compressed prefix tree: what a set shares with the
-    one before it is a path that has been walked, and the overlaps counted along it are taken over. A branch is left as
-    soon as its overlap and the shorter of the remaining lengths can't reach the overlap that is needed.
+def _runs(docs: DataFrame, n: int, buckets: int) -> DataFrame:
+    """(bucket, run, role, blob): sorted n-grams of a run of documents, by bucket (role 0); the run's documents (role 1)."""
+    schema = "bucket int, run long, role int, blob binary"
+    target = arrow_schema(docs.sparkSession, schema)
+    edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**BITS / buckets)).astype(U64)
+
+    def cut(ids: list[np.ndarray], sets: list[np.ndarray], run: int) -> pa.RecordBatch:
+        sizes = np.array([len(s) for s in sets])
+        grams = np.concatenate(sets) >> U64(64 - BITS)
+        order = np.argsort(grams, kind="stable")
+        grams, own = grams[order], np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)[order]
+        at = np.concatenate([[0], np.searchsorted(grams, edges), [len(grams)]])
+        some = np.flatnonzero(at[1:] > at[:-1])
+        blobs = [squeezed(steps(grams[at[i] : at[i + 1]]), own[at[i] : at[i + 1]]) for i in some.tolist()]
+        blobs.append(squeezed(np.concatenate(ids).astype(np.int64), sizes.astype(np.int32)))
+        return as_batch({"bucket": np.append(some, run % buckets), "run": np.full(len(blobs), run), "role": np.append(np.zeros(len(some), np.int32), 1), "blob": pa.array(blobs, pa.binary())}, target)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, ids, sets, grams = TaskContext.get().partitionId() << 24, [], [], 0
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch):
+                own = ngram_sets(data, offsets, n)
+                some = np.array([len(s) > 0 for s in own], bool)
+                ids.append(np.asarray(batch.column(0).slice(a, b - a))[some])
+                sets += [s for s in own if len(s)]
+                grams += sum(map(len, own))
+                if sets and (grams >= RUN_GRAMS or len(sets) >= RUN_DOCS):
+                    yield cut(ids, sets, run)
+                    run, ids, sets, grams = run + 1, [], [], 0
+        if sets:
+            yield cut(ids, sets, run)
+
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(emit, schema)
+
+
+def _answered(runs: DataFrame) -> DataFrame:
+    """(run, role, blob): of each run and bucket the n-grams that other documents hold too, with how many do."""
+    schema = "run long, role int, blob binary"
+    target = arrow_schema(runs.sparkSession, schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in key_groups(batches, ["bucket"], rows=1):
+            bucket, run, role = (np.asarray(table[c].combine_chunks()) for c in ("bucket", "run", "role"))
+            for b in np.unique(bucket).tolist():
+                at = np.flatnonzero((bucket == b) & (role == 0)).tolist()
+                out: list[tuple[int, int, bytes]] = [(int(run[i]), 1, table["blob"][i].as_py()) for i in np.flatnonzero((bucket == b) & (role == 1)).tolist()]
+                if at:
+                    parts = [unsqueezed(table["blob"][i].as_py(), "<u8", "<u4") for i in at]
+                    own = [p[1] for p in parts]
+                    edge = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+                    grams = np.concatenate([np.cumsum(p[0]) for p in parts])
+                    order = np.argsort(grams, kind="stable")
+                    low = grams[order]
+                    new = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+                    times = np.diff(np.append(new, len(low)))
+                    held = np.empty(len(low), np.int64)
+                    held[order] = np.repeat(times, times)
+                    for k, i in enumerate(at):
+                        x = slice(edge[k], edge[k + 1])
+                        some = held[x] > 1
+                        if some.any():
+                            out.append((int(run[i]), 0, squeezed(steps(grams[x][some]), own[k][some], np.minimum(held[x][some], 65535).astype(np.uint16))))
+                if out:
+                    r, kind, blob = zip(*out, strict=True)
+                    yield as_batch({"run": list(r), "role": list(kind), "blob": pa.array(blob, pa.binary())}, target)
+
+    return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, schema)
+
+
+def shared_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, n, prefix, grams) of the documents that may be similar to another one.
+
+    ``grams`` are the n-grams of the set that other documents hold too (a blob of ascending hashes), ``n`` is the size
+    of the whole set. ``prefix`` are those among the first n - ceil(n * percent / 100) + 1 in the global order, by number
+    of holders, then hash; n-grams of one holder come first and match nothing, so where they fill the prefix the
+    document is left out.
     """
-    linked = [False] * len(sets)
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-    path, overlap = probe[:0], np.zeros(1, np.int64)  # overlap[d]: of the first d tokens of the path, as far as walked
-    for i in order:
-        s = sets[i]
-        need = -(-percent * (len(s) + len(probe)) // (100 + percent))
-        k = min(len(path), len(s))
-        differ = np.flatnonzero(path[:k] != s[:k])
-        depth = min(int(differ[0]) if len(differ) else k, len(overlap) - 1)
-        walked = [overlap[: depth + 1]]
-        now = int(overlap[depth])
-        while depth < len(s):
-            left = min(len(s) - depth, len(probe) - int(np.searchsorted(probe, s[depth])))
-            if now + left < need:
+    spark = docs.sparkSession
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = "doc_id long, n int, prefix array<bigint>, grams binary"
+    target = arrow_schema(spark, schema)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in key_groups(batches, ["run"], rows=1):
+            run, role = (np.asarray(table[c].combine_chunks()) for c in ("run", "role"))
+            for r in np.unique(run).tolist():
+                at = np.flatnonzero((run == r) & (role == 0)).tolist()
+                head = np.flatnonzero((run == r) & (role == 1)).tolist()
+                if not at:
+                    continue
+                ids, size = unsqueezed(table["blob"][head[0]].as_py(), "<i8", "<i4")
+                parts = [unsqueezed(table["blob"][i].as_py(), "<u8", "<u4", "<u2") for i in at]
+                grams, own, held = np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+                order = np.lexsort((grams, held, own))
+                grams, edge = grams[order], np.searchsorted(own[order], np.arange(len(ids) + 1))
+                size = size.astype(np.int64)
+                left = edge[1:] - edge[:-1] - (size * percent + 99) // 100 + 1
+                live = np.flatnonzero(left > 0).tolist()
+                if live:
+                    yield as_batch(
+                        {
+                            "doc_id": ids[live],
+                            "n": size[live].astype(np.int32),
+                            "prefix": [signed(grams[edge[i] : edge[i] + left[i]]) for i in live],
+                            "grams": pa.array([squeezed(steps(np.sort(grams[edge[i] : edge[i + 1]]))) for i in live], pa.binary()),
+                        },
+                        target,
+                    )
+
+    return _answered(_runs(docs, n, buckets)).repartition("run").sortWithinPartitions("run").mapInArrow(gather, schema)
+
+
+# ---- the prefix tree -------------------------------------------------------------------------------------------------
+
+
+class Trie:
+    """The prefix tree of ordered sets; a node is a stretch of a path, its sets are a range of the sets in lexical order.
+
+    Stretches get longer with depth (8, 8, 16, 32, ... n-grams), so long sets have few levels.
+    """
+
+    def __init__(self, grams: np.ndarray, at: np.ndarray, size: np.ndarray, turn: np.ndarray):
+        self.grams, self.at, self.size, self.turn = grams, at, size, turn
+        length = np.diff(at)
+        n = len(length)
+        common = np.zeros(n, np.int64)
+        for i in range(1, n):
+            a, b = grams[at[i - 1] : at[i]], grams[at[i] : at[i + 1]]
+            k = min(len(a), len(b))
+            differ = a[:k] != b[:k]
+            common[i] = int(np.argmax(differ)) if differ.any() else k
+        equal = np.zeros(n, bool)
+        equal[1:] = (common[1:] == length[1:]) & (length[1:] == length[:-1])
+        self.levels = []
+        start, end = 0, 8
+        while start < int(length.max(initial=0)):
+            own = np.flatnonzero(length > start)
+            first = np.flatnonzero((common[own] < end) & ~equal[own])
+            last = np.append(first[1:], len(own)) - 1
+            low = own[first]
+            ends = np.add.reduceat((length[own] <= end).astype(np.int64), first)
+            self.levels.append(
+                {
+                    "sets": own, "first": first, "low": low, "high": own[last] + 1, "ends": ends, "from": at[low] + start, "to": np.minimum(at[low] + end, at[low + 1]),
+                    "least": np.minimum.reduceat(size[own], first), "most": np.maximum.reduceat(size[own], first),
+                    "left": np.maximum(np.maximum.reduceat(length[own], first) - end, 0), "turn": np.maximum.reduceat(turn[own], first),
+                }
+            )
+            start, end = end, 2 * end
+
+    def links(self, probes: np.ndarray, label: np.ndarray, percent: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (probe, set) that reach the similarity, among sets of a later turn; not all of those with one label.
+
+        All probes go down together, level by level. What a path has in common with a probe is counted once for all sets
+        below it. A branch is left where its sets are of one label, the probe's, or had their turn, or where the overlap so
+        far and the shorter of the remaining lengths can't reach what the smallest set below needs.
+        """
+        at, size = self.at, self.size
+        inside = np.zeros((len(probes), width), bool)
+        for k, x in enumerate(probes.tolist()):
+            inside[k, self.grams[at[x] : at[x + 1]]] = True
+        keys = np.concatenate([k * width + self.grams[at[x] : at[x + 1]] for k, x in enumerate(probes.tolist())])
+        key_end = np.cumsum([at[x + 1] - at[x] for x in probes.tolist()])
+        p, v = np.repeat(np.arange(len(probes)), len(self.levels[0]["low"])), np.tile(np.arange(len(self.levels[0]["low"])), len(probes))
+        o = np.zeros(len(p), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for depth, level in enumerate(self.levels):
+            one = np.minimum.reduceat(label[level["sets"]], level["first"])
+            one = np.where(one == np.maximum.reduceat(label[level["sets"]], level["first"]), one, -1)
+            x = probes[p]
+            ok = (level["turn"][v] > self.turn[x]) & (one[v] != label[x]) & (level["most"][v] * 100 >= percent * size[x]) & (size[x] * 100 >= percent * level["least"][v])
+            p, v, o = p[ok], v[ok], o[ok]
+            if not len(p):
+                break
+            spans = level["to"][v] - level["from"][v]
+            cuts = np.searchsorted(np.cumsum(spans), np.arange(LOOKUPS, int(spans.sum()) + LOOKUPS, LOOKUPS), "right")
+            kept = []
+            for a, b in zip(np.append(0, cuts[:-1]).tolist(), cuts.tolist(), strict=True):
+                b = max(b, a)
+                if a == b:
+                    continue
+                q, w, span = p[a:b], v[a:b], spans[a:b]
+                begin = np.cumsum(span) - span
+                place = np.repeat(level["from"][w] - begin, span) + np.arange(int(span.sum()))
+                over = o[a:b] + np.add.reduceat(inside[np.repeat(q, span), self.grams[place]], begin, dtype=np.int64)
+                own = probes[q]
+                rest = key_end[q] - np.searchsorted(keys, q * width + self.grams[level["to"][w] - 1], "right")
+                smallest = np.maximum(level["least"][w], -(-percent * size[own] // 100))
+                need = -(-percent * (size[own] + smallest) // (100 + percent))
+                go = over + np.minimum(rest, level["left"][w]) >= need
+                q, w, over, own = q[go], w[go], over[go], own[go]
+                ends = level["ends"][w]
+                if ends.any():
+                    y = np.repeat(level["low"][w] - (np.cumsum(ends) - ends), ends) + np.arange(int(ends.sum()))
+                    x, both = np.repeat(own, ends), np.repeat(over, ends)
+                    hit = (100 * both >= percent * (size[x] + size[y] - both)) & (self.turn[y] > self.turn[x])
+                    found.append((x[hit], y[hit]))
+                more = level["high"][w] - level["low"][w] > ends
+                kept.append((q[more], w[more], over[more]))
+            if depth + 1 == len(self.levels):
                 break
-            part = s[depth : depth + 64]
-            at = np.minimum(np.searchsorted(probe, part), len(probe) - 1)
-            walked.append(now + np.cumsum(probe[at] == part))
-            now = int(walked[-1][-1])
-            depth += len(part)
-        path, overlap = s, np.concatenate(walked)
-        linked[i] = depth == len(s) and now >= need > 0
-    return linked
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose texts' sets are similar enough; b is the probe, in blocks of its candidates."""
+            q, w, over = (np.concatenate(c) for c in zip(*kept, strict=True))
+            below = self.levels[depth + 1]["low"]
+            first = np.searchsorted(below, level["low"][w])
+            children = np.searchsorted(below, level["high"][w]) - first
+            p, o = np.repeat(q, children), np.repeat(over, children)
+            v = np.repeat(first - (np.cumsum(children) - children), children) + np.arange(int(children.sum()))
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(c) for c in zip((none, none), *found, strict=True))
+
+
+def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels after the links (x, y): the smallest of each component."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while root.get(i, i) != i:
+            root[i] = root.get(root[i], root[i])
+            i = root[i]
+        return i
+
+    for a, b in np.unique(np.stack([label[x], label[y]], 1), axis=0).tolist():
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    old = np.array(list(root), np.int64)
+    if not len(old):
+        return label
+    to = np.arange(len(label))
+    to[old] = [find(i) for i in old.tolist()]
+    return to[label]
+
+
+def block_labels(sets: list[np.ndarray], size: np.ndarray, percent: int) -> np.ndarray:
+    """For each set of shared n-grams the first set of its component. ``size`` counts the n-grams not shared, too.
+
+    The n-grams are ordered anew, by how many sets of the block hold them. The sets take turns as probes, the most
+    central first, which soon gives most members of a class of near copies one label.
+    """
+    label = np.arange(len(sets))
+    flat = np.concatenate(sets)
+    own = np.repeat(label, [len(s) for s in sets])
+    _, inverse, held = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(held), np.int64)
+    rank[np.lexsort((np.arange(len(held)), held))] = np.arange(len(held))
+    center = np.bincount(own, weights=held[inverse], minlength=len(sets)) / size
+    shared = held[inverse] > 1
+    flat, own = rank[inverse[shared]] - int((held == 1).sum()), own[shared]
+    width = int((held > 1).sum())
+    fits = np.bincount(own, minlength=len(sets)) * 100 >= percent * size  # a partner has percent of this set at least
+    keys = np.sort((own * width + flat)[fits[own]])
+    own, flat = keys // max(1, width), keys % max(1, width)
+    edge = np.searchsorted(own, np.arange(len(sets) + 1))
+    lexical = sorted(np.flatnonzero(fits).tolist(), key=lambda i: flat[edge[i] : edge[i + 1]].astype(">u4").tobytes())
+    if len(lexical) < 2:
+        return label
+    order = np.array(lexical)
+    at = np.concatenate([[0], np.cumsum(edge[order + 1] - edge[order])])
+    turn = np.empty(len(order), np.int64)
+    turn[np.lexsort((np.arange(len(order)), -center[order]))] = np.arange(len(order))
+    trie = Trie(np.concatenate([flat[edge[i] : edge[i + 1]] for i in lexical]), at, size[order], turn)
+    by_turn = np.argsort(turn)
+    inner, done, step = np.arange(len(order)), 0, 1
+    while done < len(order) and inner.any():
+        x, y = trie.links(by_turn[done : done + step], inner, percent, width)
+        inner = _joined(inner, x, y)
+        done, step = done + step, min(4 * step, 256, max(1, CELLS // width))
+    # from places in lexical order to the first of each component
+    first = np.full(len(order), len(sets))
+    np.minimum.at(first, inner, order)
+    label[order] = first[inner]
+    return label
+
+
+def block_links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each document of (block, part, doc_id, n, grams) with the smallest that links reach in its part."""
     schema = "a long, b long"
-    target = arrow_schema(pairs.sparkSession, schema)
-    order = Window.partitionBy("b").orderBy("a")
-    # written first: its size is known then, and where it is small the texts needn't be shuffled to meet it
-    pairs = saved(pairs.select("a", "b", F.floor((F.row_number().over(order) - 1) / BLOCK).alias("block")))
-    probes = pairs.select("b", "block").distinct().join(texts.withColumnRenamed("doc_id", "b"), "b").select("b", "block", F.col("b").alias("a"), F.lit(0).alias("role"), "packed")
-    members = pairs.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "block", "a", F.lit(1).alias("role"), "packed")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in key_groups(batches, ["b", "block"], rows=1000):
-            b, block, a, role = (np.asarray(table[c].combine_chunks()) for c in ("b", "block", "a", "role"))
-            sets = packed_sets(table["packed"].to_pylist(), n)
-            edges = np.concatenate([[0], np.flatnonzero((b[1:] != b[:-1]) | (block[1:] != block[:-1])) + 1, [len(b)]]).tolist()
-            keep = []
-            for x, y in zip(edges[:-1], edges[1:], strict=True):
-                if role[x] == 0:
-                    own = [i for i in range(x + 1, y) if role[i] == 1]
-                    keep += [i for i, ok in zip(own, trie_join(sets[x], [sets[i] for i in own], percent), strict=True) if ok]
-            if keep:
-                yield as_batch({"a": a[keep], "b": b[keep]}, target)
-
-    rows = probes.unionByName(members).repartition("b", "block").sortWithinPartitions("b", "block", "role", "a")
-    return rows.mapInArrow(check, schema)
+    target = arrow_schema(members.sparkSession, schema)
 
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in key_groups(batches, ["block", "part"], rows=2000):
+            block, part, ids, size = (np.asarray(table[c].combine_chunks()) for c in ("block", "part", "doc_id", "n"))
+            edges = np.concatenate([[0], np.flatnonzero((block[1:] != block[:-1]) | (part[1:] != part[:-1])) + 1, [len(block)]]).tolist()
+            out = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b - a > 1:
+                    sets = [np.cumsum(unsqueezed(x, "<u8")[0]) for x in table["grams"][a:b].to_pylist()]
+                    label = block_labels(sets, size[a:b].astype(np.int64), percent)
+                    low = np.full(b - a, np.iinfo(np.int64).max)
+                    np.minimum.at(low, label, ids[a:b])
+                    low = low[label]
+                    out.append((ids[a:b][low != ids[a:b]], low[low != ids[a:b]]))
+            if out:
+                x, y = (np.concatenate(c) for c in zip(*out, strict=True))
+                if len(x):
+                    yield as_batch({"a": x, "b": y}, target)
 
-def _needed(x: str, y: str, percent: int) -> Column:
-    """How many n-grams two sets of sizes x and y must share within their prefixes to be similar enough, 1 at least."""
-    x, y = F.col(x), F.col(y)
-    rest = lambda n: F.floor((n * percent + 99) / 100) - 1  # noqa: E731  what follows the prefix
-    return F.greatest(F.lit(1), F.floor(((x + y) * percent + 99 + percent) / (100 + percent)) - F.greatest(rest(x), rest(y)))
+    return members.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(join, schema)
 
 
-def _sizes_fit(x: str, y: str, percent: int) -> Column:
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+# ---- the join --------------------------------------------------------------------------------------------------------
 
 
 def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n_shingles) of all documents, and (doc_id, component) of those linked with others.
+    """Rows (doc_id, n_shingles) of all documents, and (doc_id, component) of those linked with smaller ones.
 
     1. Equal sets are one class, by signature; one member stands for it from here on.
-    2. Similar sets share an n-gram of their prefixes, so only posting groups of prefix n-grams are looked at.
-    3. Each group's members are compared with its smallest member. That joins the large groups of near copies without
-       listing their pairs.
-    4. What is then in one group but different components is compared: small groups pair by pair, large ones with a few
-       central pivots at a time until they are small. Pairs that share too few prefix n-grams to be similar are left out
-       by a bound that loses none.
+    2. Every document gets back the n-grams of its set that others hold, see ``shared_sets``.
+    3. Similar sets share an n-gram of their prefixes: what such n-grams connect is a block, and no link leaves it.
+    4. Each block is a prefix tree in one task. A block of very many sets is dealt out in parts; any two parts meet in a
+       task, and the links of all tasks are joined.
     """
-    sets = set_rows(docs, n)
-    known = saved(sets.where("doc_id IS NOT NULL AND n_shingles > 0"))
+    sets = saved(set_rows(docs, n))
+    known = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     of = known.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    copies = saved(known.join(of, ["s1", "s2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-
-    # groups are counted by aggregates and joined with one row each, so a frequent n-gram can be split over tasks
-    rows = prefix_rows(docs, frequent_buckets(docs, n), n, percent)
-    rows = rows.join(rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "token")
-    rows = saved(rows.join(copies.select(F.col("a").alias("doc_id"), "b"), "doc_id", "left_anti").dropDuplicates(["token", "doc_id"]))
-    groups = rows.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("pivot")).where("m > 1")
-    rows = saved(rows.join(groups, "token").select("token", "doc_id", "n", "early", F.col("pivot.doc_id").alias("p"), F.col("pivot.n").alias("pn")))
-    texts = saved(packed(docs).join(rows.select("doc_id").distinct(), "doc_id"))
-
-    first = rows.where("doc_id > p").where(_sizes_fit("n", "pn", percent)).groupBy("doc_id", "p", "n", "pn").agg(F.count("*").alias("c"))
-    first = first.where(F.col("c") * 2 >= _needed("n", "pn", percent)).select(F.col("doc_id").alias("a"), F.col("p").alias("b"))
-    links = saved(confirmed(first, texts, n, percent))
-
-    left, n_pivots = rows.select("token", "doc_id", "n", "early"), PIVOTS
-    while True:
-        components = saved(connected_components(links))
-        now = left.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        now = saved(now)
-        mixed = now.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m"), F.count_if("early").alias("k")).where("c0 < c1")
-        left = saved(now.join(mixed.select("token", "m", "k"), "token"))
-        big = left.where((F.col("m") > SMALL_GROUP) & F.col("early"))
-        if big.isEmpty():
-            break
-        central = left.groupBy("doc_id").agg(F.sum("m").alias("weight"))
-        ranked = big.join(central, "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("weight"), "doc_id")))
-        pivots = saved(ranked.where(F.col("rank") <= n_pivots).select("doc_id").distinct())
-        own = left.join(pivots, "doc_id").select("token", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-        pairs = left.join(own, "token").where("doc_id <> b AND component <> bc").where(_sizes_fit("n", "bn", percent)).groupBy("doc_id", "b", "n", "bn").agg(F.count("*").alias("c"))
-        pairs = pairs.where(F.col("c") >= _needed("n", "bn", percent)).select(F.col("doc_id").alias("a"), "b")
-        links = saved(links.unionByName(confirmed(pairs, texts, n, percent)))
-        n_pivots *= 2
-        # a pivot has met all that it shares an n-gram with
-        left = left.drop("m", "k", "component").join(pivots, "doc_id", "left_anti")
-    more = left.where(F.col("m") > SMALL_GROUP).groupBy("doc_id").agg(F.count("*").alias("more"))
-    left = saved(left.where(F.col("m") <= SMALL_GROUP).join(more, "doc_id", "left").fillna(0, ["more"]))
-    x, y = left.alias("x"), left.alias("y")
-    pairs = x.join(y, F.col("x.token") == F.col("y.token")).where("x.doc_id > y.doc_id AND x.component <> y.component")
-    pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn"), F.least("x.more", "y.more").alias("more")).where(_sizes_fit("an", "bn", percent))
-    # what the two may share in the groups that are left out counts as shared, so the bound loses none
-    pairs = pairs.groupBy("a", "b", "an", "bn", "more").agg(F.count("*").alias("c")).where(F.col("c") + F.col("more") >= _needed("an", "bn", percent))
-    links = saved(links.unionByName(confirmed(pairs.select("a", "b"), texts, n, percent)))
-    found = connected_components(links.unionByName(copies)).select(F.col("id").alias("doc_id"), "component")
+    copies = saved(known.join(of, ["s1", "s2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
+    twice = saved(known.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    several = not twice.isEmpty()
+    settled = copies.select(F.col("a").alias("doc_id"))
+    settled = settled.join(twice, "doc_id", "left_anti") if several else settled
+
+    live = saved(shared_sets(anti_join(docs.select("doc_id", "text"), settled), n, percent))
+    live_ones = live if several else live.join(settled, "doc_id", "left_anti")
+    posted = live_ones.select("doc_id", F.explode("prefix").alias("gram"))
+    groups = posted.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("gram", "low")
+    blocks = saved(connected_components(posted.join(groups, "gram").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))))
+    members = live.select("doc_id", "n", "grams").join(blocks.select(F.col("id").alias("doc_id"), F.col("component").alias("block")), "doc_id")
+
+    grams = F.length("grams") / 6  # compressed, an n-gram takes about so many bytes
+    big = members.groupBy("block").agg(F.count("*").alias("sets"), F.sum(grams).alias("weight"))
+    big = saved(big.select("block", F.ceil(F.greatest(F.col("sets") / PART_SETS, F.col("weight") / PART_GRAMS)).alias("parts")).where("parts > 1"))
+    one = members.join(F.broadcast(big) if big.count() <= 100_000 else big, "block", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    links, parted = block_links(one, percent), not big.isEmpty()
+    if parted:
+        own = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+        dealt = members.join(big, "block").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("own <> other")
+        part = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
+        links = links.unionByName(block_links(dealt.select("block", part.cast("long").alias("part"), "doc_id", "n", "grams"), percent))
+    links = saved(links)
+    release(live, blocks, big)
+    if parted or several:
+        found = saved(connected_components(links.unionByName(copies)).select(F.col("id").alias("doc_id"), "component").where("component < doc_id"))
+    else:
+        of_rep = links.select(F.col("a").alias("b"), F.col("b").alias("component"))
+        found = links.select(F.col("a").alias("doc_id"), F.col("b").alias("component")).unionByName(copies.join(of_rep, "b", "left").select(F.col("a").alias("doc_id"), F.coalesce("component", "b").alias("component")))
     return sets.select("doc_id", "n_shingles"), found
 
 
@@ -256,7 +436,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     Two documents link when 100 * intersection >= percent * union of their sets of lower-cased word n-grams; the
     component is the smallest doc_id that links reach. Null and empty texts have empty sets and link with nothing, nor
     does a null doc_id (its component is null); texts with fewer words are one gram; repeated rows of one doc_id are one
-    document with the sets of each; an empty table gives an empty one.
+    document with the sets of each; very long texts are sets like any others; columns but doc_id and text are not looked
+    at; an empty table gives an empty one.
     """
     sets, found = similar_classes(docs, n, percent)
     return sets.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -268,7 +449,7 @@ def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     Of repeated rows of one doc_id one stays (the smallest text); rows with a null doc_id stay.
     """
     _, found = similar_classes(docs, n, percent)
-    kept = docs.join(found.where("component < doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    kept = anti_join(docs, found.select("doc_id"))
     twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept

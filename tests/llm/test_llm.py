@@ -436,10 +436,10 @@ def test_jaccard(spark, docs, rows):
     assert got == want and sum(c != d for d, _, c in want) > 10
 
 
-def test_jaccard_large_groups(spark, monkeypatch):
-    """Near copies of near copies, with groups that go pivot by pivot."""
-    monkeypatch.setattr(jaccard_join, "SMALL_GROUP", 3)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+@pytest.mark.parametrize("part", [4000, 7])
+def test_jaccard_near_copies(spark, monkeypatch, part):
+    """Near copies of near copies in one block, whole or dealt out in parts."""
+    monkeypatch.setattr(jaccard_join, "PART_SETS", part)
     rng = random.Random(9)
     rows, texts = [], [prose(rng, 60, 3000) for _ in range(4)]
     for i in range(60):
@@ -453,13 +453,38 @@ def test_jaccard_large_groups(spark, monkeypatch):
     assert got == brute.jaccard_components(rows)
 
 
-def test_trie_join():
+def test_prefix_tree(monkeypatch):
+    """Components of random sets, some of whose n-grams no other set holds, against all pairs; also in small slices."""
     rng = np.random.default_rng(1)
-    for _ in range(30):
-        probe = np.unique(rng.integers(0, 300, 120).astype(np.uint64))
-        sets = [np.unique(np.concatenate([probe[rng.random(len(probe)) < 0.95], rng.integers(0, 300, rng.integers(0, 20)).astype(np.uint64)])) for _ in range(12)] + [probe, probe[:0]]
-        got = jaccard_join.trie_join(probe, sets, 85)
-        assert got == [len(s) > 0 and 100 * len(np.intersect1d(s, probe)) >= 85 * len(np.union1d(s, probe)) for s in sets]
+    for case in range(40):
+        monkeypatch.setattr(jaccard_join, "LOOKUPS", (1 << 21, 64)[case % 2])
+        base = [rng.choice(400, rng.integers(1, 150), replace=False) for _ in range(3)]
+        sets, size = [], []
+        for _ in range(rng.integers(2, 60)):
+            own = base[rng.integers(3)]
+            own = np.unique(np.concatenate([own[rng.random(len(own)) < rng.choice([1, 0.97, 0.92])], rng.integers(0, 400, rng.integers(0, 6)), rng.choice(400, 1)]))
+            sets.append(own.astype(np.uint64))
+            size.append(len(own) + int(rng.integers(0, 4)))
+        got = jaccard_join.block_labels(sets, np.array(size), 85)
+        links = []
+        for i, a in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(a, sets[j]))
+                if 100 * both >= 85 * (size[i] + size[j] - both):
+                    links.append((i, j))
+        want = brute.components(range(len(sets)), links)
+        assert got.tolist() == [want[i] for i in range(len(sets))]
+
+
+def test_jaccard_repeated_ids(spark):
+    """Two texts under one doc_id link what either of them links."""
+    a, b = "a b c d e f g h i j k l m n", "o p q r s t u v w x y z"
+    rows = [(1, a), (5, a), (5, b), (7, b), (8, b + " z1"), (9, "else " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("grams", F.lit(1)).withColumn("block", F.lit(2))
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == {(1, 11, 1), (5, 11, 1), (5, 9, 1), (7, 9, 1), (8, 10, 1), (9, 1, 9)}
+    kept = jaccard_join.one_of_each(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 9]
 
 
 def test_jaccard_odd_tables(spark, docs):
