@@ -323,7 +323,7 @@ def test_base_kinds(spark):
     rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randrange(14)))) for i in range(1500)] + [(9000, None), (9001, ""), (9002, "1.2.3.4 " * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     texts = dict(rows)
-    found = personal_data.find_personal_data(df, None).select("doc_id", personal_data.listed(F.col("pii_spans")).alias("s"), personal_data.redacted(F.col("text"), F.col("pii_spans")).alias("t")).collect()
+    found = personal_data.find_personal_data(df, {}).select("doc_id", personal_data.listed(F.col("pii_spans")).alias("s"), personal_data.redacted(F.col("text"), F.col("pii_spans")).alias("t")).collect()
     for r in found:
         want = brute.base_pii(texts[r["doc_id"]])[-1]
         assert r["s"] == want
@@ -333,6 +333,64 @@ def test_base_kinds(spark):
     assert by[9002] == "[IP] " * 3000
 
 
+def test_long_matches_and_many_spans(spark):
+    """One match of a megabyte, and a hundred thousand spans in a text: no recursion, no quadratic work."""
+    many = "x ana@b.de é " * 50_000 + "+1 555 123 4567 " * 30_000 + "1.2.3.4 " * 20_000
+    rows = [(1, "a@b" + ".c" * 500_000), (2, many), (3, "a-" * 500_000), (4, "1 " * 400_000), (5, "token = " * 100_000), (6, "." * 300_000 + "1." * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    models = {k.name: personal_data.SpanModel([], 0.5, -1.0, [[0.0] * n for _, n in k.features(F.lit(""), F.lit(""), F.lit(""))]) for k in personal_data.ADDED}
+    found = personal_data.find_personal_data(df, models)
+    got = {r["doc_id"]: r for r in found.select("doc_id", F.size("pii_spans").alias("n"), personal_data.listed(F.col("pii_spans")).alias("s"), F.length(personal_data.redacted(F.col("text"), F.col("pii_spans"))).alias("left")).collect()}
+    assert got[1]["s"] == f"email:0:{3 + 1_000_000}" and got[1]["left"] == len("[EMAIL]")
+    assert got[2]["n"] == 50_000 + 1 + 20_000 or got[2]["n"] >= 70_000
+    assert got[2]["s"] == brute.base_pii(many)[-1]
+    assert [got[i]["n"] for i in (3, 4, 5)] == [0, 0, 0] and got[3]["left"] == 1_000_000
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 511, 512, 513, 3000):
+        values = F.array(*[]).cast("array<int>") if not n else F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x % 7)
+        got = spark.range(1).select(personal_data.running(values, F.lit(0), lambda a, b: a + b).alias("s")).first()["s"]
+        assert got == [sum(i % 7 for i in range(1, k + 1)) for k in range(n)]
+
+
+def test_redaction_across_pieces(spark):
+    """Overlapping spans of several kinds, at and around the edges of the pieces that long texts are put together from."""
+    rng = random.Random(3)
+    for size in (0, 5, 1023, 1024, 1025, 5000):
+        text = "".join(rng.choice("abé\n😀") for _ in range(size))
+        cuts = [sorted((rng.randrange(size), rng.randrange(1, size + 1))) for _ in range(6)] if size else []
+        cuts += [[1000, 1024], [1024, 1030], [2047, 2049]] if size > 2048 else []
+        spans = sorted((a, b, "ip") for a, b in cuts if a < b)
+        want, at = "", 0
+        for a, b, k in spans:
+            if a >= at:
+                want += text[at:a] + "[IP]"
+            at = max(at, b)
+        want = want + text[at:] if spans else text
+        df = spark.createDataFrame([(text, [("ip", a, b) for a, b, _ in spans])], "text string, spans array<struct<kind:string,start:int,end:int>>")
+        assert df.select(personal_data.redacted(F.col("text"), F.col("spans"))).first()[0] == want
+
+
+def test_values_of_keywords_names_and_addresses(spark):
+    """Credentials of any alphabet after a keyword; names and addresses by gazetteers and what stands around."""
+    rng = random.Random(5)
+    made = lambda: "".join(rng.choice("abcXYZ019/+.!") for _ in range(rng.randrange(9, 30))) + "aZ7/"
+    rows = []
+    for i in range(400):
+        kind = i % 4
+        rows.append((i, [f"aws_secret_access_key = {made()} end", f"Dear Mrs Anna Meier, hello", f"He lives at {i + 1} Long Oak Street, Boston and", "The secret of this. Plain Words Here and 1984 People"][kind]))
+    rows += [(900, "password = hunter2!"), (901, "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), (902, "no secret here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    models = personal_data.fit(df)
+    got = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["pii_spans"]] for r in personal_data.find_personal_data(df, models).collect()}
+    texts = dict(rows)
+    told = lambda i: [(k, texts[i][a:b]) for k, a, b in got[i]]
+    assert all([k for k, _ in told(i)] == [["secret"], ["name"], ["address"], []][i % 4] for i in range(400))
+    assert told(1) == [("name", "Anna Meier")] and told(2) == [("address", "3 Long Oak Street")]
+    assert told(900) == [("secret", "hunter2!")] and told(901) == [("secret", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")] and told(902) == []
+
+
 def test_secrets_are_learned(spark, docs):
     rng = random.Random(8)
     hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
@@ -345,7 +403,7 @@ def test_secrets_are_learned(spark, docs):
     model = personal_data.fit(df)
     got = {r["doc_id"] for r in personal_data.find_personal_data(df, model).where("size(pii_spans) > 0").collect()}
     assert got == {i for i in range(300) if i % 3 == 0}
-    assert personal_data.fit(empty(docs)) is None
+    assert personal_data.fit(empty(docs)) == {}
     assert personal_data.find_personal_data(odd(spark), model).count() == 5
 
 
