@@ -397,6 +397,7 @@ def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[Dat
     sets = saved(set_rows(docs, n))
     known = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     of = known.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    of = saved(of)  # a table of its own, so that Spark can split the rows of a frequent text over tasks
     copies = saved(known.join(of, ["s1", "s2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
     twice = saved(known.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     several = not twice.isEmpty()
@@ -421,7 +422,7 @@ def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[Dat
         part = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
         links = links.unionByName(block_links(dealt.select("block", part.cast("long").alias("part"), "doc_id", "n", "grams"), percent))
     links = saved(links)
-    release(live, blocks, big)
+    release(of, live, blocks, big)
     if parted or several:
         found = saved(connected_components(links.unionByName(copies)).select(F.col("id").alias("doc_id"), "component").where("component < doc_id"))
     else:
