@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from ..tables import saved
+from ..tables import release, saved
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:
@@ -105,24 +105,28 @@ def order_interactions(df: DataFrame, order: list[str]) -> DataFrame:
     return df.repartition("user_id").sortWithinPartitions("user_id", *order)
 
 
-def kcore(df: DataFrame, min_user: int, min_item: int, max_rounds: int = 100) -> DataFrame:
+def kcore(df: DataFrame, min_user: int, min_item: int) -> DataFrame:
     """Drops items, then users, with too few interactions, until none are left with too few.
 
-    Counts are of interactions, aggregated before they are shuffled. If nothing qualifies the result is empty.
+    Rounds go over one narrow row for each user and item, with their number of interactions; the table itself is met
+    once, at the end. Each round drops some pair or is the last. If nothing qualifies the result is empty.
     """
-    df = saved(df)
-    rows = df.count()
-    for _ in range(max_rounds):
+    pairs = saved(df.groupBy("user_id", "item_id").agg(F.count("*").alias("_n")))
+    left = pairs.count()
+    while True:
+        rest = pairs
         for col, least in (("item_id", min_item), ("user_id", min_user)):
             if least > 1:
-                enough = df.groupBy(col).count().where(F.col("count") >= least).select(col)
-                df = df.join(enough, col, "left_semi")
-        df = saved(df)
-        now = df.count()
-        if now == rows:
-            return df
-        rows = now
-    raise RuntimeError(f"k-core not stable after {max_rounds} rounds")
+                enough = rest.groupBy(col).agg(F.sum("_n").alias("_all")).where(F.col("_all") >= least).select(col)
+                rest = rest.join(enough, col, "left_semi")
+        rest = saved(rest)
+        now = rest.count()
+        release(pairs)
+        pairs = rest
+        if now == left:
+            p = pairs.select(F.col("user_id").alias("_u"), F.col("item_id").alias("_i"))
+            return df.join(p, F.col("user_id").eqNullSafe(F.col("_u")) & F.col("item_id").eqNullSafe(F.col("_i")), "left_semi")
+        left = now
 
 
 def dataset_stats(df: DataFrame) -> DataFrame:
@@ -150,7 +154,9 @@ def item_freq(targets: DataFrame, dim: DataFrame) -> DataFrame:
     return dim.select("id").join(counts, "id", "left").withColumn("freq", F.coalesce("freq", F.lit(0).cast("long")))
 
 
-def eval_groups(df: DataFrame, order: list[str]) -> DataFrame:
-    """(user_id, items, ratings): evaluation rows as one record for each user that has any."""
+def eval_groups(df: DataFrame, order: list[str], by_row: bool = False) -> DataFrame:
+    """(user_id, items, ratings): evaluation rows as one record for each user that has any; ``by_row``, each by itself."""
+    if by_row:
+        return df.select("user_id", F.array("item_id").alias("items"), F.array("rating").alias("ratings"))
     rows = F.sort_array(F.collect_list(F.struct(*order, "item_id", "rating")))
     return df.groupBy("user_id").agg(rows.alias("_rows")).select("user_id", F.col("_rows.item_id").alias("items"), F.col("_rows.rating").alias("ratings"))

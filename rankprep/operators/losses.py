@@ -38,8 +38,10 @@ def sampled_softmax_loss(scores: DataFrame) -> DataFrame:
     return _mean(shifted.where("kind = 'pos'").select("row_id", (F.col("lse") - F.col("s")).alias("loss")))
 
 
-def _pairs(scores: DataFrame, weighted: bool) -> DataFrame:
-    """(row_id, item_id, p, s, w): each positive with its row's negatives and their weights."""
+def _pairs(scores: DataFrame, weighted: bool, sqrt: bool = False) -> DataFrame:
+    """(row_id, item_id, p, s, w): each positive with its row's negatives and their weights; with ``sqrt`` p and s are
+    minus the roots of the distances -score (0 at least)."""
+    rooted = lambda c: -F.sqrt(F.greatest(-F.col(c), F.lit(0.0))) if sqrt else F.col(c)
     neg = scores.where("kind = 'neg'")
     own = Window.partitionBy("row_id")
     logit = F.col("score") - F.col("log_q")
@@ -47,28 +49,28 @@ def _pairs(scores: DataFrame, weighted: bool) -> DataFrame:
         neg = neg.withColumn("_z", logit).withColumn("_e", F.exp(F.col("_z") - F.max("_z").over(own))).withColumn("w", F.col("_e") / F.sum("_e").over(own))
     else:
         neg = neg.withColumn("w", 1.0 / F.count("*").over(own))
-    pos = scores.where("kind = 'pos' AND item_id <> 0").select("row_id", "item_id", F.col("score").alias("p"))
-    return pos.join(neg.select("row_id", F.col("score").alias("s"), "w"), "row_id")
+    pos = scores.where("kind = 'pos' AND item_id <> 0").select("row_id", "item_id", rooted("score").alias("p"))
+    return pos.join(neg.select("row_id", rooted("score").alias("s"), F.col("score").alias("raw"), "w"), "row_id")
 
 
-def margin_loss(scores: DataFrame, gamma: float = 2.0, weighted: bool = True) -> DataFrame:
-    """Sum of w max(0, gamma + d+ - d-), with distances d = -score; weights even or the corrected softmax."""
+def margin_loss(scores: DataFrame, gamma: float = 2.0, weighted: bool = True, sqrt: bool = False) -> DataFrame:
+    """Sum of w max(0, gamma + d+ - d-), with distances d = -score, or their roots; weights even or the corrected softmax."""
     term = F.col("w") * F.greatest(F.lit(0.0), F.lit(gamma) - F.col("p") + F.col("s"))
-    return _mean(_pairs(scores, weighted).groupBy("row_id", "item_id").agg(F.sum(term).alias("loss")))
+    return _mean(_pairs(scores, weighted, sqrt).groupBy("row_id", "item_id").agg(F.sum(term).alias("loss")))
 
 
-def pairwise_log_loss(scores: DataFrame, gamma: float = 0.0, weighted: bool = True) -> DataFrame:
+def pairwise_log_loss(scores: DataFrame, gamma: float = 0.0, weighted: bool = True, sqrt: bool = False) -> DataFrame:
     """-Sum of w log sigmoid(d- - d+ - gamma)."""
     term = F.col("w") * _softplus(F.col("s") - F.col("p") + F.lit(gamma))
-    return _mean(_pairs(scores, weighted).groupBy("row_id", "item_id").agg(F.sum(term).alias("loss")))
+    return _mean(_pairs(scores, weighted, sqrt).groupBy("row_id", "item_id").agg(F.sum(term).alias("loss")))
 
 
-def rotate_loss(scores: DataFrame, gamma: float = 10.0, weighted: bool = True, legacy: bool = False) -> DataFrame:
+def rotate_loss(scores: DataFrame, gamma: float = 10.0, weighted: bool = True, legacy: bool = False, sqrt: bool = False) -> DataFrame:
     """Half of -log sigmoid(gamma - d+) less the weighted sum of log sigmoid(d- - gamma).
 
     ``legacy`` takes the plain sum of the negatives' scores for the second term.
     """
-    pairs = _pairs(scores, weighted)
-    second = F.sum("s") if legacy else -F.sum(F.col("w") * _softplus(F.lit(gamma) + F.col("s")))
+    pairs = _pairs(scores, weighted, sqrt)
+    second = F.sum("raw") if legacy else -F.sum(F.col("w") * _softplus(F.lit(gamma) + F.col("s")))
     per = pairs.groupBy("row_id", "item_id", "p").agg(second.alias("t"))
     return _mean(per.select("row_id", ((_softplus(-(F.lit(gamma) + F.col("p"))) - F.col("t")) / 2).alias("loss")))

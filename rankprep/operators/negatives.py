@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import inner_product, uniform
 from ..functions.vectors import SCORERS
+from ..tables import saved
 from .ids import with_prefix_sum
 from .retrieval import by_blocks
 
@@ -50,14 +51,21 @@ def popularity_cdf(freq: DataFrame, mode: int = 0) -> DataFrame:
     return run.select("item_id", "freq", "weight", (F.col("weight") / F.lit(total)).alias("prob"), ((F.col("_run") - F.col("weight")) / F.lit(total)).alias("lo"), cdf.alias("cdf"))
 
 
-def cdf_lookup(drawn: DataFrame, cdf: DataFrame, keys: tuple[str, ...] = (), buckets: int = 256) -> DataFrame:
+def cdf_lookup(drawn: DataFrame, cdf: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """``drawn`` with the first row of ``cdf`` (lo, cdf, ...) whose cdf is at least u, within equal ``keys``.
 
     An equality join on slices of [0, 1), of which a row of the cdf is in each that it touches, then the exact bounds.
+    There are as many slices as rows with equal keys, so a draw meets about two rows however large the catalogue is.
     """
-    slot = lambda x: F.least(F.floor(x * buckets), F.lit(buckets - 1)).cast("int")
+    slot = lambda x: F.least(F.floor(x * F.col("_slices")), F.col("_slices") - 1).cast("long")
+    if keys:
+        sizes = cdf.groupBy(*keys).agg(F.count("*").alias("_slices"))
+        cdf, asked = cdf.join(sizes, list(keys)), drawn.join(sizes, list(keys))
+    else:
+        n = F.lit(max(1, cdf.count())).alias("_slices")
+        cdf, asked = cdf.select("*", n), drawn.select("*", n)
     rows = cdf.where("cdf > lo OR lo IS NULL").withColumn("_b", F.explode(F.sequence(slot(F.greatest(F.col("lo") - 1e-12, F.lit(0.0))), slot(F.col("cdf")))))
-    hit = drawn.withColumn("_b", slot(F.col("u"))).join(rows, ["_b", *keys]).where("cdf >= u")
+    hit = asked.withColumn("_b", slot(F.col("u"))).drop("_slices").join(rows.drop("_slices"), ["_b", *keys]).where("cdf >= u")
     own = [c for c in drawn.columns if c not in keys]
     # rounding may leave a draw inside two rows' slack: the smallest cdf counts
     return hit.drop("_b").withColumn("_r", F.row_number().over(Window.partitionBy(*own, *keys).orderBy("cdf"))).where("_r = 1").drop("_r")
@@ -98,7 +106,7 @@ def index_proposal(queries: DataFrame, weighted: DataFrame, c0: np.ndarray, c1:
     Z is summed over pairs of clusters, not items.
     """
     joint = weighted.groupBy("k0", "k1").agg(F.sum("weight").alias("total"))
-    scores = _pair_scores(queries, c0, c1).join(joint).withColumn("s", F.get("r0", F.col("k0")) + F.get("r1", F.col("k1")))  # k x k pairs
+    scores = _pair_scores(queries, c0, c1).crossJoin(F.broadcast(joint)).withColumn("s", F.get("r0", F.col("k0")) + F.get("r1", F.col("k1")))  # k x k pairs
     own = Window.partitionBy("query_id")
     scores = scores.withColumn("top", F.max("s").over(own)).withColumn("e", F.exp(F.col("s") - F.col("top"))).withColumn("z", F.sum(F.col("e") * F.col("total")).over(own))
     return scores.select("query_id", "k0", "k1", "e", "z").join(weighted, ["k0", "k1"]).select("query_id", "item_id", (F.col("weight") * F.col("e") / F.col("z")).alias("prob"))
@@ -120,23 +128,29 @@ def _drawn_pairs(queries: DataFrame, joint: DataFrame, c0: np.ndarray, c1: np.nd
         for batch in batches:
             x = np.asarray(batch.column(1).flatten().cast(pa.float64())).reshape(batch.num_rows, -1)
             r0, r1 = x[:, : a.shape[1]] @ a.T, x[:, a.shape[1] :] @ b.T
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i in range(batch.num_rows):
-                p = np.exp(r0[i] - r0[i].max())[:, None] * w * np.exp(r1[i] - r1[i].max())[None]
-                d = batch.column(2)[i].values
-                u0, u1 = d.field("u0").to_numpy(), d.field("u1").to_numpy()
-                first = np.cumsum(p.sum(1))
-                at0 = np.minimum(np.searchsorted(first, u0 * first[-1], "right"), np.flatnonzero(p.sum(1))[-1])
-                given = np.cumsum(p[at0], 1)
-                ends = given[:, -1:]
-                at1 = np.minimum((given <= u1[:, None] * ends).sum(1), p.shape[1] - 1 - np.argmax(p[at0][:, ::-1] > 0, 1))
-                for o, v in zip(out, (np.full(len(u0), batch.column(0)[i].as_py()), d.field("draw").to_numpy(), at0.astype(np.int32), at1.astype(np.int32), r0[i][at0] + r1[i][at1]), strict=True):
-                    o.append(v)
-            yield pa.RecordBatch.from_pydict({n: np.concatenate(o) if o else np.zeros(0) for n, o in zip(("query_id", "draw", "k0", "k1", "s"), out, strict=True)}, schema=pa.schema([("query_id", pa.int64()), ("draw", pa.int32()), ("k0", pa.int32()), ("k1", pa.int32()), ("s", pa.float64())]))
+            d = batch.column(2).flatten()  # every query has the same number of draws
+            draw, u0, u1 = (np.asarray(d.field(c)).reshape(batch.num_rows, -1) for c in ("draw", "u0", "u1"))
+            for lo in range(0, batch.num_rows, 64):
+                rows = slice(lo, lo + 64)
+                e0, e1 = (np.exp(r[rows] - r[rows].max(1, keepdims=True)) for r in (r0, r1))
+                p = e0[:, :, None] * w * e1[:, None]
+                at0 = _first_above(p.sum(2)[:, None], u0[rows])
+                at1 = _first_above(p[np.arange(len(p))[:, None], at0], u1[rows])
+                one = np.arange(len(p))[:, None]
+                s = r0[rows][one, at0] + r1[rows][one, at1]
+                ids = np.repeat(np.asarray(batch.column(0))[rows], draw.shape[1])
+                yield pa.RecordBatch.from_pydict({"query_id": ids, "draw": draw[rows].ravel(), "k0": at0.ravel().astype(np.int32), "k1": at1.ravel().astype(np.int32), "s": s.ravel()}, schema=pa.schema([("query_id", pa.int64()), ("draw", pa.int32()), ("k0", pa.int32()), ("k1", pa.int32()), ("s", pa.float64())]))
 
     return ready.mapInArrow(pick, "query_id long, draw int, k0 int, k1 int, s double")
 
 
+def _first_above(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """By query and draw, the first place of positive weight whose cumulative share of p (query, 1 or draw, place) is above u."""
+    run = np.cumsum(p, 2)
+    last = p.shape[2] - 1 - np.argmax(p[:, :, ::-1] > 0, 2)
+    return np.minimum((run <= u[:, :, None] * run[:, :, -1:]).sum(2), last)
+
+
 def sample_index_uniform(queries: DataFrame, index: DataFrame, c0: np.ndarray, c1: np.ndarray, n: int, seed: int = 42) -> DataFrame:
     """Pairs of clusters by size and score, an item of the pair evenly; log_q = q0 c0 + q1 c1."""
     sizes = index.groupBy("k0", "k1").agg(F.count("*").alias("n"))
@@ -149,7 +163,7 @@ def sample_index_weighted(queries: DataFrame, cdf: DataFrame, c0: np.ndarray, c1
     """Pairs by weight and score, an item by its share of the pair's weight (``cluster_cdf``); log_q gets log w(item)."""
     joint = cdf.groupBy("k0", "k1").agg(F.sum("weight").alias("weight"))
     pairs = _drawn_pairs(queries, joint, c0, c1, n, seed, "weighted").withColumn("u", uniform(seed, "weighted2", "query_id", "draw"))
-    found = cdf_lookup(pairs, cdf.select("k0", "k1", "item_id", "weight", "lo", "cdf"), ("k0", "k1"), buckets=16)
+    found = cdf_lookup(pairs, cdf.select("k0", "k1", "item_id", "weight", "lo", "cdf"), ("k0", "k1"))
     return found.select("query_id", "draw", "item_id", (F.col("s") + F.log("weight")).alias("log_q"))
 
 
@@ -173,7 +187,7 @@ def _kernel_sample(queries: DataFrame, items: DataFrame, n: int, kernel: str, al
     ends = ends.withColumn("hi", F.when(F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("first"))) == 1, F.col("z")).otherwise(F.col("hi")))
     drawn = draws(queries, n, seed, stage).join(ends, "query_id").withColumn("at", F.col("u") * F.col("z")).where("at >= lo AND at < hi")
     wanted = drawn.groupBy("query_id", "first").agg(F.collect_list(F.struct("draw", (F.col("at") - F.col("lo")).alias("rest"), "z")).alias("d"))
-    lists = wanted.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("first", "d"))).alias("wanted"))
+    lists = saved(wanted.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("first", "d"))).alias("wanted")))
 
     def choose(q: pa.Table, ids: np.ndarray, scores: np.ndarray, _: np.ndarray) -> pa.Table:
         out: list[list] = [[], [], [], []]

@@ -5,12 +5,14 @@ Query and item blocks meet in one task each. A task never returns a score matrix
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of a block of queries and of a block of items.
 BLOCK = 2048
@@ -33,13 +35,21 @@ def scores_of(q: np.ndarray, x: np.ndarray, scorer: str) -> np.ndarray:
     raise ValueError(f"unknown scorer {scorer!r}")
 
 
+#: Numbers of a catalogue that is broadcast (64 MB); larger ones are dealt out.
+BROADCAST = 1 << 23
+
+
 def by_blocks(queries: DataFrame, items: DataFrame, reducer: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, scorer: str = "inner", block: int = BLOCK) -> DataFrame:
     """Unites what ``reducer(queries, item ids, scores, item vectors)`` makes of each pair of blocks.
 
-    Queries (query_id, vec, ...) and items (item_id, vec) are dealt into blocks by a hash; of each side as many copies
-    are sent as the other has blocks, which is what comparing all with all takes.
+    A catalogue (item_id, vec) of at most BROADCAST numbers, which is counted first, goes to every task and the queries
+    (query_id, vec, ...) stay where they are. A larger one, and then the queries too, are dealt into blocks by a hash; of
+    each side as many copies are sent as the other has blocks, which is what comparing all with all takes.
     """
-    nq, ni = (max(1, -(-t.count() // block)) for t in (queries, items))
+    size = items.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    if size["n"] * max(1, size["dim"] or 1) <= BROADCAST:
+        return _in_place(queries, items, reducer, schema, scorer, block)
+    nq, ni = max(1, -(-queries.count() // block)), max(1, -(-size["n"] // block))
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     q = queries.withColumn("_q", deal("query_id", nq)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(ni - 1))))
     x = items.select("item_id", "vec", deal("item_id", ni).alias("_y")).withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
@@ -54,6 +64,26 @@ def by_blocks(queries: DataFrame, items: DataFrame, reducer: Callable[[pa.Table,
     return q.groupBy("_q", "_i").cogroup(x.groupBy("_x", "_y")).applyInArrow(meet, schema)
 
 
+def _in_place(queries: DataFrame, items: DataFrame, reducer: Callable, schema: str, scorer: str, block: int) -> DataFrame:
+    """``by_blocks`` with the catalogue broadcast; its blocks follow the item ids."""
+    rows = items.select("item_id", "vec").toArrow()
+    ids, vectors = np.asarray(rows["item_id"].combine_chunks()).astype(np.int64), _matrix(rows["vec"])
+    order = np.argsort(ids, kind="stable")
+    shared = queries.sparkSession.sparkContext.broadcast((ids[order], vectors[order]))
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, x = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, block):
+                q = pa.Table.from_batches([batch.slice(a, block)])
+                for b in range(0, len(known), block):
+                    out = reducer(q, known[b : b + block], scores_of(_matrix(q["vec"]), x[b : b + block], scorer), x[b : b + block])
+                    yield from out.cast(target).to_batches()
+
+    return queries.repartition(queries.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
+
+
 def score_all(queries: DataFrame, items: DataFrame, scorer: str = "inner") -> DataFrame:
     """(query_id, item_id, score) of every query with every item. For small inputs and tests; it is as large as it sounds."""
 
@@ -73,19 +103,24 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, scorer: str = "inner") -
 
     def best(q: pa.Table, ids: np.ndarray, scores: np.ndarray, _: np.ndarray) -> pa.Table:
         own = np.asarray(q["query_id"].combine_chunks())
-        out: list[list] = [[], [], []]
-        for row, query in enumerate(own.tolist()):
-            s = scores[row]
+        if scores.size:
             if hide:
-                s = np.where(np.isin(ids, q["seen"][row].values.to_numpy()), -np.inf, s)
+                lists = q["seen"].combine_chunks()
+                items = np.asarray(lists.flatten())
+                rows = np.repeat(np.arange(len(own)), np.diff(np.asarray(lists.offsets)))
+                at = np.minimum(np.searchsorted(ids, items), len(ids) - 1)
+                here = ids[at] == items
+                scores[rows[here], at[here]] = -np.inf
             # all that reach the k-th score, so that ties are settled by id
-            least = np.partition(s, len(s) - k)[len(s) - k] if k < len(s) else -np.inf
-            at = np.flatnonzero((s >= least) & (s > -np.inf))
-            at = at[np.lexsort((ids[at], -s[at]))][:k]
-            out[0] += [query] * len(at)
-            out[1] += ids[at].tolist()
-            out[2] += s[at].tolist()
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "item_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+            least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k] if k < scores.shape[1] else np.full(len(own), -np.inf)
+            row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+            order = np.lexsort((col, -scores[row, col], row))
+            row, col = row[order], col[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[first < k], col[first < k]
+        else:
+            row = col = np.zeros(0, np.int64)
+        return pa.table({"query_id": own[row], "item_id": ids[col], "score": scores[row, col] if scores.size else np.zeros(0)})
 
     found = by_blocks(queries.withColumn("seen", F.col("seen").cast("array<bigint>")) if hide else queries, items, best, "query_id long, item_id long, score double", scorer)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))

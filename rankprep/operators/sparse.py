@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from .retrieval import BROADCAST
 
 
 def drop_unlabelled(df: DataFrame) -> DataFrame:
@@ -25,9 +34,42 @@ def label_freq(train: DataFrame) -> DataFrame:
 def feature_bag(rows: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """(key, vec): the sum of the features' vectors, each times its value; features without a vector count nothing.
 
-    Dimensions are summed as rows, so that frequent features and long rows are pre-aggregated before the shuffle.
+    Where all vectors hold at most BROADCAST numbers, which are counted first, they go to every task and a row is summed
+    where it is. Else dimensions are summed as rows, so that frequent features and long rows are pre-aggregated.
     """
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    if 0 < size["n"] * (size["dim"] or 0) <= BROADCAST:
+        return _bag_in_place(rows.select(key, "features"), vectors)
     cells = rows.select(key, F.explode("features").alias("f")).select(key, F.col("f.idx").alias("item_id"), F.col("f.val").alias("val"))
     parts = cells.join(vectors.select(F.col("item_id").cast("int").alias("item_id"), "vec"), "item_id").select(key, "val", F.posexplode("vec").alias("dim", "x"))
     sums = parts.groupBy(key, "dim").agg(F.sum(F.col("val") * F.col("x")).alias("s"))
     return sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dim", "s")))["s"].alias("vec"))
+
+
+def _bag_in_place(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    known = vectors.select(F.col("item_id").cast("long").alias("item_id"), F.col("vec").cast("array<double>").alias("vec")).toArrow()
+    ids = np.asarray(known["item_id"].combine_chunks())
+    order = np.argsort(ids)
+    table = np.asarray(known["vec"].combine_chunks().flatten()).reshape(len(ids), -1)[order]
+    shared = rows.sparkSession.sparkContext.broadcast((ids[order], table))
+    schema = StructType([rows.schema.fields[0], StructField("vec", ArrayType(DoubleType()))])
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, table = shared.value
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                batch = whole.slice(a, 256)
+                lists = batch.column(1)
+                flat = lists.flatten()
+                idx, val = np.asarray(flat.field("idx")).astype(np.int64), np.asarray(flat.field("val")).astype(float)
+                row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+                at = np.minimum(np.searchsorted(ids, idx), len(ids) - 1)
+                ok = ids[at] == idx
+                sums = np.zeros((batch.num_rows, table.shape[1]))
+                np.add.at(sums, row[ok], val[ok, None] * table[at[ok]])
+                some = np.unique(row[ok])
+                vec = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * table.shape[1], sums[some].ravel())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)).cast(target.types[0]), vec.cast(target.types[1])], schema=target)
+
+    return rows.mapInArrow(run, schema)

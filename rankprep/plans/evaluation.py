@@ -43,7 +43,7 @@ def l2_sampled_softmax_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _both(spark: SparkSession, sf_dir: str, loss, gamma: float) -> DataFrame:
     s = score_table(spark, sf_dir)
-    return _round(loss(s, gamma, True).withColumnRenamed("loss", "weighted")).join(_round(loss(s, gamma, False).withColumnRenamed("loss", "even")))
+    return _round(loss(s, gamma, True).withColumnRenamed("loss", "weighted")).join(_round(loss(s, gamma, False).withColumnRenamed("loss", "even"))).join(_round(loss(s, gamma, True, sqrt=True).withColumnRenamed("loss", "rooted")))
 
 
 def l3_margin_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def l4_pairwise_log_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def l5_rotate_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = score_table(spark, sf_dir)
-    return _round(L.rotate_loss(s, 3.0).withColumnRenamed("loss", "weighted")).join(_round(L.rotate_loss(s, 3.0, legacy=True).withColumnRenamed("loss", "legacy")))
+    return _round(L.rotate_loss(s, 3.0).withColumnRenamed("loss", "weighted")).join(_round(L.rotate_loss(s, 3.0, legacy=True).withColumnRenamed("loss", "legacy"))).join(_round(L.rotate_loss(s, 3.0, sqrt=True).withColumnRenamed("loss", "rooted")))
 
 
 def m1_rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,8 @@ _POS = "po AS (SELECT query_id, score AS p FROM sc WHERE item_id = query_id + 1)
 _NLL = f"{_SC}, {_POS}, z AS (SELECT query_id, ln(sum(exp(score))) AS lse FROM sc GROUP BY 1), nl AS (SELECT query_id, lse - p AS nll, query_id % 7 AS batch FROM z JOIN po USING (query_id))"
 _NEG = f"{_SC}, {_POS}, {UNI(5)}, ng AS (SELECT query_id, score AS s, ln(100.0::double * score * score + 1) AS lq FROM us), w AS (SELECT query_id, s, lq, exp(s - lq) / sum(exp(s - lq)) OVER (PARTITION BY query_id) AS w, 1.0::double / count(*) OVER (PARTITION BY query_id) AS e FROM ng)"
 _SP = lambda x: f"ln(1 + exp({x}))"
-_PAIR = lambda term: f"{_NEG}, t AS (SELECT query_id, sum(w * {term}) AS a, sum(e * {term}) AS b FROM w JOIN po USING (query_id) GROUP BY 1) SELECT round(avg(a), 6) AS weighted, round(avg(b), 6) AS even FROM t"
+_ROOT = lambda x: f"-sqrt(greatest(-({x}), 0.0::double))"
+_PAIR = lambda term: f"{_NEG}, t AS (SELECT query_id, sum(w * {term.format(p='p', s='s')}) AS a, sum(e * {term.format(p='p', s='s')}) AS b, sum(w * {term.format(p=_ROOT('p'), s='(' + _ROOT('s') + ')')}) AS c FROM w JOIN po USING (query_id) GROUP BY 1) SELECT round(avg(a), 6) AS weighted, round(avg(b), 6) AS even, round(avg(c), 6) AS rooted FROM t"
 _MARK = f"{_SC}, {TOP}, n AS (SELECT query_id, count(*) AS n FROM sc WHERE ql = vl AND item_id <> query_id GROUP BY 1), h AS (SELECT query_id, rank, (ql = vl AND item_id <> query_id)::int AS hit FROM tk WHERE rank <= 50)"
 
 
@@ -113,9 +114,9 @@ def _at(ks: tuple[int, ...], expr: str, name: str) -> str:
 ORACLE_SQL = {
     "l1_full_softmax_loss": f"{_NLL} SELECT round(avg(nll), 6) AS loss FROM nl",
     "l2_sampled_softmax_loss": f"{_NEG}, t AS (SELECT query_id, sum(exp(s - lq)) AS z FROM ng GROUP BY 1) SELECT round(avg(ln(z + exp(p)) - p), 6) AS loss FROM t JOIN po USING (query_id)",
-    "l3_margin_loss": _PAIR("greatest(0.0::double, 2.0 - p + s)"),
-    "l4_pairwise_log_loss": _PAIR(_SP("s - p + 0.5::double")),
-    "l5_rotate_loss": f"{_NEG}, t AS (SELECT query_id, p, -sum(w * {_SP('3.0::double + s')}) AS a, sum(s) AS b FROM w JOIN po USING (query_id) GROUP BY ALL) SELECT round(avg(({_SP('-(3.0::double + p)')} - a) / 2), 6) AS weighted, round(avg(({_SP('-(3.0::double + p)')} - b) / 2), 6) AS legacy FROM t",
+    "l3_margin_loss": _PAIR("greatest(0.0::double, 2.0 - ({p}) + {s})"),
+    "l4_pairwise_log_loss": _PAIR(_SP("{s} - ({p}) + 0.5::double")),
+    "l5_rotate_loss": f"{_NEG}, t AS (SELECT query_id, p, -sum(w * {_SP('3.0::double + s')}) AS a, sum(s) AS b, -sum(w * {_SP(f"3.0::double + ({_ROOT('s')})")}) AS c FROM w JOIN po USING (query_id) GROUP BY ALL) SELECT round(avg(({_SP('-(3.0::double + p)')} - a) / 2), 6) AS weighted, round(avg(({_SP('-(3.0::double + p)')} - b) / 2), 6) AS legacy, round(avg(({_SP(f"-(3.0::double + ({_ROOT('p')}))")} - c) / 2), 6) AS rooted FROM t",
     "m1_rank_metrics": f"{_SC}, {_POS}, r AS (SELECT query_id, count(*) FILTER (round(score, 10) > round(p, 10)) + 1 AS rank FROM sc JOIN po USING (query_id) GROUP BY 1) SELECT round(avg(rank), 6) AS mr, round(avg(1.0::double / rank), 6) AS mrr, round(avg((rank <= 1)::int), 6) AS hits_1, round(avg((rank <= 3)::int), 6) AS hits_3, round(avg((rank <= 10)::int), 6) AS hits_10 FROM r",
     "m2_precision_at_k": _at((1, 3, 5), "coalesce(sum(hit) FILTER (rank <= {k}), 0) / {k}::double", "precision"),
     "m3_recall_at_k": _at((10, 20, 50), "coalesce(sum(hit) FILTER (rank <= {k}), 0) / n::double", "recall"),

@@ -77,11 +77,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, vec, label: every fifth vector."""
-    return vectors(spark, sf_dir).where("(item_id - 1) % 5 = 0").select(F.col("item_id").alias("query_id"), "vec", "label")
+    """query_id, vec, label: all vectors as queries, too."""
+    return vectors(spark, sf_dir).select(F.col("item_id").alias("query_id"), "vec", "label")
 
 
-VECTORS = "vecs AS (SELECT vec_id + 1 AS item_id, embedding::double[] AS vec, label FROM embeddings), qs AS (SELECT item_id AS query_id, vec, label FROM vecs WHERE (item_id - 1) % 5 = 0)"
+VECTORS = "vecs AS (SELECT vec_id + 1 AS item_id, embedding::double[] AS vec, label FROM embeddings), qs AS (SELECT item_id AS query_id, vec, label FROM vecs)"
 
 
 def sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

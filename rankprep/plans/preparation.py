@@ -33,7 +33,7 @@ def p3_threshold_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_split_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.split_sequence(table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("words")), "words", " ")
+    rows = P.split_sequence(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("words")), "words", " ")
     return rows.withColumn("longest", F.lit(P.max_length(rows, "words")))
 
 
@@ -141,7 +141,7 @@ ORACLE_SQL = {
     "p1_drop_incomplete": f"WITH {_HOLES} SELECT * FROM h WHERE doc_id IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL",
     "p2_implicit_rating": f"WITH {INTER} SELECT user_id, item_id, tie, 1.0::double AS rating FROM inter",
     "p3_threshold_ratings": f"WITH {INTER} SELECT tie, CASE WHEN rating >= 25 THEN 1.0 ELSE 0.0 END::double AS rating, 'binary' AS form FROM inter UNION ALL SELECT tie, 1.0::double, 'drop' FROM inter WHERE rating >= 25 UNION ALL SELECT tie, rating, 'same' FROM inter",
-    "p4_split_sequence": "WITH w AS (SELECT doc_id, list_filter(string_split(coalesce(substr(text, 1, 200), ''), ' '), lambda x: x <> '') AS words FROM documents) SELECT *, (SELECT max(len(words)) FROM w)::int AS longest FROM w",
+    "p4_split_sequence": "WITH w AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') AS words FROM documents) SELECT *, (SELECT max(len(words)) FROM w)::int AS longest FROM w",
     "p5_pad_sequence": f"WITH {INTER}, l AS (SELECT user_id AS id, list(item_id ORDER BY ts, tie)[1:10] AS items FROM inter GROUP BY 1) SELECT id, list_concat(items, list_transform(range(len(items), 10), lambda x: 0::bigint)) AS items FROM l",
     "p6_parse_time": f"WITH {EVENTS} SELECT user_id, item_id, floor(epoch(ts))::bigint AS seconds FROM ev",
     "p7_drop_unlabelled": f"WITH {SPARSE} SELECT doc_id, len(labels)::int AS n_labels FROM labs WHERE len(labels) > 0",

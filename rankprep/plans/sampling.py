@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import codebook as C
 from ..operators import negatives as N
+from ..operators import retrieval as R
 from .inputs import VECTORS, query_vectors, uniform_sql, vectors
 from .retrieval import CDF, frequencies
 
@@ -99,12 +100,12 @@ def w13_cluster_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def n7_sample_index_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, c0, c1 = _codes(spark, sf_dir)
-    return N.sample_index_uniform(query_vectors(spark, sf_dir), C.build_index(codes, K), c0, c1, 50)
+    return _rounded(N.sample_index_uniform(query_vectors(spark, sf_dir), C.build_index(codes, K), c0, c1, 20), "log_q")
 
 
 def n8_sample_index_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, c0, c1 = _weighted(spark, sf_dir, "pop")
-    return N.sample_index_weighted(query_vectors(spark, sf_dir), C.cluster_cdf(w), c0, c1, 50)
+    return _rounded(N.sample_index_weighted(query_vectors(spark, sf_dir), C.cluster_cdf(w), c0, c1, 20), "log_q")
 
 
 def n9_index_log_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,18 +122,16 @@ def n10_index_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n11_sample_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.sample_sphere(query_vectors(spark, sf_dir), vectors(spark, sf_dir), DRAWS)
+    return _rounded(N.sample_sphere(query_vectors(spark, sf_dir), vectors(spark, sf_dir), DRAWS), "log_q")
 
 
 def n12_rff_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = N.rff_features(vectors(spark, sf_dir).select("item_id", "vec"))
-    from ..functions import inner_product
-
-    return v.select("item_id", F.size("vec").alias("width"), F.round(inner_product("vec", "vec"), 9).alias("length"))
+    return v.select("item_id", F.size("vec").alias("width"), F.transform("vec", lambda x: F.round(x, 6) + 0.0).alias("vec"))
 
 
 def n13_sample_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.sample_rff(query_vectors(spark, sf_dir), vectors(spark, sf_dir), DRAWS)
+    return _rounded(N.sample_rff(query_vectors(spark, sf_dir), vectors(spark, sf_dir), DRAWS), "log_q", digits=5)
 
 
 def n14_sample_sphere_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +141,7 @@ def n14_sample_sphere_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def n15_sample_rff_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    return N.sample_rff_approx(query_vectors(spark, sf_dir), v, v.count(), DRAWS)
+    return _rounded(N.sample_rff_approx(query_vectors(spark, sf_dir), v, v.count(), DRAWS), "log_q", digits=5)
 
 
 def n16_sample_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +154,20 @@ def n17_sample_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.sample_resampled(query_vectors(spark, sf_dir), v, v.count(), DRAWS)
 
 
-QUERIES = {f.__name__: f for f in (w12_popularity_cdf, n1_sample_uniform, n2_sample_popular, n3_kmeans, n3_kmeans_step, n4_build_codebooks, n5_build_index, n6_joint_weights, w13_cluster_cdf, n7_sample_index_uniform, n8_sample_index_weighted, n9_index_log_q, n10_index_proposal, n11_sample_sphere, n12_rff_features, n13_sample_rff, n14_sample_sphere_approx, n15_sample_rff_approx, n16_sample_hard, n17_sample_resampled)}
+def n2_positive_log_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-weights of each query's two next items under the proposals, those of the exact kernel with its correction."""
+    q, v = query_vectors(spark, sf_dir), vectors(spark, sf_dir)
+    near = q.select("query_id", F.explode(F.array(F.col("query_id") + 1, F.col("query_id") + 2)).alias("item_id")).join(v.select("item_id"), "item_id", "left_semi")
+    cdf = N.popularity_cdf(frequencies(spark, sf_dir), 2)
+    parts = [N.positive_log_q(near, "uniform"), N.positive_log_q(near, "popular", cdf), N.positive_log_q(near, "hard"), N.positive_log_q(near, "sphere", scored=R.score_all(q, v), n=DRAWS, correct_pos=True)]
+    out = None
+    for form, part in zip(("uniform", "popular", "hard", "sphere"), parts, strict=True):
+        part = part.select("query_id", "item_id", "log_q", F.lit(form).alias("form"))
+        out = part if out is None else out.unionByName(part)
+    return _rounded(out, "log_q")
+
+
+QUERIES = {f.__name__: f for f in (w12_popularity_cdf, n1_sample_uniform, n2_sample_popular, n2_positive_log_q, n3_kmeans, n3_kmeans_step, n4_build_codebooks, n5_build_index, n6_joint_weights, w13_cluster_cdf, n7_sample_index_uniform, n8_sample_index_weighted, n9_index_log_q, n10_index_proposal, n11_sample_sphere, n12_rff_features, n13_sample_rff, n14_sample_sphere_approx, n15_sample_rff_approx, n16_sample_hard, n17_sample_resampled)}
 
 _DIST = lambda a, b: f"(list_dot_product({a}, {a}) + list_dot_product({b}, {b}) - 2 * list_dot_product({a}, {b}))"
 CODES = f"""{VECTORS}, hv AS (SELECT item_id, label, vec, vec[1:32] AS v0, vec[33:64] AS v1 FROM vecs), ce AS (SELECT (item_id - 1)::int AS k, v0 AS c0, v1 AS c1 FROM hv WHERE item_id <= 8),
@@ -166,7 +178,36 @@ _PS = "ps AS (SELECT query_id, a.k AS k0, b.k AS k1, list_dot_product(q.vec[1:32
 _N = "(SELECT count(*) FROM vecs)"
 UNI = lambda n: f"un AS (SELECT query_id, q.vec AS qv, draw::int AS draw, (floor({uniform_sql(42, 'uniform', 'query_id::varchar', 'draw::varchar')} * {_N}) + 1)::bigint AS item_id FROM qs q, range(1, {n + 1}) t(draw)), us AS (SELECT un.*, list_dot_product(qv, v.vec) AS score FROM un JOIN vecs v USING (item_id))"
 
+_PICK = lambda stage: f"""dr AS (SELECT query_id, draw::int AS draw, {uniform_sql(42, stage + '0', 'query_id::varchar', 'draw::varchar')} AS u0, {uniform_sql(42, stage + '1', 'query_id::varchar', 'draw::varchar')} AS u1, {uniform_sql(42, stage + '2', 'query_id::varchar', 'draw::varchar')} AS u2 FROM qs, range(1, 21) t(draw)),
+pr AS (SELECT query_id, k0, k1, s, w * exp(s - max(s) OVER (PARTITION BY query_id)) AS p FROM ps JOIN jw USING (k0, k1)),
+f0 AS (SELECT query_id, k0, sum(p) AS p FROM pr GROUP BY ALL), g0 AS (SELECT query_id, k0, sum(p) OVER (PARTITION BY query_id ORDER BY k0) AS hi, sum(p) OVER (PARTITION BY query_id) AS t FROM f0),
+a0 AS (SELECT dr.query_id, draw, u1, u2, min(k0) AS k0 FROM dr JOIN g0 USING (query_id) WHERE hi > u0 * t GROUP BY ALL),
+g1 AS (SELECT query_id, k0, k1, s, sum(p) OVER (PARTITION BY query_id, k0 ORDER BY k1) AS hi, sum(p) OVER (PARTITION BY query_id, k0) AS t FROM pr),
+a1 AS (SELECT query_id, draw, u2, k0, min((k1, s)) AS x FROM a0 JOIN g1 USING (query_id, k0) WHERE hi > u1 * t GROUP BY ALL),
+dp AS (SELECT query_id, draw, u2, k0, x[1] AS k1, x[2] AS s FROM a1)"""
+_KERNEL = lambda stage, weight, digits: f"""kw AS (SELECT query_id, v.item_id, {weight} AS w FROM fq q CROSS JOIN fv v), kc AS (SELECT query_id, item_id, w, sum(w) OVER (PARTITION BY query_id ORDER BY item_id) AS hi, sum(w) OVER (PARTITION BY query_id) AS z FROM kw),
+dr AS (SELECT query_id, draw::int AS draw, {uniform_sql(42, stage, 'query_id::varchar', 'draw::varchar')} AS u FROM qs, range(1, 6) t(draw)),
+hit AS (SELECT dr.query_id, draw, min((kc.item_id, kc.w, kc.z)) AS x FROM dr JOIN kc USING (query_id) WHERE hi > u * z GROUP BY ALL)
+SELECT query_id, draw, x[1] AS item_id, round(ln(5 * x[2] / x[3]), {digits}) AS log_q FROM hit"""
+
+
+def _fourier(scale: float) -> str:
+    """Features of all vectors by the W that the operator draws, as a table fv; fq has those of the queries."""
+    w = np.random.default_rng([42, 64]).normal(0, 1 / np.sqrt(scale), (64, 32))
+    rows = ", ".join("(" + "[" + ", ".join(f"{float(x)!r}::double" for x in w[:, j]) + f"], {j})" for j in range(32))
+    return f"""ww(w, j) AS (VALUES {rows}), pj AS (SELECT item_id, j, list_dot_product(vec, w) / sqrt(list_dot_product(vec, vec)) AS x FROM vecs CROSS JOIN ww),
+fv AS (SELECT item_id, list_concat(list(cos(x) / sqrt(32) ORDER BY j), list(sin(x) / sqrt(32) ORDER BY j)) AS f FROM pj GROUP BY 1), fq AS (SELECT item_id AS query_id, f FROM fv)"""
+
+
+_W4, _W5 = _fourier(4.0), _fourier(5.0)
+
 ORACLE_SQL = {
+    "n2_positive_log_q": f"WITH {VECTORS}, {CDF}, nr AS (SELECT query_id, unnest([query_id + 1, query_id + 2]) AS item_id FROM qs), ne AS (SELECT nr.* FROM nr JOIN vecs USING (item_id)), kw AS (SELECT query_id, v.item_id, 100.0::double * list_dot_product(q.vec, v.vec) * list_dot_product(q.vec, v.vec) + 1 AS w FROM qs q CROSS JOIN vecs v), kz AS (SELECT *, sum(w) OVER (PARTITION BY query_id) AS z FROM kw) SELECT query_id, item_id, 1.0::double AS log_q, 'uniform' AS form FROM ne UNION ALL SELECT query_id, item_id, 0.0, 'hard' FROM ne UNION ALL SELECT ne.query_id, ne.item_id, coalesce(round(ln(prob), 6), 0.0), 'popular' FROM ne LEFT JOIN pc ON pc.item_id = ne.item_id UNION ALL SELECT query_id, item_id, round(ln(5 * w / z), 6), 'sphere' FROM ne JOIN kz USING (query_id, item_id)",
+    "n7_sample_index_uniform": f"WITH {CODES}, {_PS}, jw AS (SELECT k0, k1, count(*) AS w FROM co GROUP BY ALL), {_PICK('index')}, ix AS (SELECT item_id, k0, k1, row_number() OVER (PARTITION BY k0, k1 ORDER BY item_id) - 1 AS pos FROM co) SELECT query_id, draw, item_id, round(s, 6) AS log_q FROM dp JOIN jw USING (k0, k1) JOIN ix ON ix.k0 = dp.k0 AND ix.k1 = dp.k1 AND ix.pos = floor(u2 * w)",
+    "n8_sample_index_weighted": f"WITH {CODES}, {_PS}, jw AS (SELECT k0, k1, sum(w_pop) AS w FROM wt GROUP BY ALL), {_PICK('weighted')}, ix AS (SELECT item_id, k0, k1, w_pop, sum(w_pop) OVER (PARTITION BY k0, k1 ORDER BY item_id) / sum(w_pop) OVER (PARTITION BY k0, k1) AS hi FROM wt), hit AS (SELECT query_id, draw, s, min((ix.item_id, w_pop)) AS x FROM dp JOIN ix USING (k0, k1) WHERE hi >= u2 GROUP BY ALL) SELECT query_id, draw, x[1] AS item_id, round(s + ln(x[2]), 6) AS log_q FROM hit",
+    "n11_sample_sphere": f"WITH {VECTORS}, fq AS (SELECT query_id, vec AS f FROM qs), fv AS (SELECT item_id, vec AS f FROM vecs), {_KERNEL('sphere', '100.0::double * list_dot_product(q.f, v.f) * list_dot_product(q.f, v.f) + 1', 6)}",
+    "n13_sample_rff": f"WITH {VECTORS}, {_W4}, {_KERNEL('rff', 'greatest(list_dot_product(q.f, v.f), 1e-8::double)', 5)}",
+    "n15_sample_rff_approx": f"WITH {VECTORS}, {_W5}, {UNI(5)} SELECT un.query_id, draw, un.item_id, round(ln(greatest(list_dot_product(a.f, b.f), 1e-8::double)), 5) AS log_q FROM un JOIN fq a ON a.query_id = un.query_id JOIN fv b ON b.item_id = un.item_id",
     "w12_popularity_cdf": f"WITH {CDF}, m AS (SELECT item_id, 0 AS mode, w0 AS w FROM pw UNION ALL SELECT item_id, 1, w1 FROM pw UNION ALL SELECT item_id, 2, w2 FROM pw) SELECT item_id, mode, round(w / sum(w) OVER (PARTITION BY mode), 9) AS prob, round(sum(w) OVER (PARTITION BY mode ORDER BY item_id) / sum(w) OVER (PARTITION BY mode), 9) AS cdf FROM m",
     "n1_sample_uniform": f"WITH {VECTORS}, {UNI(5)} SELECT query_id, draw, item_id, 1.0::double AS log_q FROM un",
     "n2_sample_popular": f"WITH {VECTORS}, {CDF}, dr AS (SELECT query_id, draw::int AS draw, {uniform_sql(42, 'popular', 'query_id::varchar', 'draw::varchar')} AS u FROM qs, range(1, 6) t(draw)) SELECT query_id, draw, pc.item_id, round(ln(prob), 6) AS log_q FROM dr ASOF JOIN pc ON dr.u <= pc.cdf",
@@ -176,7 +217,7 @@ ORACLE_SQL = {
     "w13_cluster_cdf": f"WITH {CODES}, c AS (SELECT item_id, k0, k1, w_pop, sum(w_pop) OVER (PARTITION BY k0, k1 ORDER BY item_id) AS r, sum(w_pop) OVER (PARTITION BY k0, k1) AS t FROM wt) SELECT item_id, k0, k1, round((r - w_pop) / t, 9) AS lo, round(r / t, 9) AS cdf FROM c",
     "n9_index_log_q": f"WITH {CODES}, {_PS}, nr AS (SELECT query_id, unnest([query_id, query_id + 1, query_id + 2]) AS item_id FROM qs), b AS (SELECT nr.query_id, nr.item_id, s, w_pop FROM nr JOIN wt USING (item_id) JOIN ps ON ps.query_id = nr.query_id AND ps.k0 = wt.k0 AND ps.k1 = wt.k1) SELECT query_id, item_id, round(s, 6) AS log_q, 'even' AS form FROM b UNION ALL SELECT query_id, item_id, round(s + ln(w_pop), 6), 'weighted' FROM b UNION ALL SELECT query_id, 0, 0.0, unnest(['even', 'weighted']) FROM qs",
     "n10_index_proposal": f"WITH {CODES}, {_PS}, e AS (SELECT query_id, item_id, w_pop * exp(s) AS x FROM ps JOIN wt USING (k0, k1)) SELECT query_id, item_id, round(x / sum(x) OVER (PARTITION BY query_id), 9) AS prob FROM e",
-    "n12_rff_features": f"WITH {VECTORS} SELECT item_id, 64 AS width, 1.0::double AS length FROM vecs",
+    "n12_rff_features": f"WITH {VECTORS}, {_W4} SELECT item_id, len(f)::int AS width, list_transform(f, lambda x: round(x, 6) + 0.0::double) AS vec FROM fv",
     "n14_sample_sphere_approx": f"WITH {VECTORS}, {UNI(5)} SELECT query_id, draw, item_id, round(ln(100.0::double * score * score + 1), 6) AS log_q FROM us",
     "n16_sample_hard": f"WITH {VECTORS}, {UNI(10)}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, draw)::int AS draw, item_id FROM us) SELECT query_id, draw, item_id, 0.0::double AS log_q FROM r WHERE draw <= 5",
     "n17_sample_resampled": f"WITH {VECTORS}, {UNI(10)}, h AS (SELECT query_id, draw, item_id, sum(exp(score)) OVER (PARTITION BY query_id ORDER BY draw) / sum(exp(score)) OVER (PARTITION BY query_id) AS hi FROM us), dr AS (SELECT query_id, d::int AS draw, {uniform_sql(42, 'resample', 'query_id::varchar', 'd::varchar')} AS u FROM qs, range(1, 6) t(d)) SELECT dr.query_id, dr.draw, h.item_id, 0.0::double AS log_q FROM dr ASOF JOIN h ON dr.query_id = h.query_id AND dr.u < h.hi",

@@ -22,7 +22,7 @@ def _delimited(spark: SparkSession, sf_dir: str, sep: str, header: bool) -> str:
 def s1_field_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A schema with a sequence field, applied to products: a name and the words of its type."""
     path = new_path(spark)
-    table(spark, sf_dir, "documents").select("doc_id", "source", F.array_join(F.slice(F.split("text", r"\s+"), 1, 5), "~").alias("words")).write.csv(path, sep="\t", quote="", header=True)
+    table(spark, sf_dir, "documents").select("doc_id", "source", F.array_join(F.split("text", r"\s+"), "~").alias("words")).write.csv(path, sep="\t", quote="", header=True)
     schema, separators = S.field_schema(["doc_id:token", "source:token", 'words:token_seq:"~"'])
     rows = spark.read.csv(path, schema="doc_id string, source string, words string", sep="\t", quote="", header=True)
     from ..operators.interact import split_sequence
@@ -46,10 +46,10 @@ def s3_read_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s4_read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of one file each: a space first, then the tokens, as the reader drops the first character."""
+    """Texts in files as Spark writes them: a space first, then the tokens, as the reader drops a file's first character."""
     path = new_path(spark)
     for role, name in (("train", "documents"), ("test", "benchmark")):
-        table(spark, sf_dir, name).where("text IS NOT NULL").select(F.concat(F.lit(" "), "text").alias("value")).repartition(1).write.option("lineSep", "\x00").text(f"{path}/{role}.txt")
+        table(spark, sf_dir, name).where("text IS NOT NULL").select(F.concat(F.lit(" "), "text").alias("value")).write.option("lineSep", "\x00").text(f"{path}/{role}.txt")
     return S.read_corpus(spark, path).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("token").alias("kinds"))
 
 
@@ -84,7 +84,7 @@ def s7_write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (s1_field_schema, s2_read_interactions, s3_read_triples, s4_read_corpus, s5_read_sparse_multilabel, s6_check_header, s7_write_table)}
 
 ORACLE_SQL = {
-    "s1_field_schema": "SELECT doc_id::varchar AS doc_id, source, list_filter(string_split(array_to_string(string_split_regex(text, '\\s+')[1:5], '~'), '~'), lambda x: x <> '') AS words FROM documents",
+    "s1_field_schema": "SELECT doc_id::varchar AS doc_id, source, list_filter(string_split(array_to_string(string_split_regex(text, '\\s+'), '~'), '~'), lambda x: x <> '') AS words FROM documents",
     "s2_read_interactions": f"WITH {INTER} SELECT user_id::varchar AS user_id, item_id::varchar AS item_id, rating, epoch(ts)::double AS timestamp, form FROM inter, (SELECT unnest(['tab', 'colons']) AS form)",
     "s3_read_triples": f"WITH {TRIPLES} SELECT split, head, relation, tail, count(*) AS n FROM tri GROUP BY ALL",
     "s4_read_corpus": """WITH t AS (SELECT 'train' AS split, text, doc_id AS id FROM documents UNION ALL SELECT 'test', text, item_id FROM benchmark),

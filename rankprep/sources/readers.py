@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
+from ..operators.ids import with_row_number
 from ..operators.interact import split_sequence
 
 ROLES = ("train", "valid", "test")
@@ -63,11 +64,24 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str, skip_first_char: bool = True) -> DataFrame:
-    """(split, pos, token) from whole text files, split at single spaces; empty tokens and line ends stay."""
+    """(split, pos, token) from text files, split at single spaces; empty tokens and line ends stay. pos is the place in
+    the file.
+
+    Spaces are read as the ends of lines, so large files are split over tasks; places come from the parts' sizes. A file
+    without a byte has no token.
+    """
 
     def read(pattern: str) -> DataFrame:
-        text = F.substring("value", 2, 2**31 - 1) if skip_first_char else F.col("value")
-        return spark.read.text(pattern, wholetext=True).select(F.posexplode(F.split(text, " ", -1)).alias("pos", "token"))
+        raw = spark.read.option("lineSep", " ").text(pattern).select(F.col("value").alias("token"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"))
+        rows = with_row_number(raw.withColumn("in_part", F.monotonically_increasing_id()), ["file", "block", "in_part"], "n")
+        used = F.sum(F.octet_length("token") + 1)
+        files = rows.groupBy("file").agg(F.min("n").alias("start"), F.max("n").alias("end"), (used == F.max("size")).alias("open"), (F.min_by("token", "n") == "").alias("blank"))
+        # where a file's first character is a space, nothing stands before it once it is dropped
+        files = files.withColumn("base", F.col("start") + (F.col("blank").cast("int") if skip_first_char else 0))
+        placed = rows.join(files.select("file", "start", "base"), "file").where("n >= base")
+        token = F.when(F.col("n") == F.col("start"), F.substring("token", 2, 2**31 - 1)).otherwise(F.col("token")) if skip_first_char else F.col("token")
+        tail = files.where("open").select((F.col("end") + 1 - F.col("base")).alias("pos"), F.lit("").alias("token"))
+        return placed.select((F.col("n") - F.col("base")).alias("pos"), token.alias("token")).unionByName(tail)
 
     return _by_role(spark, path, read).select("split", F.col("pos").cast("long").alias("pos"), "token")
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests, one machine), a new temporary folder."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, on one machine only, a new temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-rankprep-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -25,4 +27,14 @@ def saved(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: later steps don't depend on lost executors."""
     path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more: what was made of them has been saved itself."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._saved_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
