@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import inner_product, l2_normalize, uniform
 from ..tables import saved
+from .ids import with_group_places
 
 
 def _assign(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
@@ -135,11 +136,11 @@ def build_index(codes: DataFrame, k: int) -> DataFrame:
     Pairs number k x k, so their running total is over that many rows.
     """
     pair = F.col("k0") * k + F.col("k1")
-    place = F.row_number().over(Window.partitionBy("k0", "k1").orderBy("item_id")) - 1
-    sizes = codes.groupBy("k0", "k1").agg(F.count("*").alias("n"))
+    placed = with_group_places(codes, ["k0", "k1"], ["item_id"])
+    sizes = placed.groupBy("k0", "k1").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy(pair).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("k0", "k1", before.alias("start"))
-    return codes.withColumn("pos", place).join(starts, ["k0", "k1"]).select("item_id", "k0", "k1", "pos", "start", *[c for c in ("weight",) if c in codes.columns])
+    return placed.withColumn("pos", F.col("_place").cast("int")).join(starts, ["k0", "k1"]).select("item_id", "k0", "k1", "pos", "start", *[c for c in ("weight",) if c in codes.columns])
 
 
 def joint_weights(weighted: DataFrame) -> DataFrame:
@@ -149,10 +150,7 @@ def joint_weights(weighted: DataFrame) -> DataFrame:
 
 def cluster_cdf(weighted: DataFrame) -> DataFrame:
     """``weighted`` with lo and cdf: the running share of the weight within the pair, by item; the last is 1."""
-    pair = Window.partitionBy("k0", "k1")
-    run = F.sum("weight").over(pair.orderBy("item_id").rowsBetween(Window.unboundedPreceding, 0))
-    last = F.row_number().over(pair.orderBy(F.desc("item_id"))) == 1
-    out = weighted.withColumn("_t", F.sum("weight").over(pair)).withColumn("_r", run).withColumn("_last", last)
-    out = out.withColumn("cdf", F.when(F.col("_last"), 1.0).otherwise(F.col("_r") / F.col("_t")))
-    lo = F.coalesce(F.lag("cdf").over(pair.orderBy("item_id")), F.lit(0.0))
-    return out.withColumn("lo", lo).drop("_t", "_r", "_last")
+    out = with_group_places(weighted, ["k0", "k1"], ["item_id"], "weight")
+    last, first = F.col("_place") == F.col("_size") - 1, F.col("_place") == 0
+    out = out.withColumn("lo", F.when(first, 0.0).otherwise((F.col("_run") - F.col("weight")) / F.col("_total")))
+    return out.withColumn("cdf", F.when(last, 1.0).otherwise(F.col("_run") / F.col("_total"))).drop("_place", "_size", "_run", "_total")

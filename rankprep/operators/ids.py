@@ -40,6 +40,25 @@ def with_prefix_sum(df: DataFrame, value: str, order: list[Column | str], name:
     return parts.join(starts, "_part").withColumn(name, F.col("_start") + within).drop("_part", "_at", "_start")
 
 
+def with_group_places(df: DataFrame, keys: list[str], order: list[str], value: str | None = None) -> DataFrame:
+    """``df`` with _place, the 0-based place within its group of equal ``keys``, and _size, the group's rows; with
+    ``value`` also _run, its sum up to and including the row, and _total, that of the group.
+
+    As above, so that a group of any size is spread over tasks: each part of it is numbered by itself, and the parts'
+    sizes, one row for each part and group, are added up.
+    """
+    v = F.col(value) if value else F.lit(0.0)
+    parts = _sorted_parts(df, [*keys, *order])
+    sums = parts.groupBy("_part", *keys).agg(F.count("*").alias("_n"), F.sum(v).alias("_s"))
+    group = Window.partitionBy(*keys)
+    past = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_part", *keys, *[F.coalesce(F.sum(c).over(past), F.lit(zero)).alias(f"{c}0") for c, zero in (("_n", 0), ("_s", 0.0))], F.sum("_n").over(group).alias("_size"), F.sum("_s").over(group).alias("_total"))
+    own = Window.partitionBy("_part", *keys).orderBy("_at")
+    out = parts.withColumn("_place", F.row_number().over(own) - 1).withColumn("_run", F.sum(v).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.join(sums, ["_part", *keys]).withColumn("_place", F.col("_n0") + F.col("_place")).withColumn("_run", F.col("_s0") + F.col("_run"))
+    return out.drop("_part", "_at", "_n0", "_s0", *([] if value else ["_run", "_total"]))
+
+
 def build_dictionary(df: DataFrame, cols: list[str], order: list[str], pad: str = PAD) -> DataFrame:
     """(token, id): ids from 1 by first appearance of the tokens of ``cols``, which share one id space; the pad has 0.
 

@@ -379,3 +379,43 @@ def test_flags(spark):
     cdf = spark.createDataFrame([(1, 0.25)], "item_id long, prob double")
     assert value("popular", cdf) == {1: math.log(0.25), 0: 0.0}
     assert value("sphere", scored=scored, n=2, correct_pos=True)[1] == pytest.approx(math.log(2 * 101 / 103))
+
+
+def test_places_within_groups_of_any_size(spark):
+    """One group holds most rows and so lies in several parts."""
+    import random
+
+    from rankprep.operators.ids import with_group_places
+
+    rng = random.Random(3)
+    rows = [(i, 7 if rng.random() < 0.8 else rng.randrange(20), rng.randrange(1, 9) / 8) for i in range(4000)]
+    df = spark.createDataFrame(rows, "item long, k long, w double").repartition(6)
+    got = {r["item"]: (r["_place"], r["_size"], r["_run"], r["_total"]) for r in with_group_places(df, ["k"], ["item"], "w").collect()}
+    seen = {}
+    for i, k, w in rows:
+        n, s = seen.get(k, (0, 0.0))
+        seen[k] = (n + 1, s + w)
+        assert got[i][0] == n and got[i][2] == s + w
+    assert all(got[i][1] == seen[k][0] and got[i][3] == seen[k][1] for i, k, _ in rows)
+
+
+@pytest.mark.parametrize("skip", [True, False])
+def test_corpus_tokens_of_odd_files(spark, tmp_path, skip):
+    """Leading, trailing and doubled spaces, in files that are read in several pieces."""
+    from rankprep.sources import read_corpus
+
+    texts = {"train-1.txt": " a b  c ", "train-2.txt": "xa b\nc", "train-3.txt": "  ", "valid.txt": "q", "test.txt": " " + "w1 w2\n " * 3000}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {}
+        for r in read_corpus(spark, str(tmp_path), skip).collect():
+            got.setdefault(r["split"], []).append((r["pos"], r["token"]))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {}
+    for name, text in texts.items():
+        role = name.split("-")[0].split(".")[0]
+        want.setdefault(role, []).extend(enumerate((text[1:] if skip else text).split(" ")))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
