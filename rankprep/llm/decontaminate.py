@@ -9,6 +9,7 @@ an item's hash is confirmed by the edit distance itself.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 from .common import NOT_ALNUM, U64, joined_bytes, map_arrow, mix, text_slices, words
 
 #: Items are held in memory in blocks of at most so many; the documents are read once for each block.
-ITEMS_PER_BLOCK = 5000
+ITEMS_PER_BLOCK = 20_000
 #: Sampled steps of a hash.
 SAMPLES = 4
-MAX_REPETITIONS = 96
+#: Where the target recall is not reached by so many repetitions, a warning says so.
+MAX_REPETITIONS = 256
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +52,16 @@ class SizeClass:
     steps: list[np.ndarray] = field(default_factory=list)
     bits: list[np.ndarray] = field(default_factory=list)
     partial: list[list[np.ndarray]] = field(default_factory=list)
-    of_hash: list[dict[int, list[int]]] = field(default_factory=list)
+    of_hash: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    recall: float = 0.0
+
+    def matches(self, rep: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each hash that an item has too: its place in ``key``, and the item."""
+        known, items = self.of_hash[rep]
+        first = np.searchsorted(known, key, "left")
+        n = np.searchsorted(known, key, "right") - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.repeat(np.arange(len(key)), n), items[at]
 
     def walk(self, rep: int, tokens: np.ndarray, at: np.ndarray, prune: bool) -> tuple[np.ndarray, np.ndarray]:
         """Walks from the positions ``at``: which of them (by index) get to the end, and their hashes.
@@ -78,16 +89,15 @@ class SizeClass:
         self.bits.append(rng.integers(0, 1 << 63, reach, dtype=np.int64).astype(U64) * U64(2) + U64(1))
         flat = np.concatenate([np.append(tokens[i], U64(0)) for i in self.items])
         starts = np.concatenate([[0], np.cumsum([len(tokens[i]) + 1 for i in self.items])[:-1]])
-        kept, of_hash = [], {}
+        kept = []
         steps = self.steps[-1]
         for n in range(1, SAMPLES + 1):
             self.steps[-1] = steps[:n]
             _, key = self.walk(len(self.steps) - 1, flat, starts, prune=False)
             kept.append(np.unique(key))
-        for i, k in zip(self.items, key.tolist(), strict=True):
-            of_hash.setdefault(k, []).append(i)
+        order = np.argsort(key, kind="stable")
         self.partial.append(kept)
-        self.of_hash.append(of_hash)
+        self.of_hash.append((key[order], np.array(self.items, np.int32)[order]))
 
 
 @dataclass
@@ -96,6 +106,8 @@ class Index:
     tokens: list[np.ndarray]
     rate: float
     classes: list[SizeClass]
+    short: dict[tuple[int, ...], list[int]]  # items of too few words for a window, by their words
+    min_words: int
     vocabulary: np.ndarray  # by the leading bits of a word's hash, a bit for each size class that has such a word
 
     def flags(self, tokens: np.ndarray) -> np.ndarray:
@@ -127,7 +139,10 @@ def build_index(items: list[tuple[int, str]], rate: float = 0.2, min_words: int
     tokens = [flat[a : b - 1] for a, b in zip(at[:-1], at[1:], strict=True)]
     rng = np.random.default_rng(seed)
     classes: dict[int, SizeClass] = {}
+    short: dict[tuple[int, ...], list[int]] = {}
     for i, t in enumerate(tokens):
+        if 0 < len(t) < min_words:
+            short.setdefault(tuple(t.tolist()), []).append(i)
         if len(t) >= min_words:
             low = min_words
             while int(low * 1.25) + 1 <= len(t):
@@ -139,19 +154,20 @@ def build_index(items: list[tuple[int, str]], rate: float = 0.2, min_words: int
         trial = [(i, _edited(tokens[i], allowed_edits(len(tokens[i]), rate), rng)) for i in np.resize(c.items, 300).tolist()]
         trial_flat = np.concatenate([np.append(t, U64(0)) for _, t in trial])
         starts = np.concatenate([[0], np.cumsum([len(t) + 1 for _, t in trial])[:-1]])
-        found = np.zeros(len(trial), bool)
+        found, of_trial = np.zeros(len(trial), bool), np.array([i for i, _ in trial])
         while found.mean() < recall and len(c.steps) < MAX_REPETITIONS:
             c.add_repetition(rng, tokens)
             which, key = c.walk(len(c.steps) - 1, trial_flat, starts, prune=True)
-            for w, k in zip(which.tolist(), key.tolist(), strict=True):
-                found[w] |= trial[w][0] in c.of_hash[-1].get(k, ())
+            place, item = c.matches(len(c.steps) - 1, key)
+            found[which[place][of_trial[which[place]] == item]] = True
+        c.recall = float(found.mean())
     found_classes = [classes[k] for k in sorted(classes)]
     bits = max(18, (16 * len(flat)).bit_length())
     vocabulary = np.zeros(1 << bits, U64)
     for n, c in enumerate(found_classes):  # sizes grow by a quarter, so 64 classes are far more than texts can fill
         own = np.unique(np.concatenate([tokens[i] for i in c.items]) >> U64(64 - bits)).astype(np.int64)
         vocabulary[own] |= U64(1 << min(n, 63))
-    return Index([i for i, _ in items], tokens, rate, found_classes, vocabulary)
+    return Index([i for i, _ in items], tokens, rate, found_classes, short, min_words, vocabulary)
 
 
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -188,11 +204,15 @@ def search(index: Index, tokens: np.ndarray, at: np.ndarray) -> list[tuple[int,
         start = np.flatnonzero((seen[c.low : c.low + len(tokens)] - seen[: len(tokens)] >= c.low - c.edits) & (tokens != 0))
         for rep in range(len(c.steps)):
             which, key = c.walk(rep, tokens, start, prune=True)
-            for p, k in zip(start[which].tolist(), key.tolist(), strict=True):
-                row = int(np.searchsorted(at, p, "right")) - 1
-                for i in c.of_hash[rep].get(k, ()):
-                    hits.setdefault((row, i), []).append(p)
+            place, item = c.matches(rep, key)
+            p = start[which[place]]
+            for row, i, x in zip((np.searchsorted(at, p, "right") - 1).tolist(), item.tolist(), p.tolist(), strict=True):
+                hits.setdefault((row, i), []).append(x)
     out = []
+    if index.short:
+        for row in np.flatnonzero(np.diff(at) <= index.min_words).tolist():
+            own = tokens[at[row] : at[row + 1] - 1]
+            out += [(row, i, 0, 0, len(own)) for i in index.short.get(tuple(own.tolist()), ())]
     for (row, i), places in hits.items():
         item = index.tokens[i]
         edits = allowed_edits(len(item), index.rate)
@@ -219,8 +239,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min_w
 
     A copy is a stretch of the document's words (lower-cased, without punctuation) whose word edit distance to the whole
     item is at most ``rate`` of the item's words; the best one is given, the first of equals. Items of fewer than
-    ``min_words`` words, null and empty items are not searched for. The search is by hashing and aims at ``recall``;
-    nothing is reported that the edit distance doesn't confirm. Null and empty texts hold nothing; repeated rows of
+    ``min_words`` words, which stand by chance in any prose, are found where they are a document's only words; null and
+    empty items are not searched for. The search is by hashing and aims at ``recall``, and warns where trial copies are
+    found less often; nothing is reported that the edit distance doesn't confirm. Very long texts are searched whole. Null and empty texts hold nothing; repeated rows of
     documents or items are reported for each; empty tables give an empty result.
     """
     result = None
@@ -263,6 +284,9 @@ def _indexes(benchmark: DataFrame, rate: float, min_words: int, recall: float) -
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         index = build_index(sorted((r["item_id"] or 0, r["text"]) for r in rows), rate, min_words, recall)
+        for c in index.classes:
+            if c.recall < recall:
+                warnings.warn(f"items of {c.low} words and more: {c.recall:.3f} of edited copies found, not {recall}", stacklevel=2)
         yield benchmark.sparkSession.sparkContext.broadcast(index)
 
 
