@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, joined_bytes, mix, packed, saved, slices, unpack
+from .common import U64, joined_bytes, mix, packed, saved, slices, unpack, words
 
 ORDER = 5
 #: Bytes of text in a block, about.
@@ -23,6 +23,8 @@ BLOCK_BYTES = 32 << 20
 FOLDS = 5
 #: Bytes before a text's first.
 START = 10
+#: The share of a text's words, at least one, that its tail is made of; shorter words count as so many bytes.
+TAIL, WORD = 0.01, 4
 
 
 def text_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -81,18 +83,31 @@ def _ask(table: pa.Table) -> pa.Table:
     return pa.table({"block": np.full(len(asked), block, np.int64), "gram": asked, "n": counts})
 
 
+def tails(surprise: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each text the mean surprise a byte of its most surprising words, TAIL of all; ``surprise`` is a running sum."""
+    start, end, at, _ = words(data, offsets)
+    each = (surprise[end] - surprise[start]) / np.maximum(end - start, WORD)
+    out = np.zeros(len(offsets) - 1)
+    for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        if b > a:
+            k = max(1, int((b - a) * TAIL))
+            out[i] = np.partition(each[a:b], b - a - k)[b - a - k :].mean()
+    return out
+
+
 def _score(table: pa.Table, answers: pa.Table) -> pa.Table:
     docs, trusted, held = _label_of(table)
     grams, logs = np.asarray(answers["gram"].combine_chunks()), np.asarray(answers["logp"].combine_chunks())
     order = np.argsort(grams)
     grams, logs = grams[order], logs[order]
-    sums, sizes = np.zeros(docs.num_rows), np.zeros(docs.num_rows, np.int64)
+    sums, worst, sizes = np.zeros(docs.num_rows), np.zeros(docs.num_rows), np.zeros(docs.num_rows, np.int64)
     for a, b, data, offsets in _texts(docs):
         if len(data):
             own = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(grams, text_grams(data, offsets))])])
             sums[a:b] = own[offsets[1:]] - own[offsets[:-1]]
+            worst[a:b] = tails(-own, data, offsets)
             sizes[a:b] = np.diff(offsets)
-    return pa.table({"doc_id": docs["doc_id"], "lang": docs["lang"], "trusted": trusted, "held": held, "n_bytes": sizes, "perplexity": pa.array(np.exp(-sums / np.maximum(sizes, 1)), mask=sizes == 0)})
+    return pa.table({"doc_id": docs["doc_id"], "lang": docs["lang"], "trusted": trusted, "held": held, "n_bytes": sizes, "perplexity": pa.array(np.exp(-sums / np.maximum(sizes, 1)), mask=sizes == 0), "tail": pa.array(np.exp(worst), mask=sizes == 0)})
 
 
 def _discounts(counts: DataFrame, name: str) -> list[float]:
@@ -134,9 +149,9 @@ def log_probabilities(asked: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(doc_id, lang, trusted, held, n_bytes, perplexity) of each row of docs (doc_id, text, lang); ``trusted`` has doc_ids.
+    """(doc_id, lang, trusted, held, n_bytes, perplexity, tail) of each row of docs (doc_id, text, lang); ``trusted`` has doc_ids.
 
-    Perplexity is for each byte of the whole text. One in FOLDS trusted documents (by a hash) is held back from the
+    Perplexity is for each byte of the whole text; ``tail`` is that of its most surprising words. One in FOLDS trusted documents (by a hash) is held back from the
     model, so that thresholds can be set on text that it doesn't know. Null and empty texts have none; a null doc_id is never trusted;
     repeated rows each get theirs, and are counted each if trusted; without trusted text all bytes are alike (256).
     """
@@ -150,30 +165,33 @@ def score_documents(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     asked = saved(dealt.groupBy("block").applyInArrow(_ask, "block long, gram long, n long"))
     counts = saved(asked.groupBy("gram").agg(F.sum("n").alias("n")))
     answers = asked.select(F.col("block").alias("place"), "gram").join(log_probabilities(counts, counts), "gram")
-    schema = "doc_id long, lang string, trusted boolean, held boolean, n_bytes long, perplexity double"
+    schema = "doc_id long, lang string, trusted boolean, held boolean, n_bytes long, perplexity double, tail double"
     return dealt.groupBy("block").cogroup(answers.groupBy("place")).applyInArrow(_score, schema)
 
 
 def judge_quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, slack: float = 1.1, least_trusted: int = 30) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity, threshold, keep) of each row.
+    """(doc_id, lang, n_bytes, perplexity, threshold, tail, tail_threshold, keep) of each row.
 
     A document is kept up to the perplexity that ``quantile`` of the held-back trusted documents of its language stay
-    below, times ``slack``; languages with fewer than ``least_trusted`` of these, and rows without a language, go by those
-    of all languages. Without any, all texts are kept; empty texts never are.
+    below, times ``slack``, if that of its most surprising words (``tail``), with a threshold made alike, is not too high
+    either: a few words that trusted text doesn't have hardly change the mean. Languages with fewer than ``least_trusted``
+    held-back documents, and rows without a language, go by those of all languages. Without any, all texts are kept;
+    null and empty texts never are. Very long texts are scored whole; ties and repeated rows each get their result; other
+    columns are not looked at; an empty table gives an empty one.
     """
     scored = saved(score_documents(docs, trusted))
     good = scored.where("held AND perplexity IS NOT NULL")
-    at = F.percentile_approx("perplexity", quantile, 100_000) * slack
-    by_language = good.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"), at.alias("own")).where(F.col("n") >= least_trusted).drop("n")
-    everything = good.agg(at.alias("any"))
-    limit = F.coalesce("own", "any")
+    at = lambda c: F.percentile_approx(c, quantile, 100_000) * slack
+    by_language = good.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"), at("perplexity").alias("own"), at("tail").alias("own_tail")).where(F.col("n") >= least_trusted).drop("n")
+    everything = good.agg(at("perplexity").alias("any"), at("tail").alias("any_tail"))
+    limit, limit_tail = F.coalesce("own", "any"), F.coalesce("own_tail", "any_tail")
     joined = scored.join(by_language, "lang", "left").join(F.broadcast(everything))  # one row
-    keep = F.coalesce(F.col("perplexity") <= limit, F.col("perplexity").isNotNull())
-    return joined.select("doc_id", "lang", "n_bytes", "perplexity", limit.alias("threshold"), keep.alias("keep"))
+    keep = F.coalesce((F.col("perplexity") <= limit) & (F.col("tail") <= limit_tail), F.col("perplexity").isNotNull())
+    return joined.select("doc_id", "lang", "n_bytes", "perplexity", limit.alias("threshold"), "tail", limit_tail.alias("tail_threshold"), keep.alias("keep"))
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
     out = judge_quality(docs, trusted)
-    return out.select("doc_id", "lang", "n_bytes", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "keep")
+    return out.select("doc_id", "lang", "n_bytes", *[F.round(c, 6).alias(c) for c in ("perplexity", "threshold", "tail", "tail_threshold")], "keep")
