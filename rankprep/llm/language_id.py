@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -176,20 +176,22 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def training_rows(docs: DataFrame, rows_per_language: int = 400, max_languages: int = 200) -> tuple[list[bytes], list[str]]:
-    """A bounded sample of labelled rows, at most about ``rows_per_language`` of each language, chosen by a hash.
+def training_rows(docs: DataFrame, rows_per_language: int = 400) -> tuple[list[bytes], list[str]]:
+    """A bounded sample of labelled rows, at most ``rows_per_language`` of each language, those of the smallest hashes.
 
-    The bound is on what is fitted only: counts cover all rows, and every text is labelled later.
+    The bound is on what is fitted only: counts cover all rows and languages, and every text is labelled later. Reruns
+    take the same rows.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
     if not counts:
         return [], []
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, rows_per_language / r["count"])))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) / F.lit(1e6)
-    rows = known.where(draw < F.element_at(share, F.col("lang"))).select("doc_id", "lang", "text")
-    got = sorted((r["lang"], -1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in rows.limit(2 * rows_per_language * len(counts)).collect())
-    return [t.encode() for _, _, t in got], [x for x, _, _ in got]
+    share = F.create_map(*[x for name in sorted(counts) for x in (F.lit(name), F.lit(min(1.0, 1.5 * rows_per_language / counts[name])))])
+    draw = F.xxhash64("doc_id", "text", F.lit("train"))
+    few = known.withColumn("draw", draw).where((F.pmod("draw", F.lit(1_000_000)) / F.lit(1e6)) < F.element_at(share, F.col("lang")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))
+    got = few.withColumn("place", place).where(F.col("place") <= rows_per_language).orderBy("lang", "place").select("lang", "text").collect()
+    return [r["text"].encode() for r in got], [r["lang"] for r in got]
 
 
 def fit(docs: DataFrame, rows_per_language: int = 400) -> Model:
