@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
+#: Up to so many sources, which are counted, are broadcast.
+FEW_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -60,12 +64,15 @@ def mix_sources(
     rounding of its target.
 
     Null text has size 0; null is a source of its own; an empty table gives an empty table; repeated rows count each;
-    documents without words take none. The row count never changes.
+    very long texts count whole; documents without words take none. The row count never changes. Other columns pass
+    through; those of the names above are replaced.
     """
     sized = docs.withColumn("mix_size", n_words("text"))
-    targets = source_targets(sized.select("source", F.col("mix_size").alias("size")), weights, share, max_epochs)
+    targets = saved(source_targets(sized.select("source", F.col("mix_size").alias("size")), weights, share, max_epochs))
     t = targets.select(F.col("source").alias("mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    out = sized.join(t, sized["source"].eqNullSafe(t["mix_key"]), "left").drop("mix_key")
+    t = F.broadcast(t) if targets.count() <= FEW_SOURCES else t
+    sized = sized.drop("mix_source_size", "mix_target")
+    out = sized.join(t, sized["source"].eqNullSafe(t["mix_key"]), "left").drop(t["mix_key"])
     ratio = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
     size = F.col("mix_size")
     part = F.floor(size * (ratio - F.floor(ratio)) + uniform(seed, "part", "doc_id"))
