@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import BASES, U64, Rolling, arrow_schema, as_batch, joined_bytes, key_groups, map_arrow, mix, packed, saved, signed, slices, text_slices, unpack
 
-_PLACE = (1 << 28) - 1
+#: Arrow holds strings of less than 2**31 bytes, so their places take 31 bits; the rest of a word orders the hashes.
+_PLACE = (1 << 31) - 1
 
 
 def seed_for(length: int) -> int:
