@@ -124,6 +124,41 @@ def test_decontamination(spark):
     assert decontaminate.without_contaminated(odd(spark), bench).count() == 5
 
 
+def test_decontamination_against_all_pairs(spark):
+    """Every item against every text by edit distance alone; items of few words only where they are the whole text."""
+    rng = random.Random(14)
+    items = [(i, prose(rng, rng.randrange(5, 30), 300)) for i in range(15)] + [(50, "Yes no."), (51, "yes NO")]
+    rows = []
+    for d in range(80):
+        w = prose(rng, rng.randrange(1, 120), 300).split()
+        if d % 2:
+            own = items[rng.randrange(15)][1].split()
+            for _ in range(rng.randrange(0, max(1, len(own) // 4))):
+                k = rng.randrange(len(own))
+                own[k : k + rng.randrange(2)] = [rng.choice(w)]
+            k = rng.randrange(len(w) + 1)
+            w[k:k] = own
+        rows.append((d, " ".join(w)))
+    rows += [(200, "yes, no!"), (201, "well yes no"), (202, prose(rng, 20_000, 300) + " " + items[4][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("edits", F.lit(1)).withColumn("item_id", F.lit(2))
+    found = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    tokens = lambda t: decontaminate._tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0][:-1]
+    for d, t in rows:
+        for i, text in items:
+            own = tokens(text)
+            if len(own) < 5:
+                if np.array_equal(own, tokens(t)):
+                    want[d, i] = 0
+                continue
+            cost = decontaminate.best_match(own, tokens(t))[0]
+            if cost <= decontaminate.allowed_edits(len(own), 0.2):
+                want[d, i] = cost
+    assert {(200, 50), (200, 51)} <= set(want) and len(want) > 30
+    assert set(found) <= set(want) and all(found[k] == want[k] for k in found)
+    assert len(found) >= 0.97 * len(want) and {(200, 50), (200, 51), (202, 4)} <= set(found)
+
+
 def test_best_match_is_the_edit_distance():
     rng = random.Random(5)
 
@@ -251,6 +286,13 @@ def test_licenses_are_all_found(spark):
         ("prose\n# Permission\n# to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", [("ISC", 1)]),
         (long, [(n, 0) for n in ("GPL-2.0", "LGPL-3.0", "MPL-2.0", "CC-BY-NC-4.0", "BSD", "CC0-1.0")]),
         ("the license of birds\n" * 50, []),
+        ("This work is licensed under the GNU Affero General Public License, version 2.", []),
+        ("This work is licensed under the GNU General Public License, version 4.", []),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", [("LGPL-2.1", 0)]),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", [("AGPL-3.0", 0)]),
+        ("Licensed under CC BY-ND 4.0. Licensed under CC BY-NC-SA 4.0.", [("CC-BY-ND-4.0", 0), ("CC-BY-NC-SA-4.0", 0)]),
+        (" ".join(t for own in license_scan.TEMPLATES.values() for t in own), [(n, 0) for n, own in license_scan.TEMPLATES.items() for _ in own]),
+        ("x " * 200_000 + mit + " y" * 200_000, [("MIT", 0)]),
     ]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {i: [] for i in range(len(cases))}
@@ -440,9 +482,103 @@ def test_quality(spark, docs):
     assert quality.judge_quality(df.where("doc_id < 0"), trusted).count() == 0
 
 
+def plain_kneser_ney(learned, text):
+    """The mean surprise a byte of a text under a model of the learned texts, gram by gram."""
+    from collections import Counter
+
+    n = quality.ORDER
+    pad = bytes([quality.START] * (n - 1))
+    level = Counter(p[i : i + n] for t in learned for p in [pad + t] for i in range(len(t)))
+    levels = {n: level}
+    for k in range(n - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    off, around = {}, {}
+    for k, own in levels.items():
+        n1, n2, n3, n4 = (max(1, sum(c == x for c in own.values())) for x in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [min(max(x - (x + 1) * y * b / a, 0.1), x - 0.05) for x, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        off[k] = lambda c, d=d: d[min(c, 3) - 1]
+        around[k] = {}
+        for g, c in own.items():
+            total, freed = around[k].get(g[:-1], (0, 0.0))
+            around[k][g[:-1]] = (total + c, freed + off[k](c))
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        k = len(g)
+        if g[:-1] not in around[k]:
+            return p(g[1:])
+        total, freed = around[k][g[:-1]]
+        c = levels[k].get(g, 0)
+        return ((c - off[k](c) if c else 0) + freed * p(g[1:])) / total
+
+    return -sum(math.log(p((pad + text)[i : i + n])) for i in range(len(text))) / len(text)
+
+
+def test_quality_against_a_plain_model(spark):
+    rng = random.Random(4)
+    texts = {i: prose(rng, rng.randrange(1, 40), 50) for i in range(40)} | {50: "é" * 30, 51: "zzzz qqqq"}
+    df = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.score_documents(df, spark.range(25).toDF("doc_id")).collect()}
+    learned = [texts[i].encode() for i in texts if got[i]["trusted"] and not got[i]["held"]]
+    assert 10 < len(learned) < 25
+    for i, t in texts.items():
+        assert math.log(got[i]["perplexity"]) == pytest.approx(plain_kneser_ney(learned, t.encode()), rel=1e-9)
+
+
+def test_quality_sees_a_few_odd_words(spark):
+    """One word in fifty that trusted text never has hardly moves the mean, but the tail."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 150, 60), "en") for i in range(400)]
+    odd_rows = []
+    for i in range(30):
+        w = prose(rng, 150, 60).split()
+        for k in range(0, 150, 50):
+            w[k + rng.randrange(50)] = rng.choice(["filthy", "vermin", "idiots"])
+        odd_rows.append((1000 + i, " ".join(w), "en"))
+    df = spark.createDataFrame(rows + odd_rows, "doc_id long, text string, lang string").withColumn("tail", F.lit("x"))
+    by = {r["doc_id"]: r for r in quality.judge_quality(df, spark.range(0, 300).toDF("doc_id")).collect()}
+    assert sum(by[i]["keep"] for i in range(300, 400)) >= 95 and not any(by[1000 + i]["keep"] for i in range(30))
+
+
 # ---- 9: language -----------------------------------------------------------------------------------------------------
 
 
+def test_language_against_a_plain_network():
+    """Pooled probabilities of texts of several lengths against one step at a time."""
+    rng = np.random.default_rng(3)
+    model = language_id.Model(["a", "b", "c"], language_id._init(3, 5, rng))
+    texts = [rng.integers(32, 127, n).astype(np.uint8) for n in (1, 7, 127, 128, 129, 300)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = language_id._pooled(model, np.concatenate(texts), offsets)
+    w = {k: v.astype(float) for k, v in model.w.items()}
+
+    def plain(part):
+        logits = [w["c"].copy() for _ in part]
+        for d, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+            h = np.zeros(5)
+            for t in order:
+                x, r = w[f"x{d}"][:, part[t]], w[f"u{d}"] @ h
+                z, reset = np.clip(x[:5] + r[:5], 0, 1), np.clip(x[5:10] + r[5:10], 0, 1)
+                new = np.tanh(x[10:] + reset * r[10:])
+                h = z * h + (1 - z) * new
+                logits[t] = logits[t] + w[f"o{d}"] @ h
+        return [np.exp(v - v.max()) / np.exp(v - v.max()).sum() for v in logits]
+
+    for t, p in zip(texts, got, strict=True):
+        each = [v for a in range(0, len(t), language_id.SEGMENT) for v in plain(t[a : a + language_id.SEGMENT])]
+        assert p == pytest.approx(np.mean(each, 0), abs=1e-4)
+
+
+def test_language_sample_is_bounded_and_repeats(spark):
+    rows = [(None if i % 3 else i, f"text {i % 50}", f"l{i % 4}") for i in range(900)] + [(i, "x", f"rare{i}") for i in range(230)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a = language_id.training_rows(df, 20)
+    assert a == language_id.training_rows(df.repartition(7), 20)
+    assert len(set(a[1])) == 234 and max(a[1].count(f"l{k}") for k in range(4)) <= 20
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in language_id._init(3, 4, rng).items()}
