@@ -52,6 +52,14 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Up to so many ids (8 MB) are broadcast.
 FEW_IDS = 1_000_000
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, anti_join, arrow_schema, as_batch, connected_components, key_groups, map_arrow, mix, release, saved, signed, text_slices, words
+from .common import U64, Rolling, anti_join, arrow_schema, as_batch, connected_components, free_name, key_groups, map_arrow, mix, release, saved, signed, text_slices, words
 
 #: n-grams are told apart by so many leading bits of their hashes.
 BITS = 56
@@ -454,8 +454,9 @@ def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept
+    nth = free_name(docs.columns, "_nth")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    single = kept.join(twice, "doc_id").select(*docs.columns, first.alias("_nth")).where("_nth = 1").drop("_nth")
+    single = kept.join(twice, "doc_id").select(*docs.columns, first.alias(nth)).where(F.col(nth) == 1).drop(nth)
     return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(single)
 
 

@@ -727,3 +727,39 @@ def test_registered():
 def test_reads_the_shared_folder_from_the_session(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert hashlib.sha256(b"").hexdigest()  # digests are of whole texts
+
+
+def odd_corpus(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, and names that the stages use inside."""
+    rng = random.Random(12)
+    text = prose(rng, 60)
+    data = [
+        (1, text, "en", "x", 15), (1, text, "en", "x", 15), (2, text, "en", "y", 15), (3, None, "de", None, 0), (4, "", None, "y", 0), (None, text + " more", None, None, None), (None, None, None, None, None),
+        (5, prose(rng, 60_000), "en", "x", None), (6, "mail ana@b.example now " + prose(rng, 30), "en", "z", 1), (7, "12 34 !!", "en", "x", 8), (8, prose(rng, 80), "en", "x", 3), (8, prose(rng, 80), "en", "x", 3),
+    ]
+    names = ("_lang_pred", "_lang_score", "_pii_spans", "_pii_text", "_pii_size", "_nth", "mix_key", "packed", "component", "block", "grams", "count", "size", "spans", "base", "a", "b", "n")
+    return spark.createDataFrame(data, SCHEMA).withColumns({c: F.lit("own") for c in names})
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    import corpus_pipeline as P
+
+    docs = common.saved(odd_corpus(spark).repartition(3))
+    want = {"language_id": [1, 1, 2, 5, 6, 8, 8, None], "jaccard_join": [1, 3, 4, 5, 6, 7, 8, None, None], "decontaminate": [1, 1, 2, 3, 4, 5, 6, 7, 8, 8, None, None], "personal_data": [1, 1, 2, 3, 4, 5, 6, 7, 8, 8, None, None], "mix": [1, 1, 2, 3, 4, 5, 6, 7, 8, 8, None, None]}
+    for name, stage in P.STAGES:
+        got = stage(spark, docs, SMALL)
+        assert got.columns[: len(docs.columns)] == docs.columns
+        rows = got.collect()
+        assert sorted((r["doc_id"] for r in rows), key=lambda x: (x is None, x)) == want[name], name
+        assert all(r["block"] == r["_nth"] == r["mix_key"] == "own" for r in rows)
+        if name == "personal_data":
+            by = {r["doc_id"]: r for r in rows}
+            assert "[EMAIL]" in by[6]["text"] and by[6]["n_chars"] == len(by[6]["text"]) and by[3]["text"] is None and by[4]["text"] == "" and by[8]["n_chars"] == 3
+        nothing = stage(spark, docs.where("doc_id < -5"), SMALL)
+        assert nothing.count() == 0 and nothing.columns == got.columns
+
+
+def test_least_score_follows_the_languages():
+    import corpus_pipeline as P
+
+    assert P.least_score(1) == 0 and P.least_score(2) > 0.5 and 0.3 <= P.least_score(4) < 0.31 and P.least_score(1000) > 0.07
