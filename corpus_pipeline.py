@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankprep.llm.common import release, saved
+from rankprep.llm.common import free_name, release, saved
 from rankprep.llm.decontaminate import without_contaminated
 from rankprep.llm.jaccard_join import one_of_each
 from rankprep.llm.language_id import UNKNOWN, fit, with_language
@@ -21,14 +21,6 @@ from rankprep.llm.personal_data import fit as fit_personal_data
 LEAST_LIFT = 0.07
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that the table doesn't have."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def least_score(n_languages: int) -> float:
     """The probability below which a text is in none of the learned languages; with one language none is."""
     return 1 / n_languages + LEAST_LIFT * (1 - 1 / n_languages) if n_languages > 1 else 0.0
@@ -40,8 +32,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without a label get the language found (of equal ones the first by name). Repeated rows each get their result;
     where nothing can be learned all texts go.
     """
-    label = _free(docs, "_lang_pred")
-    score = _free(docs, "_lang_score")
+    label = free_name(docs.columns, "_lang_pred")
+    score = free_name(docs.columns, "_lang_score")
     model = fit(docs)
     marked = with_language(docs, model, label, score)
     kept = marked.where((F.col(label) != UNKNOWN) & (F.col(score) >= least_score(max(1, len(model.languages)))))
@@ -68,7 +60,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null texts stay null, empty ones empty, texts without personal data as they are; repeated rows are changed alike.
     """
-    spans, text, size = (_free(docs, x) for x in ("_pii_spans", "_pii_text", "_pii_size"))
+    spans, text, size = (free_name(docs.columns, x) for x in ("_pii_spans", "_pii_text", "_pii_size"))
     found = find_personal_data(docs, fit_personal_data(docs), spans)
     changed = F.size(spans) > 0
     out = found.withColumn(text, F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col(spans))))
