@@ -59,6 +59,18 @@ def with_group_places(df: DataFrame, keys: list[str], order: list[str], value: s
     return out.drop("_part", "_at", "_n0", "_s0", *([] if value else ["_run", "_total"]))
 
 
+def token_stream(texts: DataFrame, order: list[str], col: str = "text", sep: str = " ", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(*keep, pos, token): all tokens of the texts in ``order``, split at ``sep``, with their 0-based place in the stream.
+
+    Texts are put in order and their numbers of tokens added up; the tokens themselves are neither sorted nor shuffled.
+    """
+    quoted = "".join("\\" + c if not c.isalnum() and not c.isspace() else c for c in sep)
+    parts = F.split(F.col(col), quoted, -1)
+    counted = texts.where(F.col(col).isNotNull()).withColumn("_tokens", F.size(parts).cast("long"))
+    placed = with_prefix_sum(counted, "_tokens", order, "_end").withColumn("_start", F.col("_end").cast("long") - F.col("_tokens"))
+    return placed.select(*keep, "_start", F.posexplode(parts).alias("_at", "token")).select(*keep, (F.col("_start") + F.col("_at")).alias("pos"), "token")
+
+
 def build_dictionary(df: DataFrame, cols: list[str], order: list[str], pad: str = PAD) -> DataFrame:
     """(token, id): ids from 1 by first appearance of the tokens of ``cols``, which share one id space; the pad has 0.
 

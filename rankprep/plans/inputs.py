@@ -55,17 +55,21 @@ tri AS (SELECT 's' || l_suppkey::varchar AS head, l_returnflag AS relation, 'p'
   CASE WHEN u < 0.8::double THEN 'train' WHEN u < 0.9::double THEN 'valid' ELSE 'test' END AS split, key FROM drawn)"""
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """split, doc, at, token: documents as train, conversations as valid, benchmark items as test, split at spaces."""
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """s, doc, sub, text: documents as train, conversations as valid, benchmark items as test."""
     docs = table(spark, sf_dir, "documents").select(F.lit(0).alias("s"), F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("sub"), "text")
     conv = table(spark, sf_dir, "conversations").select(F.lit(1).alias("s"), F.col("conv_id").alias("doc"), F.col("turn").cast("long").alias("sub"), "text")
     bench = table(spark, sf_dir, "benchmark").select(F.lit(2).alias("s"), F.col("item_id").alias("doc"), F.lit(0).cast("long").alias("sub"), "text")
-    rows = docs.unionByName(conv).unionByName(bench)
-    return rows.select("s", "doc", "sub", F.posexplode(F.split("text", " ", -1)).alias("at", "token"))
+    return docs.unionByName(conv).unionByName(bench)
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """s, pos, token of all texts, split at spaces."""
+    from ..operators.ids import token_stream
+
+    return token_stream(texts(spark, sf_dir), ["s", "doc", "sub"], keep=("s",))
 
 
-#: Order of tokens of all splits.
-TOKEN_ORDER = ["s", "doc", "sub", "at"]
 TOKENS = """texts AS (SELECT 0 AS s, doc_id AS doc, 0 AS sub, text FROM documents UNION ALL SELECT 1, conv_id, turn, text FROM conversations UNION ALL SELECT 2, item_id, 0, text FROM benchmark),
 listed AS (SELECT s, doc, sub, string_split(text, ' ') AS words FROM texts WHERE text IS NOT NULL),
 tok AS (SELECT s, doc, sub, unnest(range(0, len(words))) AS pl, unnest(words) AS token FROM listed)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ids as I
 from ..operators import interact as P
-from .inputs import EVENTS, INTER, ORDER, SPARSE, TOKEN_ORDER, TOKENS, events, interactions, sparse_rows, table, tokens
+from .inputs import EVENTS, INTER, ORDER, SPARSE, TOKENS, events, interactions, sparse_rows, table, tokens
 from ..operators import sparse as X
 
 #: k-core thresholds at which the driver's interactions shrink for some rounds and then stay.
@@ -102,7 +102,7 @@ def a1_build_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a2_frequency_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.frequency_vocab(tokens(spark, sf_dir), TOKEN_ORDER)
+    return I.frequency_vocab(tokens(spark, sf_dir), ["pos"])
 
 
 def a6_history(spark: SparkSession, sf_dir: str) -> DataFrame:
