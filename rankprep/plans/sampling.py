@@ -111,7 +111,7 @@ def n8_sample_index_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def n9_index_log_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, c0, c1 = _weighted(spark, sf_dir, "pop")
     q = query_vectors(spark, sf_dir)
-    near = q.select("query_id", F.explode(F.array(F.lit(0).cast("long"), F.col("query_id"), F.col("query_id") + 1, F.col("query_id") + 2)).alias("item_id"))
+    near = q.select("query_id", F.explode(F.array(F.lit(0).cast("long"), F.col("query_id"), F.col("query_id") + 1, F.col("query_id") + 2)).alias("item_id")).where(F.col("item_id") <= q.count())
     plain = N.index_log_q(q, near, w, c0, c1).withColumn("form", F.lit("even"))
     return _rounded(plain.unionByName(N.index_log_q(q, near, w, c0, c1, weighted=True).withColumn("form", F.lit("weighted"))), "log_q")
 
