@@ -5,7 +5,7 @@ All draws are hashes of seed, stage, query and draw, so they don't depend on the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ from ..functions import inner_product, uniform
 from ..functions.vectors import SCORERS
 from ..tables import saved
 from .ids import with_prefix_sum
-from .retrieval import by_blocks
+from .retrieval import by_blocks, catalogue, is_small
 
 
 def draws(queries: DataFrame, n: int, seed: int = 42, stage: str = "draw") -> DataFrame:
@@ -170,12 +170,16 @@ def sample_index_weighted(queries: DataFrame, cdf: DataFrame, c0: np.ndarray, c1
 def _kernel_sample(queries: DataFrame, items: DataFrame, n: int, kernel: str, alpha: float, seed: int, stage: str) -> DataFrame:
     """n draws over the whole catalogue, p in proportion to the kernel of the score; log_q = ln(n p).
 
-    A first pass sums the kernel in each block; each draw picks a block, then an item of that block, by its share.
+    Over a catalogue that is broadcast each query draws in one pass. Else a first pass sums the kernel in each block, and
+    each draw picks a block, then an item of that block, by its share.
     """
 
     def weights(scores: np.ndarray) -> np.ndarray:
         return alpha * scores**2 + 1 if kernel == "sphere" else np.maximum(scores, 1e-8)
 
+    if is_small(items):
+        return _draws_in_place(queries, items, n, weights, seed, stage)
+
     def total(q: pa.Table, ids: np.ndarray, scores: np.ndarray, _: np.ndarray) -> pa.Table:
         first = int(ids[0]) if len(ids) else 0
         return pa.table({"query_id": q["query_id"], "first": np.full(q.num_rows, first), "w": weights(scores).sum(1) if scores.size else np.zeros(q.num_rows)})
@@ -207,6 +211,29 @@ def _kernel_sample(queries: DataFrame, items: DataFrame, n: int, kernel: str, al
     return by_blocks(queries.join(lists, "query_id"), items, choose, "query_id long, draw int, item_id long, log_q double")
 
 
+def _draws_in_place(queries: DataFrame, items: DataFrame, n: int, weights: Callable[[np.ndarray], np.ndarray], seed: int, stage: str) -> DataFrame:
+    shared = queries.sparkSession.sparkContext.broadcast(catalogue(items))
+    grouped = draws(queries, n, seed, stage).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("draw", "u"))).alias("d"))
+    schema = pa.schema([("query_id", pa.int64()), ("draw", pa.int32()), ("item_id", pa.int64()), ("log_q", pa.float64())])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = shared.value
+        for batch in batches:
+            own = np.asarray(batch.column(0))
+            q = np.asarray(batch.column(1).flatten().cast(pa.float64())).reshape(batch.num_rows, -1)
+            d = batch.column(2).flatten()  # every query has the same number of draws
+            draw, u = (np.asarray(d.field(c)).reshape(batch.num_rows, -1) for c in ("draw", "u"))
+            for lo in range(0, batch.num_rows if len(ids) else 0, 32):
+                rows = slice(lo, lo + 32)
+                w = weights(q[rows] @ x.T)
+                run = np.cumsum(w, 1)
+                at = np.stack([np.minimum(np.searchsorted(r, v * r[-1], "right"), len(ids) - 1) for r, v in zip(run, u[rows], strict=True)])
+                p = np.take_along_axis(w, at, 1) / run[:, -1:]
+                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(own[rows], u.shape[1]), "draw": draw[rows].ravel(), "item_id": ids[at].ravel(), "log_q": np.log(n * p).ravel()}, schema=schema)
+
+    return queries.select("query_id", "vec").join(grouped, "query_id").mapInArrow(choose, "query_id long, draw int, item_id long, log_q double")
+
+
 def sample_sphere(queries: DataFrame, items: DataFrame, n: int, alpha: float = 100.0, seed: int = 42) -> DataFrame:
     """p in proportion to alpha s^2 + 1."""
     return _kernel_sample(queries, items, n, "sphere", alpha, seed, "sphere")

@@ -35,6 +35,15 @@ def scores_of(q: np.ndarray, x: np.ndarray, scorer: str) -> np.ndarray:
     raise ValueError(f"unknown scorer {scorer!r}")
 
 
+def paired_scores(q: np.ndarray, x: np.ndarray, scorer: str) -> np.ndarray:
+    """The score of each row of q with the same row of x."""
+    dots = (q * x).sum(1)
+    if scorer == "cosine":
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return dots / (np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1))
+    return dots if scorer == "inner" else -np.maximum((q * q).sum(1) + (x * x).sum(1) - 2 * dots, 0.0)
+
+
 #: Numbers of a catalogue that is broadcast (64 MB); larger ones are dealt out.
 BROADCAST = 1 << 23
 
@@ -46,10 +55,9 @@ def by_blocks(queries: DataFrame, items: DataFrame, reducer: Callable[[pa.Table,
     (query_id, vec, ...) stay where they are. A larger one, and then the queries too, are dealt into blocks by a hash; of
     each side as many copies are sent as the other has blocks, which is what comparing all with all takes.
     """
-    size = items.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    if size["n"] * max(1, size["dim"] or 1) <= BROADCAST:
+    if is_small(items):
         return _in_place(queries, items, reducer, schema, scorer, block)
-    nq, ni = max(1, -(-queries.count() // block)), max(1, -(-size["n"] // block))
+    nq, ni = (max(1, -(-t.count() // block)) for t in (queries, items))
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     q = queries.withColumn("_q", deal("query_id", nq)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(ni - 1))))
     x = items.select("item_id", "vec", deal("item_id", ni).alias("_y")).withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
@@ -64,12 +72,23 @@ def by_blocks(queries: DataFrame, items: DataFrame, reducer: Callable[[pa.Table,
     return q.groupBy("_q", "_i").cogroup(x.groupBy("_x", "_y")).applyInArrow(meet, schema)
 
 
-def _in_place(queries: DataFrame, items: DataFrame, reducer: Callable, schema: str, scorer: str, block: int) -> DataFrame:
-    """``by_blocks`` with the catalogue broadcast; its blocks follow the item ids."""
+def catalogue(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and their vectors, of a catalogue that has been counted to be small."""
     rows = items.select("item_id", "vec").toArrow()
     ids, vectors = np.asarray(rows["item_id"].combine_chunks()).astype(np.int64), _matrix(rows["vec"])
     order = np.argsort(ids, kind="stable")
-    shared = queries.sparkSession.sparkContext.broadcast((ids[order], vectors[order]))
+    return ids[order], vectors[order]
+
+
+def is_small(items: DataFrame) -> bool:
+    """Whether a catalogue has at most BROADCAST numbers."""
+    size = items.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    return size["n"] * max(1, size["dim"] or 1) <= BROADCAST
+
+
+def _in_place(queries: DataFrame, items: DataFrame, reducer: Callable, schema: str, scorer: str, block: int) -> DataFrame:
+    """``by_blocks`` with the catalogue broadcast; its blocks follow the item ids."""
+    shared = queries.sparkSession.sparkContext.broadcast(catalogue(items))
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +175,7 @@ def target_rank(queries: DataFrame, items: DataFrame, scorer: str = "inner", pad
         if not t.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "target": pa.array([], pa.int64()), "above": pa.array([], pa.int64())})
         target = np.asarray(t["target"].combine_chunks())
-        mine = np.array([scores_of(a[None], b[None], scorer)[0, 0] for a, b in zip(_matrix(t["vec"]), _matrix(t["_target"]), strict=True)])
+        mine = paired_scores(_matrix(t["vec"]), _matrix(t["_target"]), scorer)
         # rounded alike, as sums of one pair and of a matrix may differ in their last bits
         more = (np.round(scores, 10) > np.round(mine, 10)[:, None]) & (ids[None] != target[:, None])
         return pa.table({"query_id": t["query_id"], "target": t["target"], "above": more.sum(1).astype(np.int64)})

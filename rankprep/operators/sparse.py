@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .retrieval import BROADCAST
+from .retrieval import catalogue, is_small
 
 
 def drop_unlabelled(df: DataFrame) -> DataFrame:
@@ -37,8 +37,7 @@ def feature_bag(rows: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     Where all vectors hold at most BROADCAST numbers, which are counted first, they go to every task and a row is summed
     where it is. Else dimensions are summed as rows, so that frequent features and long rows are pre-aggregated.
     """
-    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    if 0 < size["n"] * (size["dim"] or 0) <= BROADCAST:
+    if is_small(vectors) and not vectors.isEmpty():
         return _bag_in_place(rows.select(key, "features"), vectors)
     cells = rows.select(key, F.explode("features").alias("f")).select(key, F.col("f.idx").alias("item_id"), F.col("f.val").alias("val"))
     parts = cells.join(vectors.select(F.col("item_id").cast("int").alias("item_id"), "vec"), "item_id").select(key, "val", F.posexplode("vec").alias("dim", "x"))
@@ -47,11 +46,7 @@ def feature_bag(rows: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
 
 
 def _bag_in_place(rows: DataFrame, vectors: DataFrame) -> DataFrame:
-    known = vectors.select(F.col("item_id").cast("long").alias("item_id"), F.col("vec").cast("array<double>").alias("vec")).toArrow()
-    ids = np.asarray(known["item_id"].combine_chunks())
-    order = np.argsort(ids)
-    table = np.asarray(known["vec"].combine_chunks().flatten()).reshape(len(ids), -1)[order]
-    shared = rows.sparkSession.sparkContext.broadcast((ids[order], table))
+    shared = rows.sparkSession.sparkContext.broadcast(catalogue(vectors))
     schema = StructType([rows.schema.fields[0], StructField("vec", ArrayType(DoubleType()))])
     target = to_arrow_schema(schema)
 

@@ -419,3 +419,38 @@ def test_corpus_tokens_of_odd_files(spark, tmp_path, skip):
         role = name.split("-")[0].split(".")[0]
         want.setdefault(role, []).extend(enumerate((text[1:] if skip else text).split(" ")))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_large_catalogues_are_dealt_out(spark, monkeypatch):
+    """Catalogues too large to broadcast give the same results, block by block."""
+    import numpy as np
+
+    from rankprep.operators import negatives, retrieval, sparse
+
+    rng = np.random.default_rng(5)
+    items = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(np.round(rng.normal(size=(90, 6)), 1))], "item_id long, vec array<double>")
+    queries = spark.createDataFrame([(i, v.tolist(), i + 2) for i, v in enumerate(np.round(rng.normal(size=(40, 6)), 1))], "query_id long, vec array<double>, target long")
+    seen = spark.createDataFrame([(q, i) for q in range(40) for i in rng.integers(1, 91, 3).tolist()], "query_id long, item_id long")
+    rows = spark.createDataFrame([(1, [(1, 2.0), (500, 1.0)]), (2, [(500, 1.0)]), (3, []), (4, [(3, 1.0), (3, 0.5), (90, -1.0)])], "doc_id long, features array<struct<idx:int,val:double>>")
+
+    def results():
+        yield retrieval.top_k(queries, items, 7)
+        yield retrieval.top_k(queries, items, 200, "cosine")
+        yield retrieval.top_k_unseen(queries, items, seen, 5, "euclidean")
+        yield retrieval.target_rank(queries, items, pad_candidate=True)
+        yield retrieval.catalogue_log_sum_exp(queries, items)
+        yield sparse.feature_bag(rows, items, "doc_id")
+        yield negatives.sample_sphere(queries, items, 4)
+
+    def told():
+        flat = lambda v: tuple(round(x, 8) for x in v) if isinstance(v, list) else round(v, 8) if isinstance(v, float) else v
+        return [sorted(tuple(flat(r[c]) for c in sorted(df.columns)) for r in df.collect()) for df in results()]
+
+    near = told()
+    assert all(near)
+    monkeypatch.setattr(retrieval, "BROADCAST", -1)
+    monkeypatch.setattr(retrieval.by_blocks, "__defaults__", ("inner", 32))
+    far = told()
+    assert far[:6] == near[:6]
+    # draws of blocks follow another order of the items: one for each query and draw all the same
+    assert sorted((r[3], r[0]) for r in far[6]) == sorted((r[3], r[0]) for r in near[6]) == [(q, d) for q in range(40) for d in range(1, 5)]
