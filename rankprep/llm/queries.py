@@ -11,6 +11,7 @@ from .embedding_dedup import op5_embedding_dedup
 from .jaccard_join import op10_jaccard_join
 from .language_id import op9_language_id
 from .license_scan import op4_license_scan
+from .line_dedup import line_sql, op11_line_dedup
 from .mixing import mix_sql, op3_mix_sources
 from .personal_data import op7_personal_data
 from .quality import op8_quality
@@ -28,8 +29,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": mix_sql(),
+    "op11_line_dedup": line_sql(),
 }
