@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_decontaminate
+from .divergence import divergence_sql, op12_source_divergence
 from .embedding_dedup import op5_embedding_dedup
 from .jaccard_join import op10_jaccard_join
 from .language_id import op9_language_id
@@ -30,9 +31,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_line_dedup": op11_line_dedup,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": mix_sql(),
     "op11_line_dedup": line_sql(),
+    "op12_source_divergence": divergence_sql(),
 }
