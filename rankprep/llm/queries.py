@@ -16,6 +16,7 @@ from .line_dedup import line_sql, op11_line_dedup
 from .mixing import mix_sql, op3_mix_sources
 from .personal_data import op7_personal_data
 from .quality import op8_quality
+from .spelling import op13_spelling_variants
 from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
 
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_line_dedup": op11_line_dedup,
     "op12_source_divergence": op12_source_divergence,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
