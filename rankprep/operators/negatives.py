@@ -5,19 +5,21 @@ All draws are hashes of seed, stage, query and draw, so they don't depend on the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..functions import inner_product, uniform
 from ..functions.vectors import SCORERS
 from ..tables import saved
+from . import sampling_tree
 from .ids import with_prefix_sum
-from .retrieval import by_blocks, catalogue, is_small
 
 
 def draws(queries: DataFrame, n: int, seed: int = 42, stage: str = "draw") -> DataFrame:
@@ -54,21 +56,46 @@ def popularity_cdf(freq: DataFrame, mode: int = 0) -> DataFrame:
 def cdf_lookup(drawn: DataFrame, cdf: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """``drawn`` with the first row of ``cdf`` (lo, cdf, ...) whose cdf is at least u, within equal ``keys``.
 
-    An equality join on slices of [0, 1), of which a row of the cdf is in each that it touches, then the exact bounds.
-    There are as many slices as rows with equal keys, so a draw meets about two rows however large the catalogue is.
+    A merge: draws and rows are range-partitioned together by keys and number and sorted from the end, and each draw takes
+    the row met last. A row of any weight is one row, and the draws that fall into it spread over tasks; draws at the end of
+    a part take the first row of a later part, of which there is one for each part. Draws beyond the last row are left out.
     """
-    slot = lambda x: F.least(F.floor(x * F.col("_slices")), F.col("_slices") - 1).cast("long")
-    if keys:
-        sizes = cdf.groupBy(*keys).agg(F.count("*").alias("_slices"))
-        cdf, asked = cdf.join(sizes, list(keys)), drawn.join(sizes, list(keys))
-    else:
-        n = F.lit(max(1, cdf.count())).alias("_slices")
-        cdf, asked = cdf.select("*", n), drawn.select("*", n)
-    rows = cdf.where("cdf > lo OR lo IS NULL").withColumn("_b", F.explode(F.sequence(slot(F.greatest(F.col("lo") - 1e-12, F.lit(0.0))), slot(F.col("cdf")))))
-    hit = asked.withColumn("_b", slot(F.col("u"))).drop("_slices").join(rows.drop("_slices"), ["_b", *keys]).where("cdf >= u")
-    own = [c for c in drawn.columns if c not in keys]
-    # rounding may leave a draw inside two rows' slack: the smallest cdf counts
-    return hit.drop("_b").withColumn("_r", F.row_number().over(Window.partitionBy(*own, *keys).orderBy("cdf"))).where("_r = 1").drop("_r")
+    own, more = drawn.columns, [c for c in cdf.columns if c not in keys]
+    rows = cdf.where("cdf > lo OR lo IS NULL")
+    kinds = {c: drawn.schema[c].dataType for c in keys}
+    of = lambda df, number, kind, draw, row: df.select(*[F.col(c).cast(kinds[c]) for c in keys], F.col(number).cast("double").alias("_v"), F.lit(kind).alias("_kind"), draw.alias("_draw"), row.alias("_row"))
+    draw, row = F.struct(*own), F.struct(*[F.col(c).cast(kinds[c]).alias(c) for c in keys], *more)
+    draw_kind, row_kind = (StructType([StructField(f.name, f.dataType) for f in df.select(c.alias("x")).schema["x"].dataType]) for df, c in ((drawn, draw), (rows, row)))
+    both = of(drawn, "u", 0, draw.cast(draw_kind), F.lit(None).cast(row_kind)).unionByName(of(rows, "cdf", 1, F.lit(None).cast(draw_kind), row.cast(row_kind)))
+    order = [*keys, "_v", "_kind"]
+    ranged = both.repartitionByRange(*order).sortWithinPartitions(*[F.desc(c) for c in order])
+    schema = StructType([StructField("_part", LongType()), StructField("_first", BooleanType()), StructField("_draw", draw_kind), StructField("_row", row_kind)])
+    target = to_arrow_schema(schema)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, part = pa.nulls(1, target.field("_row").type), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind, part = np.asarray(batch.column(0)), batch.column(3)[0].as_py()
+            met = pa.concat_arrays([last, batch.column(2).cast(last.type)])
+            at = np.maximum.accumulate(np.where(kind == 1, np.arange(1, len(kind) + 1), 0))
+            asked = np.flatnonzero(kind == 0)
+            last = met.slice(int(at[-1]), 1)
+            yield as_batch([pa.array([part] * len(asked), pa.int64()), pa.array([False] * len(asked)), batch.column(1).take(pa.array(asked)), met.take(pa.array(at[asked]))])
+        if part is not None:
+            yield as_batch([pa.array([part], pa.int64()), pa.array([True]), pa.nulls(1, target.field("_draw").type), last])
+
+    def as_batch(columns: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    found = saved(ranged.select("_kind", "_draw", "_row", F.spark_partition_id().cast("long").alias("_part")).mapInArrow(merge, schema))
+    later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    ahead = found.where("_first").select("_part", F.last("_row", ignorenulls=True).over(later).alias("_ahead"))
+    out = found.where("NOT _first").join(F.broadcast(ahead), "_part").withColumn("_row", F.coalesce("_row", "_ahead")).where("_row IS NOT NULL")
+    for c in keys:
+        out = out.where(F.col(f"_draw.{c}") == F.col(f"_row.{c}"))
+    return out.select(*[F.col(f"_draw.{c}").alias(c) for c in own], *[F.col(f"_row.{c}").alias(c) for c in more])
 
 
 def sample_popular(queries: DataFrame, cdf: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -167,76 +194,9 @@ def sample_index_weighted(queries: DataFrame, cdf: DataFrame, c0: np.ndarray, c1
     return found.select("query_id", "draw", "item_id", (F.col("s") + F.log("weight")).alias("log_q"))
 
 
-def _kernel_sample(queries: DataFrame, items: DataFrame, n: int, kernel: str, alpha: float, seed: int, stage: str) -> DataFrame:
-    """n draws over the whole catalogue, p in proportion to the kernel of the score; log_q = ln(n p).
-
-    Over a catalogue that is broadcast each query draws in one pass. Else a first pass sums the kernel in each block, and
-    each draw picks a block, then an item of that block, by its share.
-    """
-
-    def weights(scores: np.ndarray) -> np.ndarray:
-        return alpha * scores**2 + 1 if kernel == "sphere" else np.maximum(scores, 1e-8)
-
-    if is_small(items):
-        return _draws_in_place(queries, items, n, weights, seed, stage)
-
-    def total(q: pa.Table, ids: np.ndarray, scores: np.ndarray, _: np.ndarray) -> pa.Table:
-        first = int(ids[0]) if len(ids) else 0
-        return pa.table({"query_id": q["query_id"], "first": np.full(q.num_rows, first), "w": weights(scores).sum(1) if scores.size else np.zeros(q.num_rows)})
-
-    sums = by_blocks(queries, items, total, "query_id long, first long, w double")
-    own = Window.partitionBy("query_id").orderBy("first")
-    run = F.sum("w").over(own.rowsBetween(Window.unboundedPreceding, 0))
-    ends = sums.withColumn("hi", run).withColumn("z", F.sum("w").over(Window.partitionBy("query_id"))).withColumn("lo", F.col("hi") - F.col("w"))
-    ends = ends.withColumn("hi", F.when(F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("first"))) == 1, F.col("z")).otherwise(F.col("hi")))
-    drawn = draws(queries, n, seed, stage).join(ends, "query_id").withColumn("at", F.col("u") * F.col("z")).where("at >= lo AND at < hi")
-    wanted = drawn.groupBy("query_id", "first").agg(F.collect_list(F.struct("draw", (F.col("at") - F.col("lo")).alias("rest"), "z")).alias("d"))
-    lists = saved(wanted.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("first", "d"))).alias("wanted")))
-
-    def choose(q: pa.Table, ids: np.ndarray, scores: np.ndarray, _: np.ndarray) -> pa.Table:
-        out: list[list] = [[], [], [], []]
-        w = weights(scores) if scores.size else scores
-        for row, asked in enumerate(q["wanted"].to_pylist()):
-            for first, d in asked:
-                if len(ids) and first == ids[0]:
-                    run = np.cumsum(w[row])
-                    for x in d:
-                        i = min(int(np.searchsorted(run, x["rest"], "right")), len(ids) - 1)
-                        out[0].append(q["query_id"][row].as_py())
-                        out[1].append(x["draw"])
-                        out[2].append(int(ids[i]))
-                        out[3].append(float(np.log(n * w[row][i] / x["z"])))
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "draw": pa.array(out[1], pa.int32()), "item_id": pa.array(out[2], pa.int64()), "log_q": pa.array(out[3], pa.float64())})
-
-    return by_blocks(queries.join(lists, "query_id"), items, choose, "query_id long, draw int, item_id long, log_q double")
-
-
-def _draws_in_place(queries: DataFrame, items: DataFrame, n: int, weights: Callable[[np.ndarray], np.ndarray], seed: int, stage: str) -> DataFrame:
-    shared = queries.sparkSession.sparkContext.broadcast(catalogue(items))
-    grouped = draws(queries, n, seed, stage).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("draw", "u"))).alias("d"))
-    schema = pa.schema([("query_id", pa.int64()), ("draw", pa.int32()), ("item_id", pa.int64()), ("log_q", pa.float64())])
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = shared.value
-        for batch in batches:
-            own = np.asarray(batch.column(0))
-            q = np.asarray(batch.column(1).flatten().cast(pa.float64())).reshape(batch.num_rows, -1)
-            d = batch.column(2).flatten()  # every query has the same number of draws
-            draw, u = (np.asarray(d.field(c)).reshape(batch.num_rows, -1) for c in ("draw", "u"))
-            for lo in range(0, batch.num_rows if len(ids) else 0, 32):
-                rows = slice(lo, lo + 32)
-                w = weights(q[rows] @ x.T)
-                run = np.cumsum(w, 1)
-                at = np.stack([np.minimum(np.searchsorted(r, v * r[-1], "right"), len(ids) - 1) for r, v in zip(run, u[rows], strict=True)])
-                p = np.take_along_axis(w, at, 1) / run[:, -1:]
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(own[rows], u.shape[1]), "draw": draw[rows].ravel(), "item_id": ids[at].ravel(), "log_q": np.log(n * p).ravel()}, schema=schema)
-
-    return queries.select("query_id", "vec").join(grouped, "query_id").mapInArrow(choose, "query_id long, draw int, item_id long, log_q double")
-
-
 def sample_sphere(queries: DataFrame, items: DataFrame, n: int, alpha: float = 100.0, seed: int = 42) -> DataFrame:
-    """p in proportion to alpha s^2 + 1."""
-    return _kernel_sample(queries, items, n, "sphere", alpha, seed, "sphere")
+    """p in proportion to alpha s^2 + 1 over the whole catalogue; log_q = ln(n p). Draws go down a tree of summed features."""
+    return sampling_tree.sample(queries, sampling_tree.build(items, sampling_tree.Sphere(alpha)), n, seed, "sphere")
 
 
 def rff_features(vectors: DataFrame, m: int = 32, scale: float = 4.0, seed: int = 42) -> DataFrame:
@@ -255,8 +215,9 @@ def rff_features(vectors: DataFrame, m: int = 32, scale: float = 4.0, seed: int
 
 
 def sample_rff(queries: DataFrame, items: DataFrame, n: int, m: int = 32, scale: float = 4.0, seed: int = 42) -> DataFrame:
-    """p in proportion to the inner product of random Fourier features, 1e-8 at least."""
-    return _kernel_sample(rff_features(queries, m, scale, seed), rff_features(items, m, scale, seed), n, "rff", 0.0, seed, "rff")
+    """p in proportion to the inner product of random Fourier features, 1e-8 at least, over the whole catalogue."""
+    tree = sampling_tree.build(rff_features(items, m, scale, seed), sampling_tree.Clamped(1e-8))
+    return sampling_tree.sample(rff_features(queries, m, scale, seed), tree, n, seed, "rff")
 
 
 def candidate_scores(drawn: DataFrame, queries: DataFrame, items: DataFrame, scorer: str = "inner") -> DataFrame:
@@ -291,11 +252,11 @@ def sample_resampled(queries: DataFrame, items: DataFrame, n_items: int, n: int,
     own = Window.partitionBy("query_id")
     line = own.orderBy("draw")
     s = s.withColumn("e", F.exp(F.col("score") - F.max("score").over(own)))
-    s = s.withColumn("hi", F.sum("e").over(line.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("e").over(own))
-    s = s.withColumn("hi", F.when(F.row_number().over(own.orderBy(F.desc("draw"))) == 1, 1.0).otherwise(F.col("hi")))
-    s = s.withColumn("lo", F.coalesce(F.lag("hi").over(line), F.lit(0.0))).select("query_id", "item_id", "lo", "hi")
+    run, last = F.sum("e").over(line.rowsBetween(Window.unboundedPreceding, 0)), F.row_number().over(own.orderBy(F.desc("draw"))) == 1
+    s = s.withColumn("cdf", F.when(last, 1.0).otherwise(run / F.sum("e").over(own))).withColumn("lo", F.coalesce(F.lag("cdf").over(line), F.lit(0.0)))
     again = draws(queries, n, seed, "resample")
-    return again.join(s, "query_id").where("u >= lo AND u < hi").select("query_id", "draw", "item_id", F.lit(0.0).alias("log_q"))
+    found = cdf_lookup(again, s.select("query_id", "item_id", "lo", "cdf"), ("query_id",))
+    return found.select("query_id", "draw", "item_id", F.lit(0.0).alias("log_q"))
 
 
 def positive_log_q(positives: DataFrame, sampler: str, cdf: DataFrame | None = None, scored: DataFrame | None = None, n: int = 1, alpha: float = 100.0, correct_pos: bool = False) -> DataFrame:

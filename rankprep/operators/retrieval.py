@@ -20,6 +20,8 @@ BLOCK = 2048
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     rows = column.combine_chunks()
+    if not len(rows):
+        return np.zeros((0, 0))
     return np.asarray(rows.flatten().cast(pa.float64())).reshape(len(rows), -1)
 
 

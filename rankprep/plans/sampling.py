@@ -100,12 +100,12 @@ def w13_cluster_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def n7_sample_index_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, c0, c1 = _codes(spark, sf_dir)
-    return _rounded(N.sample_index_uniform(query_vectors(spark, sf_dir), C.build_index(codes, K), c0, c1, 20), "log_q")
+    return _rounded(N.sample_index_uniform(query_vectors(spark, sf_dir), C.build_index(codes, K), c0, c1, 50), "log_q")
 
 
 def n8_sample_index_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, c0, c1 = _weighted(spark, sf_dir, "pop")
-    return _rounded(N.sample_index_weighted(query_vectors(spark, sf_dir), C.cluster_cdf(w), c0, c1, 20), "log_q")
+    return _rounded(N.sample_index_weighted(query_vectors(spark, sf_dir), C.cluster_cdf(w), c0, c1, 50), "log_q")
 
 
 def n9_index_log_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +178,7 @@ _PS = "ps AS (SELECT query_id, a.k AS k0, b.k AS k1, list_dot_product(q.vec[1:32
 _N = "(SELECT count(*) FROM vecs)"
 UNI = lambda n: f"un AS (SELECT query_id, q.vec AS qv, draw::int AS draw, (floor({uniform_sql(42, 'uniform', 'query_id::varchar', 'draw::varchar')} * {_N}) + 1)::bigint AS item_id FROM qs q, range(1, {n + 1}) t(draw)), us AS (SELECT un.*, list_dot_product(qv, v.vec) AS score FROM un JOIN vecs v USING (item_id))"
 
-_PICK = lambda stage: f"""dr AS (SELECT query_id, draw::int AS draw, {uniform_sql(42, stage + '0', 'query_id::varchar', 'draw::varchar')} AS u0, {uniform_sql(42, stage + '1', 'query_id::varchar', 'draw::varchar')} AS u1, {uniform_sql(42, stage + '2', 'query_id::varchar', 'draw::varchar')} AS u2 FROM qs, range(1, 21) t(draw)),
+_PICK = lambda stage: f"""dr AS (SELECT query_id, draw::int AS draw, {uniform_sql(42, stage + '0', 'query_id::varchar', 'draw::varchar')} AS u0, {uniform_sql(42, stage + '1', 'query_id::varchar', 'draw::varchar')} AS u1, {uniform_sql(42, stage + '2', 'query_id::varchar', 'draw::varchar')} AS u2 FROM qs, range(1, 51) t(draw)),
 pr AS (SELECT query_id, k0, k1, s, w * exp(s - max(s) OVER (PARTITION BY query_id)) AS p FROM ps JOIN jw USING (k0, k1)),
 f0 AS (SELECT query_id, k0, sum(p) AS p FROM pr GROUP BY ALL), g0 AS (SELECT query_id, k0, sum(p) OVER (PARTITION BY query_id ORDER BY k0) AS hi, sum(p) OVER (PARTITION BY query_id) AS t FROM f0),
 a0 AS (SELECT dr.query_id, draw, u1, u2, min(k0) AS k0 FROM dr JOIN g0 USING (query_id) WHERE hi > u0 * t GROUP BY ALL),

@@ -440,7 +440,6 @@ def test_large_catalogues_are_dealt_out(spark, monkeypatch):
         yield retrieval.target_rank(queries, items, pad_candidate=True)
         yield retrieval.catalogue_log_sum_exp(queries, items)
         yield sparse.feature_bag(rows, items, "doc_id")
-        yield negatives.sample_sphere(queries, items, 4)
 
     def told():
         flat = lambda v: tuple(round(x, 8) for x in v) if isinstance(v, list) else round(v, 8) if isinstance(v, float) else v
@@ -451,6 +450,78 @@ def test_large_catalogues_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "BROADCAST", -1)
     monkeypatch.setattr(retrieval.by_blocks, "__defaults__", ("inner", 32))
     far = told()
-    assert far[:6] == near[:6]
-    # draws of blocks follow another order of the items: one for each query and draw all the same
-    assert sorted((r[3], r[0]) for r in far[6]) == sorted((r[3], r[0]) for r in near[6]) == [(q, d) for q in range(40) for d in range(1, 5)]
+    assert far == near
+
+
+@pytest.mark.parametrize("kernel", ["sphere", "rff", "signed"])
+def test_kernel_draws_are_the_same_in_memory_and_by_joins(spark, monkeypatch, kernel):
+    """One order of the items and one tree: draws equal the inverse of the cumulative weights, by item id, at any size."""
+    from rankprep.operators import negatives, retrieval, sampling_tree
+
+    rng = np.random.default_rng(8)
+    x, q = rng.normal(size=(101, 5)), rng.normal(size=(30, 5))
+    items = vectors(spark, x).repartition(3)
+    queries = vectors(spark, q, 0, "query_id").repartition(3)
+    monkeypatch.setattr(sampling_tree, "ROWS", 7)
+    shape = {"leaf": 4, "fanout": 3}
+
+    def drawn():
+        if kernel == "sphere":
+            return sampling_tree.sample(queries, sampling_tree.build(items, sampling_tree.Sphere(100.0, **shape)), 6, 42, "sphere")
+        if kernel == "rff":
+            features = [negatives.rff_features(v) for v in (queries, items)]
+            return sampling_tree.sample(features[0], sampling_tree.build(features[1], sampling_tree.Clamped(1e-8, **shape)), 6, 42, "rff")
+        # plain inner products: about half of them are below the least weight, so few nodes are told by their features
+        return sampling_tree.sample(queries, sampling_tree.build(items, sampling_tree.Clamped(0.05, **shape)), 6, 42, "rff")
+
+    told = lambda df: sorted((r["query_id"], r["draw"], r["item_id"], round(r["log_q"], 9)) for r in df.collect())
+    near = told(drawn())
+    assert near == told(negatives.sample_sphere(queries, items, 6) if kernel == "sphere" else negatives.sample_rff(queries, items, 6)) or kernel == "signed"
+    monkeypatch.setattr(retrieval, "BROADCAST", -1)
+    tree = sampling_tree.build(items, sampling_tree.Sphere(1.0, **shape))
+    assert tree.top == tree.bottom == 3 and len(tree.memory[3]) == 1
+    far = told(drawn())
+    assert far == near and len(near) == 180
+    if kernel != "rff":
+        w = 100 * (q @ x.T) ** 2 + 1 if kernel == "sphere" else np.maximum(q @ x.T, 0.05)
+        u = {(r["query_id"], r["draw"]): r["u"] for r in negatives.draws(queries, 6, 42, kernel if kernel == "sphere" else "rff").collect()}
+        for query, draw, item, log_q in near:
+            run = np.cumsum(w[query])
+            want = int(np.searchsorted(run, u[query, draw] * run[-1], "right"))
+            assert item == want + 1 and log_q == pytest.approx(math.log(6 * w[query][want] / run[-1]))
+
+
+def test_kernel_draws_of_an_empty_catalogue(spark):
+    from rankprep.operators import negatives
+
+    q = vectors(spark, [[1.0, 0.0]], 1, "query_id")
+    assert negatives.sample_sphere(q, vectors(spark, [[1.0, 0.0]]).limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 11])
+def test_cdf_lookup_of_heavy_rows(spark, parts):
+    """A row with 90 % of the weight, rows without weight, draws on the bounds, and parts that hold no row of the cdf."""
+    from rankprep.operators import negatives
+
+    rng = np.random.default_rng(parts)
+    cdf, draws = [], []
+    for key in range(3):
+        w = np.where(rng.random(40) < 0.3, 0.0, rng.random(40))
+        w[7] = 9 * w.sum()
+        run = np.cumsum(w) / w.sum()
+        run[-1] = 1.0
+        cdf += [(key, i, float(run[i - 1]) if i else 0.0, float(run[i])) for i in range(40)]
+        draws += [(key, d, float(u)) for d, u in enumerate([*rng.random(300), *run[:-1]])]
+    rows = spark.createDataFrame(cdf, "k int, item_id long, lo double, cdf double")
+    asked = spark.createDataFrame(draws, "k int, draw int, u double").repartition(parts)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {(r["k"], r["draw"]): (r["item_id"], r["u"]) for r in negatives.cdf_lookup(asked, rows, ("k",)).collect()}
+        one = {r["draw"]: r["item_id"] for r in negatives.cdf_lookup(asked.where("k = 1").drop("k"), rows.where("k = 1").drop("k")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    for key, draw, u in draws:
+        want = next(i for k, i, lo, hi in cdf if k == key and hi > lo and hi >= u)
+        assert got[key, draw] == (want, u)
+        assert key != 1 or one[draw] == want
+    assert len(got) == len(draws)
