@@ -26,8 +26,7 @@ def line_key(line: Column) -> Column:
 def repeated_lines(docs: DataFrame, min_length: int = 20, min_docs: int = 3) -> DataFrame:
     """(key_md5, n_docs, keeper) of the keys of at least ``min_length`` code points that at least ``min_docs`` documents
     of ``docs`` (doc_id, text) hold; the keeper is the largest doc_id, null where no holder has one."""
-    dups = _repeated(docs, min_length, min_docs)
-    return _over(dups, min_docs)
+    return _over(_repeated(docs, min_length, min_docs), min_docs)
 
 
 def _keyed(docs: DataFrame, min_length: int) -> DataFrame:
@@ -51,7 +50,9 @@ def _repeated(docs: DataFrame, min_length: int, min_docs: int) -> DataFrame:
     often = saved(hashed.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_docs).select("_h"))
     lines = _keyed(docs, min_length).withColumn("_h", F.xxhash64("_key"))
     lines = lines.select("_doc", "_text", "_at", "_h", F.unhex(F.md5("_key")).alias("_key"))
-    return saved(lines.join(F.broadcast(often) if _few(often) else often, "_h").drop("_h"))
+    dups = saved(lines.join(F.broadcast(often) if _few(often) else often, "_h").drop("_h"))
+    release(often)
+    return dups
 
 
 def _over(dups: DataFrame, min_docs: int) -> DataFrame:
@@ -72,37 +73,26 @@ def drop_repeated_lines(docs: DataFrame, min_length: int = 20, min_docs: int = 3
     them; the other lines stay in place. Null and empty texts are one empty line, so null gives an empty line_text.
     Documents are told apart by doc_id: rows that repeat one count once, lose their own lines only, and all keep what
     their doc_id keeps. Rows without a doc_id are documents by their text, come before all others, and keep a line that
-    only such rows hold. Very long texts are handled whole, in time proportional to their lines. An empty table gives an
-    empty one. Other columns pass through; those of the names above are replaced.
+    only such rows hold. Very long texts are handled whole, in time proportional to their lines; texts are shuffled once,
+    to the places of the lines that they lose. An empty table gives an empty one. Other columns pass through; those of the
+    names above are replaced.
     """
     dups = _repeated(docs, min_length, min_docs)
-    over = _over(dups, min_docs).select(F.col("key_md5").alias("_key"), "keeper")
-    over = saved(over)
+    over = saved(_over(dups, min_docs).select(F.col("key_md5").alias("_key"), "keeper"))
     gone = dups.join(F.broadcast(over) if _few(over) else over, "_key").where(~F.col("_doc").eqNullSafe(F.col("keeper")))
-    gone = gone.groupBy("_doc", "_text").agg(F.collect_set("_at").alias("_gone"))
-    gone = saved(gone)
+    gone = saved(gone.groupBy("_doc", "_text").agg(F.collect_set("_at").alias("_gone")))
     release(dups, over)
     names = docs.columns
     key, lost = free_name(names, "_line_text"), free_name(names, "_line_gone")
     own, same = free_name(names, "_line_own"), free_name(names, "_line_same")
     found = gone.select(F.col("_doc").alias(own), F.col("_text").alias(same), F.col("_gone").alias(lost))
     marked = docs.withColumn(key, F.xxhash64("text"))
-    found = F.broadcast(found) if _few_lines(gone) else found
     out = marked.join(found, marked["doc_id"].eqNullSafe(found[own]) & (marked[key] == found[same]), "left").drop(own, same, key)
     count, dropped = F.size(lines_of(F.col("text"))).cast("long"), F.coalesce(F.size(lost), F.lit(0)).cast("long")
     text = F.when(F.col(lost).isNull(), F.coalesce("text", F.lit(""))).otherwise(_without(lines_of(F.col("text")), F.col(lost)))
     return out.withColumns({"line_text": text, "line_count": count, "line_dropped": F.when(F.col(lost).isNull(), F.lit(0).cast("long")).otherwise(dropped)}).drop(lost)
 
 
-#: Up to so many places of lines (8 MB) are broadcast.
-FEW_LINES = 1_000_000
-
-
-def _few_lines(gone: DataFrame) -> bool:
-    places = gone.agg(F.sum(F.size("_gone") + 6)).first()[0]
-    return (places or 0) <= FEW_LINES
-
-
 def _without(lines: Column, gone: Column) -> Column:
     """The lines but those at the 0-based places, joined again. Both are bound once, so work is linear in the lines."""
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
