@@ -118,12 +118,18 @@ def score_all(queries: DataFrame, items: DataFrame, scorer: str = "inner") -> Da
 def top_k(queries: DataFrame, items: DataFrame, k: int, scorer: str = "inner") -> DataFrame:
     """(query_id, rank, item_id, score): the k best items of each query, ties by the smaller id.
 
-    With an array column ``seen`` in the queries, these items can't be retrieved. Each block keeps its k best.
+    Scores count to ten digits, so that sums in another order don't part equal ones. With an array column ``seen`` in the queries, these items can't be retrieved. A catalogue that is small enough is
+    scored in place; beyond that the search is bound-pruned over clustered blocks (``pruned.top_k``).
     """
     hide = "seen" in queries.columns
+    if not is_small(items):
+        from . import pruned
+
+        return pruned.top_k(queries, pruned.build_blocks(items, scorer), k, queries.select("query_id", F.explode("seen").alias("item_id")) if hide else None)[0]
 
     def best(q: pa.Table, ids: np.ndarray, scores: np.ndarray, _: np.ndarray) -> pa.Table:
         own = np.asarray(q["query_id"].combine_chunks())
+        scores = np.where(np.isnan(scores), -np.inf, np.round(scores, 10))  # a zero vector has no cosine
         if scores.size:
             if hide:
                 lists = q["seen"].combine_chunks()
@@ -150,6 +156,10 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, scorer: str = "inner") -
 
 def top_k_unseen(queries: DataFrame, items: DataFrame, seen: DataFrame, k: int, scorer: str = "inner") -> DataFrame:
     """``top_k`` without the items of the rows (query_id, item_id) of ``seen``."""
+    if not is_small(items):
+        from . import pruned
+
+        return pruned.top_k(queries, pruned.build_blocks(items, scorer), k, seen)[0]
     lists = seen.groupBy("query_id").agg(F.collect_set(F.col("item_id").cast("long")).alias("seen"))
     q = queries.join(lists, "query_id", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<bigint>")))
     return top_k(q, items, k, scorer)
@@ -168,8 +178,13 @@ def mark_hits(retrieved: DataFrame, targets: DataFrame) -> DataFrame:
 def target_rank(queries: DataFrame, items: DataFrame, scorer: str = "inner", pad_candidate: bool = False) -> DataFrame:
     """(query_id, target, rank): 1 + the number of items that score strictly above the query's target item.
 
-    Queries have a column ``target``. With ``pad_candidate`` the pad, a zero vector, competes too.
+    Queries have a column ``target``. With ``pad_candidate`` the pad, a zero vector, competes too. Large catalogues are
+    searched by blocks (``pruned.target_rank``).
     """
+    if not is_small(items):
+        from . import pruned
+
+        return pruned.target_rank(queries, pruned.build_blocks(items, scorer), items, pad_candidate)[0]
     own = items.select(F.col("item_id").alias("target"), F.col("vec").alias("_target"))
     q = queries.join(own, "target")
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as V
+from ..operators import codebook as C
 from ..operators import negatives as N
+from ..operators import pruned as P
 from ..operators import retrieval as R
 from .inputs import VECTORS, query_vectors, uniform_sql, vectors
 
@@ -78,6 +81,28 @@ def w14_target_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.unionByName(R.target_rank(q, vectors(spark, sf_dir), pad_candidate=True).withColumn("form", F.lit("with pad")))
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> P.Blocks:
+    """Blocks of 32 items by their pairs of nearest centers, which are the halves of the first vectors."""
+    v = vectors(spark, sf_dir)
+    x = np.array([r["vec"] for r in v.where("item_id <= 8").orderBy("item_id").collect()])
+    half = -(-x.shape[1] // 2)
+    return P.build_blocks(v, codes=C.assign_codes(v, x[:, :half], x[:, half:]), block=32)
+
+
+def t2_pruned_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.top_k(query_vectors(spark, sf_dir), _blocks(spark, sf_dir), 10)[0].drop("score")
+
+
+def t3_pruned_top_k_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.top_k(query_vectors(spark, sf_dir), _blocks(spark, sf_dir), 10, seen_rows(spark, sf_dir))[0].drop("score")
+
+
+def w14_pruned_target_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, v, b = query_vectors(spark, sf_dir).withColumn("target", F.col("query_id") + 1), vectors(spark, sf_dir), _blocks(spark, sf_dir)
+    plain = P.target_rank(q, b, v)[0].withColumn("form", F.lit("items"))
+    return plain.unionByName(P.target_rank(q, b, v, pad_candidate=True)[0].withColumn("form", F.lit("with pad")))
+
+
 def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, freq): how often each part is in line items; ids from 1, and the pad."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -93,7 +118,7 @@ def j8_cdf_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.cdf_lookup(drawn, N.popularity_cdf(frequencies(spark, sf_dir), 2).select("item_id", "lo", "cdf")).select("query_id", "draw", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (f1_inner_product, f2_cosine, f3_neg_euclidean, f4_l2_normalize, f5_log_sum_exp, j9_score_all, t2_top_k, t3_top_k_unseen, j6_exclude_seen, j7_mark_hits, w14_target_rank, j8_cdf_lookup)}
+QUERIES = {f.__name__: f for f in (f1_inner_product, f2_cosine, f3_neg_euclidean, f4_l2_normalize, f5_log_sum_exp, j9_score_all, t2_top_k, t3_top_k_unseen, j6_exclude_seen, j7_mark_hits, w14_target_rank, t2_pruned_top_k, t3_pruned_top_k_unseen, w14_pruned_target_rank, j8_cdf_lookup)}
 
 _NEAR = f"WITH {VECTORS}, nb AS (SELECT x.item_id, x.vec AS a, y.vec AS b FROM vecs x JOIN vecs y ON y.item_id = x.item_id + 1), d AS (SELECT item_id, a, list_dot_product(a, b) AS ab, list_dot_product(a, a) AS aa, list_dot_product(b, b) AS bb FROM nb)"
 _SC = f"WITH {VECTORS}, sc AS (SELECT query_id, q.label AS ql, item_id, v.label AS vl, list_dot_product(q.vec, v.vec) AS score FROM qs q CROSS JOIN vecs v)"
@@ -114,3 +139,4 @@ ORACLE_SQL = {
     "w14_target_rank": f"{_SC}, t AS (SELECT query_id, item_id AS target, score AS s FROM sc WHERE item_id = query_id + 1), r AS (SELECT t.query_id, target, s, count(*) FILTER (round(score, 10) > round(s, 10) AND item_id <> target) + 1 AS rank FROM t JOIN sc USING (query_id) GROUP BY ALL) SELECT query_id, target, rank, 'items' AS form FROM r UNION ALL SELECT query_id, target, rank + (0 > round(s, 10))::int, 'with pad' FROM r",
     "j8_cdf_lookup": f"WITH {VECTORS}, {CDF}, dr AS (SELECT query_id, draw::int AS draw, {uniform_sql(7, 'lookup', 'query_id::varchar', 'draw::varchar')} AS u FROM qs, range(1, 9) t(draw)), c AS (SELECT item_id, cdf FROM pc) SELECT query_id, draw, c.item_id FROM dr ASOF JOIN c ON dr.u <= c.cdf",
 }
+ORACLE_SQL |= {f"{k}_pruned_{v}": ORACLE_SQL[f"{k}_{v}"] for k, v in (("t2", "top_k"), ("t3", "top_k_unseen"), ("w14", "target_rank"))}

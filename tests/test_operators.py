@@ -525,3 +525,37 @@ def test_cdf_lookup_of_heavy_rows(spark, parts):
         assert got[key, draw] == (want, u)
         assert key != 1 or one[draw] == want
     assert len(got) == len(draws)
+
+
+@pytest.mark.parametrize("scorer", ["inner", "cosine", "euclidean"])
+def test_pruned_search_equals_plain_scores_and_skips_blocks(spark, scorer):
+    """Items in tight groups: few blocks are visited, results are those of all scores; ties, zero vectors, hidden items."""
+    from rankprep.operators import pruned
+
+    rng = np.random.default_rng(4)
+    groups = rng.normal(size=(12, 6)) * 4
+    x = np.concatenate([g + rng.normal(size=(30, 6)) * 0.05 for g in groups] + [np.zeros((1, 6)), groups[:1], groups[:1]])
+    q = np.concatenate([groups + rng.normal(size=groups.shape) * 0.1, np.zeros((1, 6))])
+    items, queries = vectors(spark, x), vectors(spark, q, 0, "query_id").withColumn("target", F.col("query_id") * 7 + 1)
+    seen = spark.createDataFrame([(qq, int(i)) for qq in range(13) for i in rng.integers(1, 364, 40)], "query_id long, item_id long")
+    codes = items.select("item_id", F.floor((F.col("item_id") - 1) / 30).cast("int").alias("k0"), F.lit(0).alias("k1"))
+    blocks = pruned.build_blocks(items, scorer, codes, block=16)
+    told = lambda df: sorted((r["query_id"], r["rank"], r["item_id"]) for r in df.collect())
+    found, trips = pruned.top_k(queries, blocks, 9)
+    assert told(found) == told(retrieval.top_k(queries, items, 9, scorer))
+    assert told(pruned.top_k(queries, blocks, 9, seen)[0]) == told(retrieval.top_k_unseen(queries, items, seen, 9, scorer))
+    trips = [(r["n_visited"], r["n_blocks"]) for r in trips.collect() if r["query_id"] < 12]
+    assert sum(v for v, _ in trips) < 0.35 * sum(n for _, n in trips)
+    for pad in (False, True):
+        ranks, visits = pruned.target_rank(queries, blocks, items, pad)
+        assert sorted(map(tuple, ranks.collect())) == sorted(map(tuple, retrieval.target_rank(queries, items, scorer, pad).collect()))
+        assert sum(r["n_visited"] for r in visits.collect()) < 0.5 * 13 * len(blocks)
+
+
+def test_pruned_search_of_odd_catalogues(spark):
+    from rankprep.operators import pruned
+
+    q = vectors(spark, [[1.0], [-2.0]], 0, "query_id")
+    assert pruned.top_k(q, pruned.build_blocks(vectors(spark, [[1.0]]).limit(0)), 3)[0].count() == 0
+    one = pruned.top_k(q, pruned.build_blocks(vectors(spark, [[1.0], [3.0]])), 5)[0]
+    assert sorted((r["query_id"], r["rank"], r["item_id"]) for r in one.collect()) == [(0, 1, 2), (0, 2, 1), (1, 1, 1), (1, 2, 2)]
