@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ _LOCAL = (1 << 33) - 1
 PAD = "[PAD]"
 
 
-def _sorted_parts(df: DataFrame, order: list[Column | str]) -> DataFrame:
+def sorted_parts(df: DataFrame, order: list[Column | str]) -> DataFrame:
     """``df`` in a total order over range partitions, with _part and _at, the place within the part."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = saved(ranged.withColumn("_id", F.monotonically_increasing_id()))
@@ -23,7 +25,7 @@ def with_row_number(df: DataFrame, order: list[Column | str], name: str = "row")
 
     Rows are range-partitioned and sorted; a second pass adds up the sizes of the parts, one row for each.
     """
-    parts = _sorted_parts(df, order)
+    parts = sorted_parts(df, order)
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_part", before.alias("_start"))
@@ -32,7 +34,7 @@ def with_row_number(df: DataFrame, order: list[Column | str], name: str = "row")
 
 def with_prefix_sum(df: DataFrame, value: str, order: list[Column | str], name: str = "total") -> DataFrame:
     """``df`` with the sum of ``value`` up to and including each row in a total order, in two passes like the above."""
-    parts = _sorted_parts(df, order)
+    parts = sorted_parts(df, order)
     sums = parts.groupBy("_part").agg(F.sum(value).alias("_s"))
     before = F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     starts = sums.select("_part", before.alias("_start"))
@@ -48,15 +50,94 @@ def with_group_places(df: DataFrame, keys: list[str], order: list[str], value: s
     sizes, one row for each part and group, are added up.
     """
     v = F.col(value) if value else F.lit(0.0)
-    parts = _sorted_parts(df, [*keys, *order])
+    parts = sorted_parts(df, [*keys, *order])
     sums = parts.groupBy("_part", *keys).agg(F.count("*").alias("_n"), F.sum(v).alias("_s"))
     group = Window.partitionBy(*keys)
     past = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_part", *keys, *[F.coalesce(F.sum(c).over(past), F.lit(zero)).alias(f"{c}0") for c, zero in (("_n", 0), ("_s", 0.0))], F.sum("_n").over(group).alias("_size"), F.sum("_s").over(group).alias("_total"))
     own = Window.partitionBy("_part", *keys).orderBy("_at")
     out = parts.withColumn("_place", F.row_number().over(own) - 1).withColumn("_run", F.sum(v).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.join(sums, ["_part", *keys]).withColumn("_place", F.col("_n0") + F.col("_place")).withColumn("_run", F.col("_s0") + F.col("_run"))
-    return out.drop("_part", "_at", "_n0", "_s0", *([] if value else ["_run", "_total"]))
+    mine = sums.select(F.col("_part").alias("_part0"), *[F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)], "_n0", "_s0", "_size", "_total")
+    same = F.col("_part") == F.col("_part0")
+    for i, c in enumerate(keys):  # null is a group like others
+        same &= F.col(c).eqNullSafe(F.col(f"_key{i}"))
+    out = out.join(mine, same).withColumn("_place", F.col("_n0") + F.col("_place")).withColumn("_run", F.col("_s0") + F.col("_run"))
+    return out.drop("_part", "_at", "_part0", "_n0", "_s0", *[f"_key{i}" for i in range(len(keys))], *([] if value else ["_run", "_total"]))
+
+
+#: Rows from which a group is spread over tasks.
+HOT = 1_000_000
+
+
+def hot_groups(df: DataFrame, key: str, more_than: int | None = None) -> DataFrame:
+    """(key) of the groups of more than HOT rows, saved: at most one for each HOT rows of the table."""
+    counted = df.groupBy(key).agg(F.count("*").alias("_n"))
+    return saved(counted.where(F.col("_n") > (HOT if more_than is None else more_than)).select(key))
+
+
+def without_and_with(df: DataFrame, hot: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of other groups, and those of the hot ones."""
+    own = F.broadcast(hot.select(F.col(key).alias("_hot")))
+    same = F.col(key).eqNullSafe(F.col("_hot"))
+    return df.join(own, same, "left_anti"), df.join(own, same, "left_semi")
+
+
+def with_places(df: DataFrame, key: str, order: list[Column | str], hot: DataFrame | None = None) -> DataFrame:
+    """``df`` with _place, the 0-based place within its group, and _size, the group's rows.
+
+    Groups are windows of one task each, but for the hot ones (``hot_groups``, worked out here unless they are given),
+    whose parts are numbered apart, so that no task has more rows of one group than of others.
+    """
+    hot = hot_groups(df, key) if hot is None else hot
+    few, many = (df, None) if not hot.limit(1).count() else without_and_with(df, hot, key)
+    own = Window.partitionBy(key)
+    out = few.withColumn("_place", (F.row_number().over(own.orderBy(*order)) - 1).cast("long")).withColumn("_size", F.count("*").over(own))
+    return out if many is None else out.unionByName(with_group_places(many, [key], order))
+
+
+#: Values that a cut sorts in the end.
+FEW_VALUES = 10_000
+_BITS, _STEP = 52, 16
+
+
+def cuts(df: DataFrame, u: Column, keys: list[str], ranks: Callable[[int], list[int]]) -> tuple[int, list[Column]]:
+    """The number of rows n, and for each of ``ranks(n)`` a condition that holds for just so many rows: the first in the
+    order of ``u``, in [0, 1) with 52 bits, and ``keys``.
+
+    Rows are neither sorted nor moved. Their draws are counted by their first bits, then, for the counts that the ranks fall
+    into, by further bits, until few are left, which tell the row at the rank; rows are then compared with it.
+    """
+    bits = (u * F.lit(float(1 << _BITS))).cast("long")
+    rows = df.select(bits.alias("_b"), *keys)
+    at = lambda shift: F.shiftright("_b", shift)
+    count = lambda part, shift: {r["k"]: r["n"] for r in part.groupBy(at(shift).alias("k")).agg(F.count("*").alias("n")).collect()}  # noqa: E731  # 65,536 at most
+    first = _BITS - _STEP
+    top = count(rows, first)
+    n = sum(top.values())
+    out = []
+    for rank in ranks(n):
+        if rank <= 0 or rank >= n:
+            out.append(F.lit(rank > 0))
+            continue
+        shift, found, part, rest = first, top, rows, rank
+        while True:
+            for k in sorted(found):  # the bits of the row at the rank
+                if rest < found[k]:
+                    break
+                rest -= found[k]
+            part = rows.where(at(shift) == k)
+            if found[k] <= FEW_VALUES or shift == 0:
+                break
+            shift = max(0, shift - _STEP)
+            found = count(part, shift)
+        bound = part.orderBy("_b", *keys).limit(rest + 1).collect()[rest]
+        before = F.lit(False)
+        for c in reversed(keys):
+            same, mine = F.lit(bound[c]), F.col(c)
+            less = F.lit(False) if bound[c] is None else F.coalesce(mine < same, mine.isNull())  # nulls come first
+            before = less | (mine.eqNullSafe(same) & before)
+        out.append((bits < bound["_b"]) | ((bits == bound["_b"]) & before))
+    return n, out
 
 
 def token_stream(texts: DataFrame, order: list[str], col: str = "text", sep: str = " ", keep: tuple[str, ...] = ()) -> DataFrame:

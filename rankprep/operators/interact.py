@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -105,28 +105,60 @@ def order_interactions(df: DataFrame, order: list[str]) -> DataFrame:
     return df.repartition("user_id").sortWithinPartitions("user_id", *order)
 
 
+#: Up to so many ids (8 MB) are broadcast, once they are counted.
+FEW = 1_000_000
+
+
+def _few(table: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(table) if count <= FEW else table
+
+
 def kcore(df: DataFrame, min_user: int, min_item: int) -> DataFrame:
-    """Drops items, then users, with too few interactions, until none are left with too few.
+    """Drops users and items with too few interactions until none are left with too few; what is left doesn't depend on
+    the order of dropping. If nothing qualifies the result is empty.
 
-    Rounds go over one narrow row for each user and item, with their number of interactions; the table itself is met
-    once, at the end. Each round drops some pair or is the last. If nothing qualifies the result is empty.
+    Users and items keep their number of interactions. A round takes off what they had with those dropped in the round
+    before, so only neighbours of these are counted; the pairs, one narrow row each, are written anew without dropped ones
+    whenever these have become many. The table itself is met once, at the end.
     """
-    pairs = saved(df.groupBy("user_id", "item_id").agg(F.count("*").alias("_n")))
-    left = pairs.count()
-    while True:
-        rest = pairs
-        for col, least in (("item_id", min_item), ("user_id", min_user)):
-            if least > 1:
-                enough = rest.groupBy(col).agg(F.sum("_n").alias("_all")).where(F.col("_all") >= least).select(col)
-                rest = rest.join(enough, col, "left_semi")
-        rest = saved(rest)
-        now = rest.count()
-        release(pairs)
-        pairs = rest
-        if now == left:
-            p = pairs.select(F.col("user_id").alias("_u"), F.col("item_id").alias("_i"))
-            return df.join(p, F.col("user_id").eqNullSafe(F.col("_u")) & F.col("item_id").eqNullSafe(F.col("_i")), "left_semi")
-        left = now
+    least = F.when(F.col("_side") == 0, min_user).otherwise(min_item)
+    kinds = dict(df.dtypes)
+    kind = kinds["user_id"] if kinds["user_id"] == kinds["item_id"] else "string"  # both are ids of one table of nodes
+    pairs = saved(df.groupBy(F.col("user_id").cast(kind).alias("_u"), F.col("item_id").cast(kind).alias("_i")).agg(F.count("*").alias("_n")))
+    sides = F.array(F.struct(F.lit(0).alias("_side"), F.col("_u").alias("_id"), F.col("_i").alias("_other")), F.struct(F.lit(1).alias("_side"), F.col("_i").alias("_id"), F.col("_u").alias("_other")))
+    ends = lambda rows: rows.select(F.explode(sides).alias("x"), "_n").select("x.*", "_n")
+
+    def counted(table: DataFrame) -> tuple[DataFrame, int, int]:
+        """The saved nodes with _low, whether they have too few, how many there are, and how many of these have too few."""
+        seen = Observation()
+        out = saved(table.withColumn("_low", F.col("_deg") < least).observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("_low").alias("low")))
+        return out, seen.get["n"], seen.get["low"]
+
+    nodes, count, low = counted(ends(pairs).groupBy("_side", "_id").agg(F.sum("_n").alias("_deg")))
+    gone = 0
+    while low:
+        dropped = nodes.where("_low").select(F.col("_side").alias("_s"), F.col("_id").alias("_d"))
+        hit = ends(pairs).join(_few(dropped, low), (F.col("_side") == F.col("_s")) & F.col("_id").eqNullSafe(F.col("_d")))
+        lost = hit.groupBy((1 - F.col("_side")).alias("_s"), F.col("_other").alias("_d")).agg(F.sum("_n").alias("_lost"))
+        rest = nodes.where("NOT _low").join(lost, (F.col("_side") == F.col("_s")) & F.col("_id").eqNullSafe(F.col("_d")), "left")
+        gone += low
+        after, count, low = counted(rest.select("_side", "_id", (F.col("_deg") - F.coalesce("_lost", F.lit(0))).alias("_deg")))
+        release(nodes)
+        nodes = after
+        if low and gone > count // 4:
+            left = saved(_between(pairs, nodes, count, "_u", "_i"))
+            release(pairs)
+            pairs, gone = left, 0
+    release(pairs)
+    return _between(df, nodes, count, "user_id", "item_id")
+
+
+def _between(rows: DataFrame, nodes: DataFrame, count: int, user: str, item: str) -> DataFrame:
+    """The rows whose user and item both are among the nodes."""
+    for side, col in ((1, item), (0, user)):
+        own = nodes.where(F.col("_side") == side).select(F.col("_id").alias("_kept"))
+        rows = rows.join(_few(own, count), F.col(col).cast(own.schema["_kept"].dataType).eqNullSafe(F.col("_kept")), "left_semi")
+    return rows
 
 
 def dataset_stats(df: DataFrame) -> DataFrame:

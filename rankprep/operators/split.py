@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import uniform
-from .ids import with_row_number
+from .ids import cuts, with_places, with_row_number
 
 PARTS = ("train", "valid", "test")
 DEFAULT_RATIO = (0.8, 0.1, 0.1)
@@ -26,43 +28,62 @@ def _part(place: Column, train: Column, valid: Column) -> Column:
     return F.when(place < train, PARTS[0]).when(place < train + valid, PARTS[1]).otherwise(PARTS[2])
 
 
-def shuffle_within_user(df: DataFrame, keys: list[str], seed: int = 42, name: str = "place") -> DataFrame:
+def shuffle_within_user(df: DataFrame, keys: list[str], seed: int = 42, name: str = "place", hot: DataFrame | None = None) -> DataFrame:
     """The 0-based place of each row in a random order of its user's rows; ``keys`` tell rows apart."""
-    w = Window.partitionBy("user_id").orderBy(uniform(seed, "within", "user_id", *keys), *keys)
-    return df.withColumn(name, F.row_number().over(w) - 1)
+    order = [uniform(seed, "within", "user_id", *keys), *keys]
+    return with_places(df, "user_id", order, hot).drop("_size").withColumnRenamed("_place", name)
 
 
-def split_by_ratio(df: DataFrame, keys: list[str], ratio: tuple[float, ...] = DEFAULT_RATIO, mode: str = "user_entry", seed: int = 42) -> DataFrame:
+def split_by_ratio(df: DataFrame, keys: list[str], ratio: tuple[float, ...] = DEFAULT_RATIO, mode: str = "user_entry", seed: int = 42, hot: DataFrame | None = None) -> DataFrame:
     """``df`` with its part in ``split``.
 
-    ``user_entry`` cuts each user's shuffled rows, ``entry`` the shuffled rows of all, ``user`` the shuffled users.
+    ``user_entry`` cuts each user's shuffled rows, ``entry`` the shuffled rows of all, ``user`` the shuffled users. Users of
+    very many rows (``hot``, worked out unless given) are spread over tasks; cuts through all rows need no sort.
     """
     if mode == "user_entry":
-        count = F.count("*").over(Window.partitionBy("user_id"))
-        return shuffle_within_user(df.withColumn("_n", count), keys, seed, "_place").withColumn("split", _part(F.col("_place"), *_cut(F.col("_n"), ratio))).drop("_n", "_place")
+        order = [uniform(seed, "within", "user_id", *keys), *keys]
+        placed = with_places(df, "user_id", order, hot)
+        return placed.withColumn("split", _part(F.col("_place"), *_cut(F.col("_size"), ratio))).drop("_size", "_place")
     if mode == "entry":
-        n = F.lit(df.count())
-        rows = with_row_number(df.withColumn("_u", uniform(seed, "entry", *keys)), ["_u", *keys], "_place")
-        return rows.withColumn("split", _part(F.col("_place"), *_cut(n, ratio))).drop("_u", "_place")
+        return df.withColumn("split", _cut_rows(df, uniform(seed, "entry", *keys), keys, lambda n: _whole_cut(n, ratio)))
     if mode == "user":
-        users = df.select("user_id").distinct().withColumn("_u", uniform(seed, "user", "user_id"))
-        m = F.lit(users.count())
-        valid, test = F.floor(m * F.lit(ratio[1])), F.floor(m * F.lit(ratio[2]))
-        parts = with_row_number(users, ["_u", "user_id"], "_place").select("user_id", _part(F.col("_place"), m - valid - test, valid).alias("split"))
+
+        def floors(m: int) -> tuple[int, int]:
+            valid, test = int(m * ratio[1]), int(m * ratio[2])
+            return m - valid - test, m - test
+
+        users = df.select("user_id").distinct()
+        parts = users.withColumn("split", _cut_rows(users, uniform(seed, "user", "user_id"), ["user_id"], floors))
         return df.join(parts, "user_id")
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def leave_n_out(df: DataFrame, order: list[str], n: int = 2) -> DataFrame:
+def _whole_cut(n: int, ratio: tuple[float, ...]) -> tuple[int, int]:
+    """Ends of train and valid among n rows, by the rule of ``_cut``."""
+    valid, test = int(n * ratio[1]), int(n * ratio[2])
+    train = n - valid - test
+    if test == 0 and train > 1:
+        train -= 1
+    if valid == 0 and train > 1:
+        train, valid = train - 1, 1
+    return train, train + valid
+
+
+def _cut_rows(df: DataFrame, u: Column, keys: list[str], ends: Callable[[int], tuple[int, int]]) -> Column:
+    """The part of each row, in the order of its draw and keys."""
+    _, (train, valid) = cuts(df, u, keys, lambda n: list(ends(n)))
+    return F.when(train, PARTS[0]).when(valid, PARTS[1]).otherwise(PARTS[2])
+
+
+def leave_n_out(df: DataFrame, order: list[str], n: int = 2, hot: DataFrame | None = None) -> DataFrame:
     """``df`` with ``part``: the last n rows of a user go to parts 1..n in turn, the rest to 0.
 
     A user's first row stays in part 0 as long as there is another; so short users give up the earlier parts first.
+    Users of very many rows (``hot``, worked out unless given) are spread over tasks.
     """
-    rows = Window.partitionBy("user_id")
-    place, count = F.row_number().over(rows.orderBy(*order)), F.count("*").over(rows)
-    left = F.col("_n") - F.col("_p")
-    part = F.when((F.col("_p") == 1) & (F.col("_n") > 1), 0).when(left < n, (F.lit(n) - left).cast("int")).otherwise(0)
-    return df.withColumn("_p", place).withColumn("_n", count).withColumn("part", part).drop("_p", "_n")
+    left = F.col("_size") - 1 - F.col("_place")
+    part = F.when((F.col("_place") == 0) & (F.col("_size") > 1), 0).when(left < n, (F.lit(n) - left).cast("int")).otherwise(0)
+    return with_places(df, "user_id", order, hot).withColumn("part", part).drop("_place", "_size")
 
 
 def leave_last_distinct(df: DataFrame, order: list[str], n: int = 2) -> DataFrame:
@@ -81,18 +102,13 @@ def valid_ratio(ratio: object) -> tuple[float, ...]:
 def random_split(df: DataFrame, keys: list[str], ratio: object = DEFAULT_RATIO, seed: int = 42) -> DataFrame:
     """``df`` with ``split``: the shuffled rows cut at the floors of n r0 and n (r0 + r1)."""
     r = valid_ratio(ratio)
-    n = df.count()
-    rows = with_row_number(df.withColumn("_u", uniform(seed, "random", *keys)), ["_u", *keys], "_place")
-    a, b = int(n * r[0]), int(n * (r[0] + r[1]))
-    return rows.withColumn("split", _part(F.col("_place"), F.lit(a), F.lit(b - a))).drop("_u", "_place")
+    return df.withColumn("split", _cut_rows(df, uniform(seed, "random", *keys), keys, lambda n: (int(n * r[0]), int(n * (r[0] + r[1])))))
 
 
 def holdout_split(train: DataFrame, test: DataFrame, keys: list[str], ratio: object = 0.8, seed: int = 42) -> DataFrame:
     """A given test table; the train table is shuffled and cut into train and valid at a share in (0, 1), else at 0.8."""
     share = ratio if isinstance(ratio, float) and 0 < ratio < 1 else 0.8
-    a = int(train.count() * share)
-    rows = with_row_number(train.withColumn("_u", uniform(seed, "holdout", *keys)), ["_u", *keys], "_place")
-    parts = rows.withColumn("split", F.when(F.col("_place") < a, "train").otherwise("valid")).drop("_u", "_place")
+    parts = train.withColumn("split", _cut_rows(train, uniform(seed, "holdout", *keys), keys, lambda n: (int(n * share), n)))
     return parts.unionByName(test.withColumn("split", F.lit("test")))
 
 
