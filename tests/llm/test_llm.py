@@ -239,6 +239,18 @@ def filled(sizes, weights, share, cap):
     return target
 
 
+def test_mixing_rounds_rows_without_or_with_one_id_each_by_itself(spark):
+    """Rows that agree in all columns, too: each source's words come near its target."""
+    rows = [(None, "three words here", s) for s in "xyz" for _ in range(3000)] + [(7, f"other text of {i}", "u") for i in range(2000)] + [(None, None, "x")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.mix_sources(df).groupBy("source", "mix_target").agg(F.sum("mix_taken").alias("taken"), F.max(F.col("mix_taken") - 2 * F.col("mix_size")).alias("over")).collect()
+    assert len(got) == 4
+    for r in got:
+        assert abs(r["taken"] - r["mix_target"]) < 0.03 * r["mix_target"] and r["over"] <= 0
+    told = lambda d: sorted(map(str, mixing.mix_sources(d).select("doc_id", "text", "source", "mix_taken").collect()))
+    assert told(df) == told(df.repartition(3))
+
+
 @pytest.mark.parametrize("sizes", [[100, 1, 50, 7], [5, 5, 5], [0, 10, 90], [1000, 1, 1, 1, 1]])
 def test_water_filling(spark, sizes):
     df = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, size long")
