@@ -62,7 +62,7 @@ def mix_sources(
     of one more, fractional repetition), mix_part_from (0-based word where that begins, wrapping around) and mix_taken
     (all words taken). A source's documents all repeat target / source_size times; the fractional repetition is a
     seeded slice of the document, its length rounded up or down by a seeded draw, so a source's words come within
-    rounding of its target. Draws are by doc_id, text and, where rows have both alike, by their number among these, so
+    rounding of its target. Draws are by doc_id, text and, where rows of a source have both alike, by their number among these, so
     rows without a doc_id and repeated ones are rounded each by itself.
 
     Null text has size 0; null is a source of its own; an empty table gives an empty table; repeated rows count each;
@@ -85,21 +85,23 @@ def mix_sources(
 
 
 def _numbered(docs: DataFrame, id_: str, text: str, nth: str) -> DataFrame:
-    """``docs`` with doc_id and the md5 of the text as text, null as '', and a number from 0 among rows that agree in both.
+    """``docs`` with doc_id and the md5 of the text as text, null as '', and a number from 0 among rows that agree in both and
+    in the source.
 
     Which of these rows gets which number makes no difference. Agreeing rows, if there are any, are found by narrow counts
     and numbered apart; a group of any size is spread over tasks.
     """
     docs = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn(text, F.md5(F.coalesce("text", F.lit(""))))
-    own = docs.select(F.col(id_).alias("i"), F.col(text).alias("t")).groupBy("i", "t").agg(F.count("*").alias("n"))
-    again = saved(own.where("n > 1").select("i", "t"))
+    own = docs.select(F.col(id_).alias("i"), F.col(text).alias("t"), F.col("source").alias("s")).groupBy("i", "t", "s").agg(F.count("*").alias("n"))
+    again = saved(own.where("n > 1").select("i", "t", "s"))
     found = again.limit(FEW_IDS + 1).count()
     if not found:
         return docs.withColumn(nth, F.lit(0).cast("long"))
     again = F.broadcast(again) if found <= FEW_IDS else again
-    same = (F.col(id_) == F.col("i")) & (F.col(text) == F.col("t"))
-    many = with_group_places(docs.join(again, same, "left_semi"), [id_, text], []).drop("_size").withColumnRenamed("_place", nth)
-    return docs.join(again, same, "left_anti").withColumn(nth, F.lit(0).cast("long")).unionByName(many)
+    left = docs.alias("d")
+    same = (F.col(f"d.{id_}") == F.col("i")) & (F.col(f"d.{text}") == F.col("t")) & F.col("d.source").eqNullSafe(F.col("s"))
+    many = with_group_places(left.join(again, same, "left_semi"), [id_, text, "source"], []).drop("_size").withColumnRenamed("_place", nth)
+    return left.join(again, same, "left_anti").withColumn(nth, F.lit(0).cast("long")).unionByName(many)
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -117,7 +119,7 @@ def mix_sql(documents: str = "documents", columns: str = "") -> str:
     """DuckDB SQL of the mix over a table or subquery; ``columns`` are further expressions over d (documents)."""
     u = lambda stage: f"(('0x' || substr(md5(concat_ws('|', '42', '{stage}', coalesce(doc_id::varchar, ''), md5(coalesce(text, '')), nth::varchar)), 1, 13))::bigint / 4503599627370496.0::double)"
     return f"""
-WITH d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, md5(coalesce(text, ''))) - 1 AS nth, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint AS size FROM {documents}),
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, md5(coalesce(text, '')), source) - 1 AS nth, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint AS size FROM {documents}),
 per AS (SELECT source, sum(size)::bigint AS source_size FROM d GROUP BY source),
 weighed AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::int]::double AS weight,
   source_size * 2.0::double AS cap, (sum(source_size) OVER ())::double * 1.5::double AS total FROM per),
