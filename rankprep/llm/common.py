@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ids import with_row_number
+
 SLICE = 1 << 20
 U64 = np.uint64
 _MASK = (1 << 64) - 1
@@ -70,6 +72,21 @@ def anti_join(df: DataFrame, ids: DataFrame, on: str = "doc_id") -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, on, "left_anti").select(*df.columns)
 
 
+def with_own_ids(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, own_id): ``docs`` with doc_ids that tell rows of different texts apart, and in own_id those they have.
+
+    Where ids repeat or are missing, which narrow counts tell, rows are numbered anew in the order of their ids, missing ones
+    first, then of a hash of their texts; rows that agree in both share a number. Else the ids stay.
+    """
+    rows = docs.select("doc_id", "text", F.col("doc_id").alias("own_id"))
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count():
+        return rows
+    pairs = docs.select(F.col("doc_id").alias("_own"), F.md5(F.coalesce("text", F.lit(""))).alias("_md5")).distinct()
+    numbers = with_row_number(pairs, [F.asc_nulls_first("_own"), "_md5"], "_number")
+    same = F.col("doc_id").eqNullSafe(F.col("_own")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("_md5"))
+    return saved(rows.join(numbers, same).select(F.col("_number").alias("doc_id"), "text", "own_id"))
+
+
 # ---- text as arrays --------------------------------------------------------------------------------------------------
 
 

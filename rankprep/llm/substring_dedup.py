@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASES, U64, Rolling, joined_bytes, map_arrow, mix, packed, signed, slices, text_slices, unpack, words
+from .common import BASES, U64, Rolling, joined_bytes, map_arrow, mix, packed, signed, slices, text_slices, unpack, with_own_ids, words
 
 #: Perfect difference sets. Every residue modulo the period is a difference of two members.
 COVERS = {
@@ -126,13 +126,16 @@ def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = True) ->
     sequence also starts in a document with a smaller doc_id; windows are judged on the input. ``kept`` is the kept
     words, joined by one space.
 
-    Null text has no words; texts shorter than a window keep all; rows with a null doc_id keep all and count for no
-    other; repeated rows of one doc_id get equal results and don't remove each other; an empty table gives an empty one.
+    Null text has no words; texts shorter than a window keep all; texts of any length are handled whole. Rows without a
+    doc_id come before all others; rows of one doc_id, and rows without, come in the order of the md5 of their texts, and
+    a later one loses what an earlier one holds; equal rows get equal results and don't remove each other. An empty table
+    gives an empty one. Other columns are not read.
     """
-    texts = packed(docs)
+    docs = with_own_ids(docs)
+    texts = packed(docs, "own_id")
     marks, windows = covered_windows(texts, docs, window)
     period = period_for(window)
-    joined = texts.join(marks, "doc_id", "left").join(windows, "doc_id", "left").select("doc_id", "packed", "marks", "starts")
+    joined = texts.join(marks, "doc_id", "left").join(windows, "doc_id", "left").select("own_id", "packed", "marks", "starts")
 
     def keep(batch: pa.RecordBatch) -> Iterator[dict]:
         for a in range(0, batch.num_rows, 500):

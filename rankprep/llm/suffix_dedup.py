@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASES, U64, Rolling, arrow_schema, as_batch, joined_bytes, key_groups, map_arrow, mix, packed, saved, signed, slices, text_slices, unpack
+from .common import BASES, U64, Rolling, arrow_schema, as_batch, joined_bytes, key_groups, map_arrow, mix, packed, saved, signed, slices, text_slices, unpack, with_own_ids
 
 #: Arrow holds strings of less than 2**31 bytes, so their places take 31 bits; the rest of a word orders the hashes.
 _PLACE = (1 << 31) - 1
@@ -241,11 +241,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = True, b
     the same document or another; matches never cross documents and are judged on the input. ``kept`` is binary, as a
     cut may fall inside a character.
 
-    Null text is empty; shorter texts keep all; rows with a null doc_id keep all and count for no other; repeated rows
-    of one doc_id are occurrences like any others, so their texts are removed; an empty table gives an empty one.
+    Null text is empty; shorter texts keep all; texts of any length are handled whole. Rows without a doc_id, and rows of
+    one doc_id, are documents each: what one of them repeats of another goes, and nothing else; equal rows repeat each
+    other. An empty table gives an empty one. Other columns are not read.
     """
-    texts = packed(docs)
-    joined = texts.join(repeated_spans(texts, docs, length, bucket_rows), "doc_id", "left").select("doc_id", "packed", "spans")
+    docs = with_own_ids(docs)
+    texts = packed(docs, "own_id")
+    joined = texts.join(repeated_spans(texts, docs, length, bucket_rows), "doc_id", "left").select("own_id", "packed", "spans")
 
     def keep(batch: pa.RecordBatch) -> Iterator[dict]:
         for a in range(0, batch.num_rows, 500):

@@ -192,7 +192,7 @@ def test_byte_dedup(spark, docs, rows, length, bucket_rows):
 
 def test_byte_dedup_odd_tables(spark, docs):
     got = suffix_dedup.remove_repeats(odd(spark), 10).collect()
-    assert sorted((r["doc_id"] or 0, r["n_removed"], r["n_spans"]) for r in got) == [(0, 0, 0), (1, 15, 1), (1, 15, 1), (2, 0, 0), (3, 0, 0)]
+    assert sorted((r["doc_id"] or 0, r["n_removed"], r["n_spans"]) for r in got) == [(0, 15, 1), (1, 15, 1), (1, 15, 1), (2, 0, 0), (3, 0, 0)]
     assert suffix_dedup.remove_repeats(empty(docs)).count() == 0
 
 
@@ -211,10 +211,26 @@ def test_word_dedup(spark, docs, rows, window):
 
 def test_word_dedup_odd_tables(spark, docs):
     got = substring_dedup.remove_repeats(odd(spark), 4).collect()
-    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got) == [(0, 8, 0), (1, 8, 0), (1, 8, 0), (2, 0, 0), (3, 0, 0)]
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got) == [(0, 8, 0), (1, 8, 8), (1, 8, 8), (2, 0, 0), (3, 0, 0)]
     assert substring_dedup.remove_repeats(empty(docs)).count() == 0
 
 
+def test_rows_of_one_id_keep_what_only_they_hold(spark):
+    """Spans found in one row never cut another row of the same id, or of none."""
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 90) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, b), (5, c), (5, c), (6, b[:200] + a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    number = {r: i for i, r in enumerate(sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest())))}
+    numbered = [(number[r], r[1]) for r in rows]
+    byte = [(r[0], *x[1:]) for r, x in zip(rows, brute.byte_dedup(numbered, 60), strict=True)]
+    word = [(r[0], *x[1:]) for r, x in zip(rows, brute.substring_dedup(numbered, 20), strict=True)]
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(df, 60, False).collect()), key=repr) == sorted(byte, key=repr)
+    assert sorted(map(tuple, substring_dedup.remove_repeats(df, 20, False).collect()), key=repr) == sorted(word, key=repr)
+    alone = spark.createDataFrame([(1, a), (2, a), (2, b)], "doc_id long, text string")
+    assert {(r["doc_id"], r["n_removed"]) for r in suffix_dedup.remove_repeats(alone, 60).collect()} == {(1, len(a)), (2, len(a)), (2, 0)}
+
+
 def test_covers_are_difference_covers():
     for period, cover in substring_dedup.COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
