@@ -100,11 +100,11 @@ def halves(vectors: DataFrame, normalize: bool = False) -> DataFrame:
     return vectors.select("item_id", vec.alias("v")).select("item_id", F.slice("v", F.lit(1), half).alias("v0"), F.slice("v", half + 1, F.size("v")).alias("v1"))
 
 
-def build_codebooks(items: DataFrame, k: int, normalize: bool = False, max_iter: int = 100, seed: int = 42) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+def build_codebooks(items: DataFrame, k: int, normalize: bool = False, max_iter: int = 100, tol: float = 1e-6, seed: int = 42) -> tuple[np.ndarray, np.ndarray, DataFrame]:
     """Centers of both halves and (item_id, k0, k1) of each item."""
     parts = halves(items, normalize)
-    c0, a0, _ = kmeans(parts.select("item_id", F.col("v0").alias("vec")), k, max_iter=max_iter, seed=seed)
-    c1, a1, _ = kmeans(parts.select("item_id", F.col("v1").alias("vec")), k, max_iter=max_iter, seed=seed + 1)
+    c0, a0, _ = kmeans(parts.select("item_id", F.col("v0").alias("vec")), k, max_iter=max_iter, tol=tol, seed=seed)
+    c1, a1, _ = kmeans(parts.select("item_id", F.col("v1").alias("vec")), k, max_iter=max_iter, tol=tol, seed=seed + 1)
     return c0, c1, a0.withColumnRenamed("cluster", "k0").join(a1.withColumnRenamed("cluster", "k1"), "item_id")
 
 

@@ -86,7 +86,9 @@ def _nll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nll = _nll(spark, sf_dir)
+    """Of tokens, which are the queries here, in sequences of ever more of them; and of batches of sequences, in which tokens of
+    long sequences count less."""
+    nll = _nll(spark, sf_dir).withColumn("query_id", F.floor(F.sqrt("query_id"))).withColumn("batch", F.col("query_id") % 7 % 3)
     return _round(M.perplexity(nll)).join(_round(M.perplexity(nll, "batch").withColumnRenamed("perplexity", "by_batch")))
 
 
@@ -121,6 +123,6 @@ ORACLE_SQL = {
     "m2_precision_at_k": _at((1, 3, 5), "coalesce(sum(hit) FILTER (rank <= {k}), 0) / {k}::double", "precision"),
     "m3_recall_at_k": _at((10, 20, 50), "coalesce(sum(hit) FILTER (rank <= {k}), 0) / n::double", "recall"),
     "m4_ndcg_at_k": _at((10, 20, 50), "coalesce(sum(hit / log2(rank + 1)) FILTER (rank <= {k}), 0) / list_sum(list_transform(range(1, least({k}, n) + 1), lambda r: 1.0::double / log2(r + 1)))", "ndcg"),
-    "m5_perplexity": f"{_NLL} SELECT round(exp(avg(nll)), 6) AS perplexity, round(exp(avg(nll)), 6) AS by_batch FROM nl",
+    "m5_perplexity": f"{_NLL}, sq AS (SELECT floor(sqrt(query_id))::bigint AS s, nll FROM nl), bt AS (SELECT s % 7 % 3 AS b, avg(nll) AS m, count(DISTINCT s) AS n FROM sq GROUP BY 1) SELECT (SELECT round(exp(avg(nll)), 6) FROM nl) AS perplexity, round(exp(sum(m * n) / sum(n)), 6) AS by_batch FROM bt",
     "m6_combine_batches": f"{_NLL}, b AS (SELECT batch, avg(nll) AS a, max(nll) AS m, count(*) AS n FROM nl GROUP BY 1) SELECT round(sum(a * n) / sum(n), 6) AS nll, round(sum(m * n) / sum(n), 6) AS worst FROM b",
 }

@@ -49,10 +49,15 @@ def fixed_centers(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, np.ndar
     return x[:, :half], x[:, half:]
 
 
+#: Rounds of the loops, all of them told in SQL; a negative tolerance lets none stop before.
+ROUNDS, HALF_ROUNDS = 20, 10
+
+
 def n3_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters after ROUNDS rounds from seeded rows, and their loss."""
     v = vectors(spark, sf_dir)
-    _, found, loss = C.kmeans(v, 10, max_iter=20)
-    return found.join(v.select("item_id", "label"), "item_id").groupBy("cluster", "label").agg(F.count("*").alias("n")).withColumn("loss", F.lit(round(loss, 6)))
+    _, found, loss = C.kmeans(v, 10, max_iter=ROUNDS, tol=-1.0)
+    return found.withColumn("loss", F.lit(round(loss, 4)))
 
 
 def n3_kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +82,8 @@ def _weighted(spark: SparkSession, sf_dir: str, mode: str) -> tuple[DataFrame, n
 
 
 def n4_build_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, codes = C.build_codebooks(vectors(spark, sf_dir), K, max_iter=10)
+    """Codes by clusters of both halves after HALF_ROUNDS rounds."""
+    _, _, codes = C.build_codebooks(vectors(spark, sf_dir), K, max_iter=HALF_ROUNDS, tol=-1.0)
     return codes
 
 
@@ -201,7 +207,23 @@ fv AS (SELECT item_id, list_concat(list(cos(x) / sqrt(32) ORDER BY j), list(sin(
 
 _W4, _W5 = _fourier(4.0), _fourier(5.0)
 
+
+
+def _rounds(source: str, k: int, seed: int, name: str, rounds: int) -> str:
+    """Tables of Lloyd's rounds over source (item_id, vec): {name}_c0.. the centers, {name}_a the assignment to the last."""
+    parts = [f"{name}_c0 AS (SELECT (row_number() OVER (ORDER BY item_id) - 1)::int AS k, vec AS c FROM (SELECT item_id, vec FROM {source} ORDER BY {uniform_sql(seed, 'centers', 'item_id::varchar')}, item_id LIMIT {k}))"]
+    near = lambda r: f"SELECT item_id, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT item_id, k, {_DIST('vec', 'c')} AS d FROM {source} CROSS JOIN {name}_c{r}) GROUP BY 1"
+    for r in range(rounds):
+        parts.append(f"{name}_n{r} AS MATERIALIZED ({near(r)})")
+        means = f"SELECT k, i, avg(x) AS x FROM (SELECT n.k, unnest(range(0, len(vec))) AS i, unnest(vec) AS x FROM {name}_n{r} n JOIN {source} USING (item_id)) GROUP BY ALL"
+        parts.append(f"{name}_c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.c, c.c) AS c FROM {name}_c{r} c LEFT JOIN (SELECT k, list(x ORDER BY i) AS c FROM ({means}) GROUP BY k) m USING (k))")
+    parts.append(f"{name}_a AS MATERIALIZED ({near(rounds)})")
+    return ", ".join(parts)
+
+
 ORACLE_SQL = {
+    "n3_kmeans": f"WITH {VECTORS}, {_rounds('vecs', 10, 42, 'km', ROUNDS)} SELECT item_id, k AS cluster, (SELECT round(sum(greatest(d, 0.0)), 4) FROM km_a) AS loss FROM km_a",
+    "n4_build_codebooks": f"WITH {VECTORS}, ha AS (SELECT item_id, vec[1:32] AS vec FROM vecs), hb AS (SELECT item_id, vec[33:64] AS vec FROM vecs), {_rounds('ha', K, 42, 'ka', HALF_ROUNDS)}, {_rounds('hb', K, 43, 'kb', HALF_ROUNDS)} SELECT item_id, ka_a.k AS k0, kb_a.k AS k1 FROM ka_a JOIN kb_a USING (item_id)",
     "n2_positive_log_q": f"WITH {VECTORS}, {CDF}, nr AS (SELECT query_id, unnest([query_id + 1, query_id + 2]) AS item_id FROM qs), ne AS (SELECT nr.* FROM nr JOIN vecs USING (item_id)), kw AS (SELECT query_id, v.item_id, 100.0::double * list_dot_product(q.vec, v.vec) * list_dot_product(q.vec, v.vec) + 1 AS w FROM qs q CROSS JOIN vecs v), kz AS (SELECT *, sum(w) OVER (PARTITION BY query_id) AS z FROM kw) SELECT query_id, item_id, 1.0::double AS log_q, 'uniform' AS form FROM ne UNION ALL SELECT query_id, item_id, 0.0, 'hard' FROM ne UNION ALL SELECT ne.query_id, ne.item_id, coalesce(round(ln(prob), 6), 0.0), 'popular' FROM ne LEFT JOIN pc ON pc.item_id = ne.item_id UNION ALL SELECT query_id, item_id, round(ln(5 * w / z), 6), 'sphere' FROM ne JOIN kz USING (query_id, item_id)",
     "n7_sample_index_uniform": f"WITH {CODES}, {_PS}, jw AS (SELECT k0, k1, count(*) AS w FROM co GROUP BY ALL), {_PICK('index')}, ix AS (SELECT item_id, k0, k1, row_number() OVER (PARTITION BY k0, k1 ORDER BY item_id) - 1 AS pos FROM co) SELECT query_id, draw, item_id, round(s, 6) AS log_q FROM dp JOIN jw USING (k0, k1) JOIN ix ON ix.k0 = dp.k0 AND ix.k1 = dp.k1 AND ix.pos = floor(u2 * w)",
     "n8_sample_index_weighted": f"WITH {CODES}, {_PS}, jw AS (SELECT k0, k1, sum(w_pop) AS w FROM wt GROUP BY ALL), {_PICK('weighted')}, ix AS (SELECT item_id, k0, k1, w_pop, sum(w_pop) OVER (PARTITION BY k0, k1 ORDER BY item_id) / sum(w_pop) OVER (PARTITION BY k0, k1) AS hi FROM wt), hit AS (SELECT query_id, draw, s, min((ix.item_id, w_pop)) AS x FROM dp JOIN ix USING (k0, k1) WHERE hi >= u2 GROUP BY ALL) SELECT query_id, draw, x[1] AS item_id, round(s + ln(x[2]), 6) AS log_q FROM hit",
