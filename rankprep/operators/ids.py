@@ -171,19 +171,48 @@ def frequency_vocab(tokens: DataFrame, order: list[str]) -> DataFrame:
     return ids.select("token", (F.col("id") + 1).alias("id"), "freq")
 
 
+#: A token with more than this share of all is joined apart: there are at most 10,000 such tokens, which are broadcast.
+HEAVY = 1 / 10_000
+
+
+def _heavy(tokens: DataFrame, vocab: DataFrame) -> DataFrame | None:
+    """(_token, _id) of the tokens that are more than HEAVY of all occurrences, by the vocabulary's freq or by counting;
+    none where there are no more than HOT."""
+    counts = vocab.select("token", "freq") if "freq" in vocab.columns else saved(tokens.groupBy(F.col("_token").alias("token")).agg(F.count("*").alias("freq")))
+    total = counts.agg(F.sum("freq")).first()[0] or 0
+    if total <= HOT:
+        return None
+    often = counts.where(F.col("freq") > F.lit(total * HEAVY)).select("token")
+    return vocab.join(F.broadcast(often), "token").select(F.col("token").alias("_token"), F.col("id").alias("_hot"))
+
+
+def _with_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``tokens`` (_token, ...) with _id, null for unknown ones. Rows of heavy tokens get it by broadcast and then are dealt
+    out evenly, so a token of any frequency is no hot key."""
+    v = vocab.select(F.col("token").alias("_known"), F.col("id").alias("_id"))
+    heavy = _heavy(tokens, vocab)
+    if heavy is None:
+        return tokens.join(v, F.col("_token") == F.col("_known"), "left").drop("_known")
+    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*tokens.columns), F.lit(100_000)).cast("string"), F.lit("\x00"))
+    met = tokens.join(F.broadcast(heavy), "_token", "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col("_token")).otherwise(spread))
+    found = met.join(v, F.col("_key") == F.col("_known"), "left")
+    return found.withColumn("_id", F.coalesce("_hot", "_id")).select(*tokens.columns, "_id")
+
+
 def encode_tokens(df: DataFrame, vocab: DataFrame, cols: list[str], key: list[str] | None = None) -> DataFrame:
     """``df`` with the tokens of ``cols`` replaced by their ids; tokens that aren't known, and nulls, become 0.
 
-    Array columns keep their order; ``key`` names columns that tell rows apart, which they need.
+    Array columns keep their order; ``key`` names columns that tell rows apart, which they need. Frequent tokens are met
+    by broadcast, the others by a shuffle.
     """
     for c in cols:
-        v = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
         if dict(df.dtypes)[c].startswith("array"):
-            own = df.select(*key, F.posexplode(F.col(c).cast("array<string>")).alias("_p", "_token")).join(v, "_token", "left")
+            own = _with_ids(df.select(*key, F.posexplode(F.col(c).cast("array<string>")).alias("_p", "_token")), vocab)
             ids = own.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_p", F.coalesce("_id", F.lit(0)).alias("_id"))))["_id"].alias("_ids"))
             df = df.join(ids, key, "left").withColumn(c, F.coalesce("_ids", F.array().cast("array<bigint>"))).drop("_ids")
         else:
-            df = df.withColumn("_token", F.col(c).cast("string")).join(v, "_token", "left").withColumn(c, F.coalesce("_id", F.lit(0).cast("long"))).drop("_token", "_id")
+            order = df.columns
+            df = _with_ids(df.withColumn("_token", F.col(c).cast("string")), vocab).withColumn(c, F.coalesce("_id", F.lit(0).cast("long"))).select(*order)
     return df
 
 

@@ -127,16 +127,18 @@ def index_log_q(queries: DataFrame, pairs: DataFrame, codes: DataFrame, c0: np.n
     return known.select("query_id", "item_id", F.coalesce(base, F.lit(0.0)).alias("log_q"))
 
 
-def index_proposal(queries: DataFrame, weighted: DataFrame, c0: np.ndarray, c1: np.ndarray) -> DataFrame:
+def index_proposal(queries: DataFrame, weighted: DataFrame, c0: np.ndarray, c1: np.ndarray, pairs: DataFrame | None = None) -> DataFrame:
     """(query_id, item_id, prob): the index samplers' distribution, w(i) exp(q0 c0 + q1 c1) / Z, in closed form.
 
-    Z is summed over pairs of clusters, not items.
+    Z is summed over pairs of clusters, not items. With ``pairs`` (query_id, item_id) only these are told, else all.
     """
     joint = weighted.groupBy("k0", "k1").agg(F.sum("weight").alias("total"))
     scores = _pair_scores(queries, c0, c1).crossJoin(F.broadcast(joint)).withColumn("s", F.get("r0", F.col("k0")) + F.get("r1", F.col("k1")))  # k x k pairs
     own = Window.partitionBy("query_id")
     scores = scores.withColumn("top", F.max("s").over(own)).withColumn("e", F.exp(F.col("s") - F.col("top"))).withColumn("z", F.sum(F.col("e") * F.col("total")).over(own))
-    return scores.select("query_id", "k0", "k1", "e", "z").join(weighted, ["k0", "k1"]).select("query_id", "item_id", (F.col("weight") * F.col("e") / F.col("z")).alias("prob"))
+    items = weighted.select("item_id", "k0", "k1", "weight")
+    asked = (["k0", "k1"], items) if pairs is None else (["query_id", "k0", "k1"], pairs.select("query_id", "item_id").join(items, "item_id"))
+    return scores.select("query_id", "k0", "k1", "e", "z").join(asked[1], asked[0]).select("query_id", "item_id", (F.col("weight") * F.col("e") / F.col("z")).alias("prob"))
 
 
 def _drawn_pairs(queries: DataFrame, joint: DataFrame, c0: np.ndarray, c1: np.ndarray, n: int, seed: int, stage: str) -> DataFrame:

@@ -165,6 +165,22 @@ def top_k_unseen(queries: DataFrame, items: DataFrame, seen: DataFrame, k: int,
     return top_k(q, items, k, scorer)
 
 
+def score_unseen(queries: DataFrame, items: DataFrame, seen: DataFrame, scorer: str = "inner") -> DataFrame:
+    """``score_all`` without the rows (query_id, item_id) of ``seen``, which are left out where they are scored: they travel as
+    lists with their queries, and no score is written to be taken away again."""
+    lists = seen.groupBy("query_id").agg(F.collect_set(F.col("item_id").cast("long")).alias("seen"))
+    q = queries.join(lists, "query_id", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<bigint>")))
+
+    def unseen(q: pa.Table, ids: np.ndarray, scores: np.ndarray, _: np.ndarray) -> pa.Table:
+        own, keep = np.asarray(q["query_id"].combine_chunks()), np.ones(scores.shape, bool)
+        for row, hidden in enumerate(q["seen"].to_pylist() if scores.size else []):
+            keep[row, np.isin(ids, hidden)] = False
+        row, col = np.nonzero(keep)
+        return pa.table({"query_id": own[row], "item_id": ids[col], "score": scores[row, col]})
+
+    return by_blocks(q, items, unseen, "query_id long, item_id long, score double", scorer)
+
+
 def exclude_seen(scores: DataFrame, seen: DataFrame) -> DataFrame:
     return scores.join(seen.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
 

@@ -62,7 +62,7 @@ def t3_top_k_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j6_exclude_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.exclude_seen(R.score_all(query_vectors(spark, sf_dir), vectors(spark, sf_dir)), seen_rows(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
+    return R.score_unseen(query_vectors(spark, sf_dir), vectors(spark, sf_dir), seen_rows(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
 
 
 def target_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,6 +127,14 @@ def n10_index_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(N.index_proposal(query_vectors(spark, sf_dir), w, c0, c1), "prob", digits=9)
 
 
+def n10_asked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proposal's probabilities of each query's two next items only."""
+    w, c0, c1 = _weighted(spark, sf_dir, "pop")
+    q = query_vectors(spark, sf_dir)
+    near = q.select("query_id", F.explode(F.array(F.col("query_id") + 1, F.col("query_id") + 2)).alias("item_id"))
+    return _rounded(N.index_proposal(q, w, c0, c1, near), "prob", digits=9)
+
+
 def n11_sample_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(N.sample_sphere(query_vectors(spark, sf_dir), vectors(spark, sf_dir), DRAWS), "log_q")
 
@@ -173,7 +181,7 @@ def n2_positive_log_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, "log_q")
 
 
-QUERIES = {f.__name__: f for f in (w12_popularity_cdf, n1_sample_uniform, n2_sample_popular, n2_positive_log_q, n3_kmeans, n3_kmeans_step, n4_build_codebooks, n5_build_index, n6_joint_weights, w13_cluster_cdf, n7_sample_index_uniform, n8_sample_index_weighted, n9_index_log_q, n10_index_proposal, n11_sample_sphere, n12_rff_features, n13_sample_rff, n14_sample_sphere_approx, n15_sample_rff_approx, n16_sample_hard, n17_sample_resampled)}
+QUERIES = {f.__name__: f for f in (w12_popularity_cdf, n1_sample_uniform, n2_sample_popular, n2_positive_log_q, n3_kmeans, n3_kmeans_step, n4_build_codebooks, n5_build_index, n6_joint_weights, w13_cluster_cdf, n7_sample_index_uniform, n8_sample_index_weighted, n9_index_log_q, n10_index_proposal, n10_asked_pairs, n11_sample_sphere, n12_rff_features, n13_sample_rff, n14_sample_sphere_approx, n15_sample_rff_approx, n16_sample_hard, n17_sample_resampled)}
 
 _DIST = lambda a, b: f"(list_dot_product({a}, {a}) + list_dot_product({b}, {b}) - 2 * list_dot_product({a}, {b}))"
 CODES = f"""{VECTORS}, hv AS (SELECT item_id, label, vec, vec[1:32] AS v0, vec[33:64] AS v1 FROM vecs), ce AS (SELECT (item_id - 1)::int AS k, v0 AS c0, v1 AS c1 FROM hv WHERE item_id <= 8),
@@ -239,6 +247,7 @@ ORACLE_SQL = {
     "w13_cluster_cdf": f"WITH {CODES}, c AS (SELECT item_id, k0, k1, w_pop, sum(w_pop) OVER (PARTITION BY k0, k1 ORDER BY item_id) AS r, sum(w_pop) OVER (PARTITION BY k0, k1) AS t FROM wt) SELECT item_id, k0, k1, round((r - w_pop) / t, 9) AS lo, round(r / t, 9) AS cdf FROM c",
     "n9_index_log_q": f"WITH {CODES}, {_PS}, nr AS (SELECT query_id, unnest([query_id, query_id + 1, query_id + 2]) AS item_id FROM qs), b AS (SELECT nr.query_id, nr.item_id, s, w_pop FROM nr JOIN wt USING (item_id) JOIN ps ON ps.query_id = nr.query_id AND ps.k0 = wt.k0 AND ps.k1 = wt.k1) SELECT query_id, item_id, round(s, 6) AS log_q, 'even' AS form FROM b UNION ALL SELECT query_id, item_id, round(s + ln(w_pop), 6), 'weighted' FROM b UNION ALL SELECT query_id, 0, 0.0, unnest(['even', 'weighted']) FROM qs",
     "n10_index_proposal": f"WITH {CODES}, {_PS}, e AS (SELECT query_id, item_id, w_pop * exp(s) AS x FROM ps JOIN wt USING (k0, k1)) SELECT query_id, item_id, round(x / sum(x) OVER (PARTITION BY query_id), 9) AS prob FROM e",
+    "n10_asked_pairs": f"WITH {CODES}, {_PS}, e AS (SELECT query_id, item_id, w_pop * exp(s) AS x FROM ps JOIN wt USING (k0, k1)), p AS (SELECT query_id, item_id, round(x / sum(x) OVER (PARTITION BY query_id), 9) AS prob FROM e) SELECT * FROM p WHERE item_id - query_id IN (1, 2)",
     "n12_rff_features": f"WITH {VECTORS}, {_W4} SELECT item_id, len(f)::int AS width, list_transform(f, lambda x: round(x, 6) + 0.0::double) AS vec FROM fv",
     "n14_sample_sphere_approx": f"WITH {VECTORS}, {UNI(5)} SELECT query_id, draw, item_id, round(ln(100.0::double * score * score + 1), 6) AS log_q FROM us",
     "n16_sample_hard": f"WITH {VECTORS}, {UNI(10)}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, draw)::int AS draw, item_id FROM us) SELECT query_id, draw, item_id, 0.0::double AS log_q FROM r WHERE draw <= 5",

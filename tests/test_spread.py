@@ -83,3 +83,20 @@ def test_kcore_against_a_plain_one(spark, monkeypatch, few):
         got = interact.kcore(df, a, b)
         assert got.columns == df.columns
         assert sorted(((r["user_id"], r["item_id"]) for r in got.collect()), key=repr) == sorted(left, key=repr)
+
+
+def test_heavy_tokens_are_encoded_like_others(spark, monkeypatch):
+    monkeypatch.setattr(ids, "HOT", 50)
+    monkeypatch.setattr(ids, "HEAVY", 1 / 20)
+    rng = random.Random(3)
+    tokens = ["the"] * 300 + ["of"] * 60 + [f"t{rng.randrange(200)}" for _ in range(200)] + [None, "unknown", ""]
+    rng.shuffle(tokens)
+    df = spark.createDataFrame(list(enumerate(tokens)), "pos long, token string").repartition(5)
+    vocab = ids.frequency_vocab(df.where("token <> 'unknown' AND token IS NOT NULL"), ["pos"])
+    number = {r["token"]: r["id"] for r in vocab.collect()}
+    for v in (vocab, vocab.drop("freq")):
+        got = {r["pos"]: r["token"] for r in ids.encode_tokens(df, v, ["token"]).collect()}
+        assert got == {i: number.get(t, 0) for i, t in enumerate(tokens)}
+    rows = spark.createDataFrame([(i, tokens[i : i + 9]) for i in range(0, 500, 9)] + [(1000, []), (1001, None)], "k long, words array<string>")
+    got = {r["k"]: r["words"] for r in ids.encode_tokens(rows, vocab, ["words"], ["k"]).collect()}
+    assert got[1000] == got[1001] == [] and all(got[i] == [number.get(t, 0) for t in tokens[i : i + 9]] for i in range(0, 500, 9))
