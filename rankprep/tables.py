@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,12 +25,31 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/rankprep-{uuid.uuid4().hex}"
 
 
+#: What has been saved within each open ``scratch``.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes, at its end, all tables saved within it that are not released yet. What is wanted of a query must be written
+    or collected by then, as results are read from saved tables."""
+    own: list[DataFrame] = []
+    _OPEN.append(own)
+    try:
+        yield
+    finally:
+        _OPEN.remove(own)
+        release(*own)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: later steps don't depend on lost executors."""
     path = new_path(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._saved_at = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 

@@ -100,3 +100,18 @@ def test_heavy_tokens_are_encoded_like_others(spark, monkeypatch):
     rows = spark.createDataFrame([(i, tokens[i : i + 9]) for i in range(0, 500, 9)] + [(1000, []), (1001, None)], "k long, words array<string>")
     got = {r["k"]: r["words"] for r in ids.encode_tokens(rows, vocab, ["words"], ["k"]).collect()}
     assert got[1000] == got[1001] == [] and all(got[i] == [number.get(t, 0) for t in tokens[i : i + 9]] for i in range(0, 500, 9))
+
+
+def test_scratch_deletes_what_was_saved_within(spark):
+    import os
+
+    from rankprep.tables import saved, scratch
+
+    with scratch():
+        outer = saved(spark.range(3))
+        with scratch():
+            inner = saved(outer.where("id > 0"))
+            assert inner.count() == 2
+        assert not os.path.exists(inner._saved_at) and outer.count() == 3
+    assert not os.path.exists(outer._saved_at)
+    assert os.path.exists(saved(spark.range(1))._saved_at)
