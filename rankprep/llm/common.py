@@ -6,8 +6,6 @@ on the slice and on its longest single text, not on the partition.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,42 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ids import with_row_number
+from ..tables import release, saved, shared_dir  # noqa: F401
 
 SLICE = 1 << 20
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 
 
-# ---- tables that cut the lineage -------------------------------------------------------------------------------------
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, on one machine only, a new temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-rankprep-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: later steps don't depend on lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/rankprep-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved_at = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Deletes saved tables that nothing reads any more: what was made of them has been saved itself."""
-    for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table._saved_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+# ---- tables and columns ----------------------------------------------------------------------------------------------
 
 
 def free_name(columns: list[str], name: str) -> str:
