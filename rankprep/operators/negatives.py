@@ -261,12 +261,13 @@ def sample_resampled(queries: DataFrame, items: DataFrame, n_items: int, n: int,
     return found.select("query_id", "draw", "item_id", F.lit(0.0).alias("log_q"))
 
 
-def positive_log_q(positives: DataFrame, sampler: str, cdf: DataFrame | None = None, scored: DataFrame | None = None, n: int = 1, alpha: float = 100.0, correct_pos: bool = False) -> DataFrame:
+def positive_log_q(positives: DataFrame, sampler: str, cdf: DataFrame | None = None, queries: DataFrame | None = None, items: DataFrame | None = None, n: int = 1, alpha: float = 100.0, correct_pos: bool = False) -> DataFrame:
     """Rows (query_id, item_id) with the log-weight that the sampler's proposal gives them.
 
     Even draws have the constant 1, popular ones ln p (the pad's p is 1), hard and resampled ones 0. The exact kernel
-    samplers leave positives at 0; ``correct_pos`` gives them ln(n p) from ``scored`` (query_id, item_id, score of all
-    items). Of the index samplers see ``index_log_q``.
+    samplers leave positives at 0; ``correct_pos`` gives them ln(n p), from the scores of these rows alone and the weight
+    of all items, which the sampling tree of ``items`` tells (for ``rff`` both sides are Fourier features). Of the index
+    samplers see ``index_log_q``.
     """
     if sampler == "uniform":
         return positives.withColumn("log_q", F.lit(1.0))
@@ -274,10 +275,12 @@ def positive_log_q(positives: DataFrame, sampler: str, cdf: DataFrame | None = N
         p = cdf.select("item_id", "prob")
         return positives.join(p, "item_id", "left").withColumn("log_q", F.coalesce(F.log("prob"), F.lit(0.0))).drop("prob")
     if sampler in ("sphere", "rff") and correct_pos:
+        kernel = sampling_tree.Sphere(alpha) if sampler == "sphere" else sampling_tree.Clamped(1e-8)
+        totals = sampling_tree.total_weights(queries, sampling_tree.build(items, kernel))
         score = F.col("score")
-        kernel = F.lit(alpha) * score * score + 1.0 if sampler == "sphere" else F.greatest(score, F.lit(1e-8))
-        share = scored.select("query_id", "item_id", kernel.alias("_w")).withColumn("_z", F.sum("_w").over(Window.partitionBy("query_id")))
-        return positives.join(share, ["query_id", "item_id"]).withColumn("log_q", F.log(F.lit(n) * F.col("_w") / F.col("_z"))).drop("_w", "_z")
+        weight = F.lit(alpha) * score * score + 1.0 if sampler == "sphere" else F.greatest(score, F.lit(1e-8))
+        scored = candidate_scores(positives, queries, items).join(totals, "query_id")
+        return scored.withColumn("log_q", F.log(F.lit(n) * weight / F.col("total"))).drop("score", "total")
     return positives.withColumn("log_q", F.lit(0.0))
 
 

@@ -231,12 +231,7 @@ def sample(queries: DataFrame, tree: Tree, n: int, seed: int, stage: str) -> Dat
         return spark.createDataFrame([], OUT)
     rows = q.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("u", uniform(seed, stage, "query_id", "draw"))
     asked = q.join(rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("draw", "u"))).alias("d")), "query_id")
-    unknown: dict[int, DataFrame] = {}
-    if tree.bottom and isinstance(tree.kernel, Clamped):
-        unknown = _weighed(q, tree)
-        if unknown:
-            own = unknown[tree.bottom].groupBy("query_id").agg(F.collect_list(F.struct("child", "mass")).alias("own"))
-            asked = asked.join(own, "query_id", "left")
+    asked, unknown = _with_known(asked, q, tree)
     shared = spark.sparkContext.broadcast(tree.memory)
     plain = Tree(tree.kernel, tree.top, {}, {})
     plain.bottom = tree.bottom
@@ -261,6 +256,34 @@ def sample(queries: DataFrame, tree: Tree, n: int, seed: int, stage: str) -> Dat
     return _met(tree, 0, saved(frontier), None, _leaf(tree.kernel, n), OUT) if tree.bottom else frontier
 
 
+def _with_known(asked: DataFrame, queries: DataFrame, tree: Tree) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """``asked`` with own, the weights below memory that features don't tell, where there are any; and those further down."""
+    unknown = _weighed(queries, tree) if tree.bottom and isinstance(tree.kernel, Clamped) else {}
+    if unknown:
+        own = unknown[tree.bottom].groupBy("query_id").agg(F.collect_list(F.struct("child", "mass")).alias("own"))
+        asked = asked.join(own, "query_id", "left")
+    return asked, unknown
+
+
+def total_weights(queries: DataFrame, tree: Tree) -> DataFrame:
+    """(query_id, total): the weight of all items together, from the root's features; none for an empty catalogue."""
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"))
+    if not tree.top:
+        return q.select("query_id", F.lit(0.0).alias("total"))
+    asked, _ = _with_known(q, q, tree)
+    shared, kernel, top = queries.sparkSession.sparkContext.broadcast(tree.memory), tree.kernel, tree.top
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            x = retrieval._matrix(part["vec"])
+            if len(x):
+                m = _node_masses(kernel, shared.value, top, 0, x, np.arange(len(x)), _known(part))
+                yield pa.RecordBatch.from_pydict({"query_id": part["query_id"].combine_chunks(), "total": m.sum(1)})
+
+    return asked.mapInArrow(run, "query_id long, total double")
+
+
 def _unpacked(part: pa.Table, *fields: str) -> tuple[np.ndarray, ...]:
     """Ids and vectors of the queries; of their draws the row and the fields."""
     d = part["d"].combine_chunks()

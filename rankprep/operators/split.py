@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import uniform
@@ -125,9 +125,10 @@ def assign_batches(df: DataFrame, size: int, keys: list[str], shuffle: bool = Fa
 
 def assign_length_buckets(df: DataFrame, size: int, length: str, keys: list[str], shuffle: bool = False, drop_last: bool = False, seed: int = 42) -> DataFrame:
     """Batches of rows of about one length: in order of length, if shuffled within random groups of 10 batches each."""
-    if shuffle:
-        df = with_row_number(df, [uniform(seed, "bucket", *keys), *keys], "_rank").withColumn("_group", F.floor(F.col("_rank") / (10 * size)))
-        rows = with_row_number(df, ["_group", length, *keys], "_row").drop("_rank", "_group")
+    if shuffle:  # a group has 10 batches, so its order is a window
+        ranked = with_row_number(df, [uniform(seed, "bucket", *keys), *keys], "_rank").withColumn("_group", F.floor(F.col("_rank") / (10 * size)))
+        place = F.row_number().over(Window.partitionBy("_group").orderBy(length, *keys)) - 1
+        rows = ranked.withColumn("_row", F.col("_group") * 10 * size + place).drop("_rank", "_group")
     else:
         rows = with_row_number(df, [length, *keys], "_row")
     return _batches(rows, df.count(), size, drop_last).drop("_row")

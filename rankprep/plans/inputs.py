@@ -89,7 +89,7 @@ VECTORS = "vecs AS (SELECT vec_id + 1 AS item_id, embedding::double[] AS vec, la
 
 
 def sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, labels, features, zero-based: the lengths of a document's first words and their counts; and what labels
+    """doc_id, labels, features, zero-based: the lengths of a document's words and their counts; and what labels
     it has (language, quality, toxicity)."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     size = F.array_sort(F.transform(F.filter(F.split("text", r"\s+"), lambda x: x != ""), lambda x: F.least(F.length(x), F.lit(40))))

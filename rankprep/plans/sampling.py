@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..operators import codebook as C
 from ..operators import negatives as N
-from ..operators import retrieval as R
 from .inputs import VECTORS, query_vectors, uniform_sql, vectors
 from .retrieval import CDF, frequencies
 
@@ -173,7 +172,7 @@ def n2_positive_log_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, v = query_vectors(spark, sf_dir), vectors(spark, sf_dir)
     near = q.select("query_id", F.explode(F.array(F.col("query_id") + 1, F.col("query_id") + 2)).alias("item_id")).join(v.select("item_id"), "item_id", "left_semi")
     cdf = N.popularity_cdf(frequencies(spark, sf_dir), 2)
-    parts = [N.positive_log_q(near, "uniform"), N.positive_log_q(near, "popular", cdf), N.positive_log_q(near, "hard"), N.positive_log_q(near, "sphere", scored=R.score_all(q, v), n=DRAWS, correct_pos=True)]
+    parts = [N.positive_log_q(near, "uniform"), N.positive_log_q(near, "popular", cdf), N.positive_log_q(near, "hard"), N.positive_log_q(near, "sphere", queries=q, items=v, n=DRAWS, correct_pos=True)]
     out = None
     for form, part in zip(("uniform", "popular", "hard", "sphere"), parts, strict=True):
         part = part.select("query_id", "item_id", "log_q", F.lit(form).alias("form"))

@@ -373,12 +373,13 @@ def test_flags(spark):
     rows = split.leave_n_out(user(spark, 5), ["ts"])
     assert [sorted(r["item_id"] for r in sequence.train_items(rows, ["ts"], f).collect()) for f in (False, True)] == [["b", "c"], ["a", "b", "c"]]
     pos = spark.createDataFrame([(1, 1), (1, 0)], "query_id long, item_id long")
-    scored = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.0), (1, 0, 0.0)], "query_id long, item_id long, score double")
+    q, items = vectors(spark, [[1.0]], 1, "query_id"), vectors(spark, [[0.0], [1.0], [0.0]], 0)
     value = lambda *a, **k: {r["item_id"]: r["log_q"] for r in negatives.positive_log_q(pos, *a, **k).collect()}
     assert value("uniform") == {1: 1.0, 0: 1.0} and value("hard") == {1: 0.0, 0: 0.0} and value("sphere") == {1: 0.0, 0: 0.0}
     cdf = spark.createDataFrame([(1, 0.25)], "item_id long, prob double")
     assert value("popular", cdf) == {1: math.log(0.25), 0: 0.0}
-    assert value("sphere", scored=scored, n=2, correct_pos=True)[1] == pytest.approx(math.log(2 * 101 / 103))
+    assert value("sphere", queries=q, items=items, n=2, correct_pos=True) == pytest.approx({1: math.log(2 * 101 / 103), 0: math.log(2 / 103)})
+    assert value("rff", queries=q, items=items, n=2, correct_pos=True) == pytest.approx({1: math.log(2 / (1 + 2e-8)), 0: math.log(2e-8 / (1 + 2e-8))})
 
 
 def test_places_within_groups_of_any_size(spark):
@@ -433,6 +434,8 @@ def test_large_catalogues_are_dealt_out(spark, monkeypatch):
     seen = spark.createDataFrame([(q, i) for q in range(40) for i in rng.integers(1, 91, 3).tolist()], "query_id long, item_id long")
     rows = spark.createDataFrame([(1, [(1, 2.0), (500, 1.0)]), (2, [(500, 1.0)]), (3, []), (4, [(3, 1.0), (3, 0.5), (90, -1.0)])], "doc_id long, features array<struct<idx:int,val:double>>")
 
+    many = spark.createDataFrame([(i, [(int(k), float(v)) for k, v in zip(rng.integers(0, 95, 30), rng.integers(-3, 4, 30))]) for i in range(60)], "doc_id long, features array<struct<idx:int,val:double>>")
+
     def results():
         yield retrieval.top_k(queries, items, 7)
         yield retrieval.top_k(queries, items, 200, "cosine")
@@ -440,6 +443,7 @@ def test_large_catalogues_are_dealt_out(spark, monkeypatch):
         yield retrieval.target_rank(queries, items, pad_candidate=True)
         yield retrieval.catalogue_log_sum_exp(queries, items)
         yield sparse.feature_bag(rows, items, "doc_id")
+        yield sparse.feature_bag(many, items, "doc_id")
 
     def told():
         flat = lambda v: tuple(round(x, 8) for x in v) if isinstance(v, list) else round(v, 8) if isinstance(v, float) else v
@@ -449,6 +453,8 @@ def test_large_catalogues_are_dealt_out(spark, monkeypatch):
     assert all(near)
     monkeypatch.setattr(retrieval, "BROADCAST", -1)
     monkeypatch.setattr(retrieval.by_blocks, "__defaults__", ("inner", 32))
+    monkeypatch.setattr(sparse, "BLOCK", 100)
+    monkeypatch.setattr(sparse, "ROWS", 40)
     far = told()
     assert far == near
 
@@ -482,6 +488,10 @@ def test_kernel_draws_are_the_same_in_memory_and_by_joins(spark, monkeypatch, ke
     assert tree.top == tree.bottom == 3 and len(tree.memory[3]) == 1
     far = told(drawn())
     assert far == near and len(near) == 180
+    if kernel == "signed":
+        for least in (0.05, -9.0):
+            got = {r["query_id"]: r["total"] for r in sampling_tree.total_weights(queries, sampling_tree.build(items, sampling_tree.Clamped(least, **shape))).collect()}
+            assert [got[i] for i in range(30)] == pytest.approx(np.maximum(q @ x.T, least).sum(1).tolist())
     if kernel != "rff":
         w = 100 * (q @ x.T) ** 2 + 1 if kernel == "sphere" else np.maximum(q @ x.T, 0.05)
         u = {(r["query_id"], r["draw"]): r["u"] for r in negatives.draws(queries, 6, 42, kernel if kernel == "sphere" else "rff").collect()}
