@@ -23,7 +23,7 @@ SCALE = 1_000_000_000
 #: Sources of a block and terms of a block: a cell holds at most 2 * 32 * 8192 counts.
 GROUPS, TERMS = 32, 8192
 #: Distinct terms that a task gathers before it sends them on.
-HELD = 400_000
+HELD = 800_000
 #: Groups (lang, source) up to which their sums are broadcast.
 FEW_GROUPS = 50_000
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -41,11 +41,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     def sent(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, found) in held.items():
-            terms = list(n)
-            for a in range(0, len(terms), 50_000):
-                part = terms[a : a + 50_000]
-                names = pa.array(part, pa.binary()).cast(pa.string())
-                yield as_batch({"lang": pa.array([lang] * len(part), pa.string()), "source": pa.array([source] * len(part), pa.string()), "term": names, "n": [n[t] for t in part], "docs": [found[t] for t in part]}, target)
+            terms = pa.array(n.keys(), pa.binary(), size=len(n)).cast(pa.string())
+            counts, docs_ = np.fromiter(n.values(), np.int64, len(n)), np.fromiter(map(found.__getitem__, n), np.int64, len(n))
+            for a in range(0, len(n), 50_000):
+                part = terms.slice(a, 50_000)
+                yield as_batch({"lang": pa.array([lang] * len(part), pa.string()), "source": pa.array([source] * len(part), pa.string()), "term": part, "n": counts[a : a + 50_000], "docs": docs_[a : a + 50_000]}, target)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -55,10 +55,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
             texts = batch.column(2).cast(pa.large_binary())
             for lang, source, text in zip(langs, sources, texts, strict=True):
                 n, found = held.setdefault((lang, source), (Counter(), Counter()))
-                own = Counter(_TERM.findall(text.as_py().lower()))
+                terms = _TERM.findall(text.as_py().lower())
                 size -= len(n)
-                n.update(own)
-                found.update(own.keys())
+                n.update(terms)
+                found.update(set(terms))
                 size += len(n)
                 if size > HELD:
                     yield from sent(held)
