@@ -321,6 +321,16 @@ def test_licenses_are_all_found(spark):
         ("Licensed under CC BY-ND 4.0. Licensed under CC BY-NC-SA 4.0.", [("CC-BY-ND-4.0", 0), ("CC-BY-NC-SA-4.0", 0)]),
         (" ".join(t for own in license_scan.TEMPLATES.values() for t in own), [(n, 0) for n, own in license_scan.TEMPLATES.items() for _ in own]),
         ("x " * 200_000 + mit + " y" * 200_000, [("MIT", 0)]),
+        ("Apache License 2.0", [("Apache-2.0", 0)]),
+        ("// SPDX-License-Identifier: MIT", [("MIT", 0)]),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", [("GPL-2.0", 0)]),
+        ("Licensed under GPLv3.", [("GPL-3.0", 0)]),
+        ("Under GPL v4, released under the GPL-4.0", []),
+        ("ALL\nRIGHTS\nRESERVED", [("proprietary", 0)]),
+        ("licensed under the MIT license - see LICENSE", [("MIT", 0)]),
+        ("licensed under the GNU General Public License v2", [("GPL-2.0", 0)]),
+        ("the MIT people have a license, and the BSD has none", []),
+        ("MIT License\n\nCopyright (c) me\n\n" + license_scan.NOTICES["MIT"][2].replace(". ", ".\n\n"), [("MIT", 0), ("MIT", 4)]),
     ]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {i: [] for i in range(len(cases))}
@@ -330,6 +340,30 @@ def test_licenses_are_all_found(spark):
     assert got == {i: want for i, (_, want) in enumerate(cases)}
 
 
+def test_licenses_against_all_alignments():
+    """Ranked by bytes saved, the notices of a text are those that a scan of every stretch of its words confirms."""
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.9)
+    rng, filler = np.random.default_rng(4), "la porte del norte und haus birds river not stone".split()
+    for _ in range(60):
+        picked = [scanner.wordings[i] for i in rng.integers(len(scanner.wordings), size=3)]
+        text = " ".join(" ".join([*rng.choice(filler, rng.integers(8, 12)), wording]) for _, wording in picked)
+        words = license_scan._plain(license_scan._WORD.findall(text.lower().encode()))
+        stretches = [(len(want), i, p) for i, want in enumerate(scanner.words) for p in range(len(words)) if words[p : p + len(want)] == want]
+        taken, plain = set(), []
+        for size, i, p in sorted(stretches, key=lambda x: (-x[0], x[2])):
+            if not taken & set(range(p, p + size)):
+                taken |= set(range(p, p + size))
+                plain.append((p, scanner.wordings[i][0]))
+        assert [h["license"] for h in scanner.notices(text.encode())] == [name for _, name in sorted(plain)], text
+
+
+def test_licenses_with_clashing_columns(spark):
+    rows = [(1, "All rights reserved.", "a", 2), (1, "All rights reserved.", "a", 2), (None, "Apache License 2.0", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, license string, line int")
+    got = sorted((r["doc_id"] or 0, r["license"], r["line"]) for r in license_scan.scan_licenses(df).collect())
+    assert got == [(0, "Apache-2.0", 0), (1, "proprietary", 0), (1, "proprietary", 0)]
+
+
 # ---- 5: embeddings ---------------------------------------------------------------------------------------------------
 
 
