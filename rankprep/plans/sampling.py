@@ -49,7 +49,7 @@ def fixed_centers(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, np.ndar
 
 
 #: Rounds of the loops, all of them told in SQL; a negative tolerance lets none stop before.
-ROUNDS, HALF_ROUNDS = 20, 10
+ROUNDS, HALF_ROUNDS, SEED_ROUNDS = 20, 10, 3
 
 
 def n3_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,19 @@ def n3_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("loss", F.lit(round(loss, 4)))
 
 
+def n3_bounded_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As n3_kmeans, with rows that keep distance bounds from round to round."""
+    _, found, loss = C.kmeans(vectors(spark, sf_dir), 10, max_iter=ROUNDS, tol=-1.0, bounds=True)
+    return found.withColumn("loss", F.lit(round(loss, 4)))
+
+
+def n3_parallel_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate centers drawn by distance in SEED_ROUNDS rounds, and how many vectors are nearest to each."""
+    ids, _, drawn, weights = C.parallel_seeds(vectors(spark, sf_dir), 10, SEED_ROUNDS)
+    rows = [(int(i), int(n), int(w)) for i, n, w in zip(ids, drawn, weights, strict=True)]
+    return spark.createDataFrame(rows, "item_id long, round int, weight long")
+
+
 def n3_kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums and sizes of one round from the first K vectors' first halves."""
     c0, _ = fixed_centers(spark, sf_dir)
@@ -180,7 +193,7 @@ def n2_positive_log_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, "log_q")
 
 
-QUERIES = {f.__name__: f for f in (w12_popularity_cdf, n1_sample_uniform, n2_sample_popular, n2_positive_log_q, n3_kmeans, n3_kmeans_step, n4_build_codebooks, n5_build_index, n6_joint_weights, w13_cluster_cdf, n7_sample_index_uniform, n8_sample_index_weighted, n9_index_log_q, n10_index_proposal, n10_asked_pairs, n11_sample_sphere, n12_rff_features, n13_sample_rff, n14_sample_sphere_approx, n15_sample_rff_approx, n16_sample_hard, n17_sample_resampled)}
+QUERIES = {f.__name__: f for f in (w12_popularity_cdf, n1_sample_uniform, n2_sample_popular, n2_positive_log_q, n3_kmeans, n3_bounded_kmeans, n3_parallel_seeds, n3_kmeans_step, n4_build_codebooks, n5_build_index, n6_joint_weights, w13_cluster_cdf, n7_sample_index_uniform, n8_sample_index_weighted, n9_index_log_q, n10_index_proposal, n10_asked_pairs, n11_sample_sphere, n12_rff_features, n13_sample_rff, n14_sample_sphere_approx, n15_sample_rff_approx, n16_sample_hard, n17_sample_resampled)}
 
 _DIST = lambda a, b: f"(list_dot_product({a}, {a}) + list_dot_product({b}, {b}) - 2 * list_dot_product({a}, {b}))"
 CODES = f"""{VECTORS}, hv AS (SELECT item_id, label, vec, vec[1:32] AS v0, vec[33:64] AS v1 FROM vecs), ce AS (SELECT (item_id - 1)::int AS k, v0 AS c0, v1 AS c1 FROM hv WHERE item_id <= 8),
@@ -228,7 +241,17 @@ def _rounds(source: str, k: int, seed: int, name: str, rounds: int) -> str:
     return ", ".join(parts)
 
 
+def _seed_rounds(k: int, seed: int, rounds: int) -> str:
+    """Tables s0 to s<rounds> of the candidates so far, each drawn by the distances to those before."""
+    parts = [f"s0 AS (SELECT item_id, vec, 0 AS round FROM (SELECT item_id, vec FROM vecs ORDER BY {uniform_sql(seed, 'seed0', 'item_id::varchar')}, item_id LIMIT 1))"]
+    for n in range(1, rounds + 1):
+        parts.append(f"n{n} AS (SELECT v.item_id, v.vec, min(list_distance(v.vec, s.vec) ** 2) AS d FROM vecs v CROSS JOIN s{n - 1} s GROUP BY v.item_id, v.vec)")
+        parts.append(f"s{n} AS (SELECT * FROM s{n - 1} UNION ALL SELECT item_id, vec, {n} FROM n{n} WHERE {uniform_sql(seed, f'seed{n}', 'item_id::varchar')} * (SELECT sum(d) FROM n{n}) < {2.0 * k} * d)")
+    return ", ".join(parts)
+
+
 ORACLE_SQL = {
+    "n3_parallel_seeds": f"WITH {VECTORS}, {_seed_rounds(10, 42, SEED_ROUNDS)}, ow AS (SELECT v.item_id AS v, arg_min(s.item_id, (list_distance(v.vec, s.vec), s.item_id)) AS item_id FROM vecs v CROSS JOIN s{SEED_ROUNDS} s GROUP BY 1) SELECT s.item_id, s.round::int AS round, count(ow.v) AS weight FROM s{SEED_ROUNDS} s LEFT JOIN ow USING (item_id) GROUP BY ALL",
     "n3_kmeans": f"WITH {VECTORS}, {_rounds('vecs', 10, 42, 'km', ROUNDS)} SELECT item_id, k AS cluster, (SELECT round(sum(greatest(d, 0.0)), 4) FROM km_a) AS loss FROM km_a",
     "n4_build_codebooks": f"WITH {VECTORS}, ha AS (SELECT item_id, vec[1:32] AS vec FROM vecs), hb AS (SELECT item_id, vec[33:64] AS vec FROM vecs), {_rounds('ha', K, 42, 'ka', HALF_ROUNDS)}, {_rounds('hb', K, 43, 'kb', HALF_ROUNDS)} SELECT item_id, ka_a.k AS k0, kb_a.k AS k1 FROM ka_a JOIN kb_a USING (item_id)",
     "n2_positive_log_q": f"WITH {VECTORS}, {CDF}, nr AS (SELECT query_id, unnest([query_id + 1, query_id + 2]) AS item_id FROM qs), ne AS (SELECT nr.* FROM nr JOIN vecs USING (item_id)), kw AS (SELECT query_id, v.item_id, 100.0::double * list_dot_product(q.vec, v.vec) * list_dot_product(q.vec, v.vec) + 1 AS w FROM qs q CROSS JOIN vecs v), kz AS (SELECT *, sum(w) OVER (PARTITION BY query_id) AS z FROM kw) SELECT query_id, item_id, 1.0::double AS log_q, 'uniform' AS form FROM ne UNION ALL SELECT query_id, item_id, 0.0, 'hard' FROM ne UNION ALL SELECT ne.query_id, ne.item_id, coalesce(round(ln(prob), 6), 0.0), 'popular' FROM ne LEFT JOIN pc ON pc.item_id = ne.item_id UNION ALL SELECT query_id, item_id, round(ln(5 * w / z), 6), 'sphere' FROM ne JOIN kz USING (query_id, item_id)",
@@ -252,3 +275,4 @@ ORACLE_SQL = {
     "n16_sample_hard": f"WITH {VECTORS}, {UNI(10)}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, draw)::int AS draw, item_id FROM us) SELECT query_id, draw, item_id, 0.0::double AS log_q FROM r WHERE draw <= 5",
     "n17_sample_resampled": f"WITH {VECTORS}, {UNI(10)}, h AS (SELECT query_id, draw, item_id, sum(exp(score)) OVER (PARTITION BY query_id ORDER BY draw) / sum(exp(score)) OVER (PARTITION BY query_id) AS hi FROM us), dr AS (SELECT query_id, d::int AS draw, {uniform_sql(42, 'resample', 'query_id::varchar', 'd::varchar')} AS u FROM qs, range(1, 6) t(d)) SELECT dr.query_id, dr.draw, h.item_id, 0.0::double AS log_q FROM dr ASOF JOIN h ON dr.query_id = h.query_id AND dr.u < h.hi",
 }
+ORACLE_SQL["n3_bounded_kmeans"] = ORACLE_SQL["n3_kmeans"]

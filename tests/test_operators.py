@@ -338,6 +338,47 @@ def test_kmeans(spark):
     assert all(near[i].argmin() == c for i, c in rows.items()) and loss == pytest.approx(near.min(1).sum())
 
 
+def clustered(seed=1, groups=30, each=40, dims=8):
+    rng = np.random.default_rng(seed)
+    return np.concatenate([rng.normal(c, 0.3, (each, dims)) for c in rng.normal(0, 4, (groups, dims))])
+
+
+def test_kmeans_with_bounds_is_the_plain_one(spark):
+    for x, k in ((clustered(), 30), (np.random.default_rng(2).normal(size=(600, 4)), 12), (np.repeat(np.eye(3), 20, 0), 5), (np.ones((7, 2)), 1)):
+        df = vectors(spark, x)
+        plain, bounded = (codebook.kmeans(df, k, max_iter=5, tol=-1.0, seed=5, bounds=b) for b in (False, True))
+        assert np.allclose(plain[0], bounded[0]) and plain[2] == pytest.approx(bounded[2])
+        assert sorted(map(tuple, plain[1].collect())) == sorted(map(tuple, bounded[1].collect()))
+    empty = vectors(spark, clustered()).where("item_id < 0")
+    assert codebook.kmeans(empty, 3, centers=np.eye(3), bounds=True, max_iter=2)[1].count() == 0
+
+
+def test_bounds_spare_most_distances(spark):
+    rows, centers = codebook.unbounded(vectors(spark, clustered())), clustered()[::40].copy()
+    moves, asked = np.zeros(len(centers)), []
+    for _ in range(4):
+        rows = codebook.bounded_round(rows, centers, moves)
+        asked.append(rows.where("asked").count())
+        old, (centers, _, _) = centers, codebook.lloyd_step(rows, centers)
+        moves = np.sqrt(((centers - old) ** 2).sum(1))
+    assert asked[0] == 1200 and max(asked[2:]) < 120
+
+
+def test_parallel_seeds(spark):
+    x = clustered()
+    ids, candidates, rounds, weights = codebook.parallel_seeds(vectors(spark, x), 30, seed=3)
+    again = codebook.parallel_seeds(vectors(spark, x).repartition(5), 30, seed=3)
+    assert np.array_equal(ids, again[0]) and np.array_equal(weights, again[3])
+    assert np.array_equal(candidates, x[ids - 1]) and weights.sum() == len(x) and set(rounds) == {0, 1, 2, 3}
+    seeds = codebook.spread_seeds(candidates, weights, 30, seed=3)
+    assert len({int(np.flatnonzero((x == s).all(1))[0]) // 40 for s in seeds}) >= 27  # nearly every group has one
+    losses = {s: codebook.kmeans(vectors(spark, x), 30, seed=3, seeding=s)[2] for s in ("rows", "spread")}
+    assert losses["spread"] < losses["rows"]
+    same = codebook.parallel_seeds(vectors(spark, np.ones((5, 2))), 3)
+    assert len(same[0]) == 1 and same[3].tolist() == [5] and len(codebook.spread_seeds(same[1], same[3], 3)) == 1
+    assert len(codebook.parallel_seeds(vectors(spark, x).where("item_id < 0"), 3)[0]) == 0
+
+
 def test_hard_and_resampled(spark):
     x = np.eye(6)
     q = vectors(spark, [[5.0, 4, 3, 2, 1, 0]], 1, "query_id")
