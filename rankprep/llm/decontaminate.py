@@ -102,7 +102,7 @@ class SizeClass:
 
 @dataclass
 class Index:
-    ids: list[int]
+    ids: list[int | None]
     tokens: list[np.ndarray]
     rate: float
     classes: list[SizeClass]
@@ -115,6 +115,14 @@ class Index:
         return self.vocabulary[(tokens >> U64(shift)).astype(np.int64)]
 
 
+def _grams(tokens: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each position on."""
+    key = np.zeros(max(0, len(tokens) - n + 1), U64)
+    for j in range(n):
+        key = mix(key + tokens[j : j + len(key)])
+    return key
+
+
 def _edited(tokens: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
     out = tokens.tolist()
     for _ in range(edits):
@@ -128,7 +136,7 @@ def _edited(tokens: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndar
     return np.array(out, U64)
 
 
-def build_index(items: list[tuple[int, str]], rate: float = 0.2, min_words: int = 5, recall: float = 0.99, seed: int = 5) -> Index:
+def build_index(items: list[tuple[int | None, str]], rate: float = 0.2, min_words: int = 5, recall: float = 0.99, seed: int = 5) -> Index:
     """Hash tables of one block of items. Repetitions are added until edited copies of the items are found.
 
     The trial copies have as many random edits as are allowed, the hardest case, and each walk begins at the copy's
@@ -189,7 +197,25 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(begin[end]), end
 
 
-def search(index: Index, tokens: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+def search_short(index: Index, tokens: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """As ``search``, the first exact place of each item of too few words for a window."""
+    out = []
+    by_size: dict[int, list[tuple[int, ...]]] = {}
+    for own in index.short:
+        by_size.setdefault(len(own), []).append(own)
+    for n, some in by_size.items():
+        known = np.unique(_grams(np.array([t for own in some for t in own], U64), n)[::n])
+        key = _grams(tokens, n)
+        p = np.flatnonzero(np.isin(key, known))
+        row = np.searchsorted(at, p, "right") - 1
+        _, first = np.unique(np.stack([row.astype(U64), key[p]]), axis=1, return_index=True)
+        for k in np.sort(first).tolist():
+            x = int(p[k] - at[row[k]])
+            out += [(int(row[k]), i, 0, x, x + n) for i in index.short.get(tuple(tokens[p[k] : p[k] + n].tolist()), ())]
+    return out
+
+
+def search(index: Index, tokens: np.ndarray, at: np.ndarray, short_inside: bool = True) -> list[tuple[int, int, int, int, int]]:
     """(row, item, edits, first word, end word) of the best passage for each row and item that is near enough."""
     hits: dict[tuple[int, int], list[int]] = {}
     rows = len(at) - 1
@@ -208,8 +234,8 @@ def search(index: Index, tokens: np.ndarray, at: np.ndarray) -> list[tuple[int,
             p = start[which[place]]
             for row, i, x in zip((np.searchsorted(at, p, "right") - 1).tolist(), item.tolist(), p.tolist(), strict=True):
                 hits.setdefault((row, i), []).append(x)
-    out = []
-    if index.short:
+    out = search_short(index, tokens, at) if short_inside and index.short else []
+    if index.short and not short_inside:
         for row in np.flatnonzero(np.diff(at) <= index.min_words).tolist():
             own = tokens[at[row] : at[row + 1] - 1]
             out += [(row, i, 0, 0, len(own)) for i in index.short.get(tuple(own.tolist()), ())]
@@ -234,15 +260,17 @@ def search(index: Index, tokens: np.ndarray, at: np.ndarray) -> list[tuple[int,
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min_words: int = 5, recall: float = 0.99) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min_words: int = 5, recall: float = 0.99, short_inside: bool = True) -> DataFrame:
     """(doc_id, item_id, item_words, edits, first_word, end_word) for each document and item it holds a copy of.
 
     A copy is a stretch of the document's words (lower-cased, without punctuation) whose word edit distance to the whole
     item is at most ``rate`` of the item's words; the best one is given, the first of equals. Items of fewer than
-    ``min_words`` words, which stand by chance in any prose, are found where they are a document's only words; null and
-    empty items are not searched for. The search is by hashing and aims at ``recall``, and warns where trial copies are
-    found less often; nothing is reported that the edit distance doesn't confirm. Very long texts are searched whole. Null and empty texts hold nothing; repeated rows of
-    documents or items are reported for each; empty tables give an empty result.
+    ``min_words`` words are found word for word, at their first place; ``item_words`` tells them apart, as they stand by
+    chance in any prose. Without ``short_inside`` they are found only where they are a document's only words. Null and
+    empty items are not searched for; an item without an id is told with a null one. The search is by hashing and aims at
+    ``recall``, and warns where trial copies are found less often; nothing is reported that the edit distance doesn't
+    confirm. Very long texts are searched whole. Null and empty texts hold nothing; repeated rows of documents or items are
+    reported for each; further columns are not looked at; empty tables give an empty result.
     """
     result = None
     for shared in _indexes(benchmark, rate, min_words, recall):
@@ -250,7 +278,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min_w
         def find(batch: pa.RecordBatch, shared=shared) -> Iterator[dict]:
             index = shared.value
             for a, b, data, offsets in text_slices(batch):
-                found = search(index, *_tokens(data, offsets))
+                found = search(index, *_tokens(data, offsets), short_inside)
                 if found:
                     row, item, edits, first, end = zip(*found, strict=True)
                     yield {"doc_id": batch.column(0).slice(a, b - a).take(pa.array(row)), "item_id": [index.ids[i] for i in item], "item_words": [len(index.tokens[i]) for i in item], "edits": list(edits), "first_word": list(first), "end_word": list(end)}
@@ -260,8 +288,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min_w
     return result
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min_words: int = 5, recall: float = 0.99) -> DataFrame:
-    """``docs`` without the rows that hold a copy of an item, as ``contaminated`` finds them. Nothing is shuffled."""
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min_words: int = 5, recall: float = 0.99, short_inside: bool = False) -> DataFrame:
+    """``docs`` without the rows that hold a copy of an item, as ``contaminated`` finds them. Nothing is shuffled.
+
+    Short items inside a text don't drop it unless ``short_inside`` says so: an item of one common word would drop all.
+    """
     place = docs.columns.index("text")
     for shared in _indexes(benchmark, rate, min_words, recall):
 
@@ -269,7 +300,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for a, _, data, offsets in text_slices(batch, batch.schema.names[place]):
-                    for row, *_ in search(shared.value, *_tokens(data, offsets)):
+                    for row, *_ in search(shared.value, *_tokens(data, offsets), short_inside):
                         keep[a + row] = False
                 yield batch.filter(pa.array(keep))
 
@@ -283,7 +314,7 @@ def _indexes(benchmark: DataFrame, rate: float, min_words: int, recall: float) -
     blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        index = build_index(sorted((r["item_id"] or 0, r["text"]) for r in rows), rate, min_words, recall)
+        index = build_index(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])), rate, min_words, recall)
         for c in index.classes:
             if c.recall < recall:
                 warnings.warn(f"items of {c.low} words and more: {c.recall:.3f} of edited copies found, not {recall}", stacklevel=2)

@@ -125,9 +125,9 @@ def test_decontamination(spark):
 
 
 def test_decontamination_against_all_pairs(spark):
-    """Every item against every text by edit distance alone; items of few words only where they are the whole text."""
+    """Every item against every text by edit distance alone; items of few words wherever they stand, or as whole texts."""
     rng = random.Random(14)
-    items = [(i, prose(rng, rng.randrange(5, 30), 300)) for i in range(15)] + [(50, "Yes no."), (51, "yes NO")]
+    items = [(i, prose(rng, rng.randrange(5, 30), 300)) for i in range(15)] + [(50, "Yes no."), (51, "yes NO"), (None, "w3"), (52, "w4 w2 w1")]
     rows = []
     for d in range(80):
         w = prose(rng, rng.randrange(1, 120), 300).split()
@@ -141,15 +141,19 @@ def test_decontamination_against_all_pairs(spark):
         rows.append((d, " ".join(w)))
     rows += [(200, "yes, no!"), (201, "well yes no"), (202, prose(rng, 20_000, 300) + " " + items[4][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("edits", F.lit(1)).withColumn("item_id", F.lit(2))
-    found = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    want = {}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.contaminated(df, bench).collect()}
+    want, alone = {}, set()
     tokens = lambda t: decontaminate._tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0][:-1]
     for d, t in rows:
         for i, text in items:
             own = tokens(text)
             if len(own) < 5:
-                if np.array_equal(own, tokens(t)):
+                all_words = tokens(t)
+                if any(np.array_equal(own, all_words[a : a + len(own)]) for a in range(len(all_words))):
                     want[d, i] = 0
+                if np.array_equal(own, all_words):
+                    alone.add((d, i))
                 continue
             cost = decontaminate.best_match(own, tokens(t))[0]
             if cost <= decontaminate.allowed_edits(len(own), 0.2):
@@ -157,6 +161,20 @@ def test_decontamination_against_all_pairs(spark):
     assert {(200, 50), (200, 51)} <= set(want) and len(want) > 30
     assert set(found) <= set(want) and all(found[k] == want[k] for k in found)
     assert len(found) >= 0.97 * len(want) and {(200, 50), (200, 51), (202, 4)} <= set(found)
+    short = {50, 51, 52, None}
+    assert {k for k in found if k[1] in short} == {k for k in want if k[1] in short} and (201, 50) in found
+    whole = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench, short_inside=False).collect()}
+    assert {k for k in whole if k[1] in short} == {k for k in alone if k[1] in short}
+    assert {k for k in whole if k[1] not in short} == {k for k in found if k[1] not in short}
+
+
+def test_short_items(spark):
+    items = [(1, "zebra quantum pickle"), (2, "Zebra"), (None, "quantum pickle bar baz of"), (None, "bar")]
+    texts = [(1, "foo zebra quantum pickle bar baz, zebra"), (2, "quantum"), (3, "zebra quantum"), (4, "pickle of zebra\nquantum pickle")]
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"] or -1, r["item_words"], r["first_word"], r["end_word"]) for r in decontaminate.contaminated(df, bench).collect()))
+    assert got == [(1, -1, 1, 4, 5), (1, -1, 5, 2, 6), (1, 1, 3, 1, 4), (1, 2, 1, 1, 2), (3, 2, 1, 0, 1), (4, 1, 3, 2, 5), (4, 2, 1, 2, 3)]
+    assert sorted(r["doc_id"] for r in decontaminate.without_contaminated(df, bench).collect()) == [2, 3, 4]
 
 
 def test_best_match_is_the_edit_distance():
