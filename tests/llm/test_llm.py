@@ -208,6 +208,24 @@ def test_byte_dedup(spark, docs, rows, length, bucket_rows):
     assert got == brute.byte_dedup(kept, length)
 
 
+def test_planted_passages_of_400_bytes(spark, tmp_path):
+    """All holders lose a passage that repeats, the first one too; passages of over 50 words but under 400 bytes stay."""
+    rng = random.Random(5)
+    texts = [prose(rng, 200, 10**6) for _ in range(30)]
+    long, short = prose(rng, 120, 10**6), prose(rng, 55, 10**6)
+    assert len(short) < 390 and len(long) >= 400
+    for i in (3, 11, 20):
+        texts[i] = f"{texts[i][:300]} {long} {texts[i][300:]}"
+    for i in (6, 20, 25):
+        texts[i] = f"{texts[i]} {short}"
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["op2_suffix_dedup"](spark, str(tmp_path)).collect())
+    assert got == brute.byte_dedup(rows, 400)
+    assert {r[0] for r in got if r[2]} == {3, 11, 20}
+    assert all(len(long) <= r[2] <= len(long) + 10 and r[3] == 1 for r in got if r[2])
+
+
 def test_byte_dedup_odd_tables(spark, docs):
     got = suffix_dedup.remove_repeats(odd(spark), 10).collect()
     assert sorted((r["doc_id"] or 0, r["n_removed"], r["n_spans"]) for r in got) == [(0, 15, 1), (1, 15, 1), (1, 15, 1), (2, 0, 0), (3, 0, 0)]
