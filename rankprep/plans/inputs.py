@@ -88,6 +88,10 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTORS = "vecs AS (SELECT vec_id + 1 AS item_id, embedding::double[] AS vec, label FROM embeddings), qs AS (SELECT item_id AS query_id, vec, label FROM vecs)"
 
 
+#: Between words, as the SQL takes it: a vertical tab is none.
+SPACES = r"[ \t\n\f\r]+"
+
+
 def sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, labels, features, zero-based: the lengths of a document's words and their counts; and what labels
     it has (language, quality, toxicity)."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import sources as S
 from ..tables import new_path
-from .inputs import INTER, SPARSE, TRIPLES, interactions, sparse_rows, table, triples
+from .inputs import INTER, SPACES, SPARSE, TRIPLES, interactions, sparse_rows, table, triples
 
 _SPECS = ["user_id:token", "item_id:token", "rating:float", "timestamp:float"]
 
@@ -20,14 +20,17 @@ def _delimited(spark: SparkSession, sf_dir: str, sep: str, header: bool) -> str:
 
 
 def s1_field_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A schema with a sequence field, applied to products: a name and the words of its type."""
+    """A schema with a sequence field, applied to products: a name and the words of its type. Nulls have a sign, so empty fields
+    stay empty; no word has a space."""
     path = new_path(spark)
-    table(spark, sf_dir, "documents").select("doc_id", "source", F.array_join(F.split("text", r"\s+"), "~").alias("words")).write.csv(path, sep="\t", quote="", header=True)
+    form = {"sep": "\t", "quote": '"', "escape": '"', "header": True, "nullValue": "\\N \\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table(spark, sf_dir, "documents").select("doc_id", "source", F.array_join(F.split("text", SPACES), "~").alias("words")).write.csv(path, **form)
     schema, separators = S.field_schema(["doc_id:token", "source:token", 'words:token_seq:"~"'])
-    rows = spark.read.csv(path, schema="doc_id string, source string, words string", sep="\t", quote="", header=True)
+    rows = spark.read.csv(path, schema="doc_id string, source string, words string", **form)
     from ..operators.interact import split_sequence
 
-    return split_sequence(rows, "words", separators["words"]).select(*[F.col(f.name).cast(f.dataType) for f in schema])
+    rows = split_sequence(rows.withColumn("known", F.col("words").isNotNull()), "words", separators["words"]).withColumn("words", F.when(F.col("known"), F.col("words")))
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in schema])
 
 
 def s2_read_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
