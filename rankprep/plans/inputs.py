@@ -96,7 +96,7 @@ def sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, labels, features, zero-based: the lengths of a document's words and their counts; and what labels
     it has (language, quality, toxicity)."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    size = F.array_sort(F.transform(F.filter(F.split("text", r"\s+"), lambda x: x != ""), lambda x: F.least(F.length(x), F.lit(40))))
+    size = F.array_sort(F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), SPACES), lambda x: x != ""), lambda x: F.least(F.length(x), F.lit(40))))
     features = F.transform(F.array_distinct(size), lambda n: F.struct(n.cast("int").alias("idx"), F.size(F.filter(size, lambda y: y == n)).cast("double").alias("val")))
     labels = F.filter(F.array(F.when(F.col("quality") == 1, 0), F.when(F.col("quality") == 0, 1), F.when(F.col("toxic") == 1, 2)), lambda x: x.isNotNull())
     return docs.select("doc_id", labels.alias("labels"), features.alias("features"))

@@ -112,11 +112,12 @@ def read_corpus(spark: SparkSession, path: str, skip_first_char: bool = True) ->
 def read_sparse_multilabel(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows (row, labels, features) of ``l1,l2 f:v f:v`` lines, zero-based, and the header (samples, features, labels).
 
-    A line that begins with a space has no label. ``row`` is the 0-based number of the row, in the order of files and lines.
+    A line that begins with a space has no label, and one of a space alone no feature either; an empty line is no row. ``row``
+    is the 0-based number of the row, in the order of files and lines.
     """
     is_header = F.col("value").rlike(r"^\s*\d+\s+\d+\s+\d+\s*$")
     text = spark.read.text(path)
-    lines = text.where(~is_header & (F.trim("value") != "")).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = text.where(~is_header & (F.col("value") != "")).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     lines = lines.withColumn("_id", F.monotonically_increasing_id())  # in order within a part of a file
     counted = lines.groupBy("file", "block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     start = F.coalesce(F.sum("_n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each part
