@@ -89,7 +89,7 @@ def s6_header_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder with a train and a test file, whose headers agree, read as one data set."""
     path = new_path(spark)
     for name, test in (("train.txt", False), ("test.txt", True)):
-        rows = sparse_rows(spark, sf_dir).where((F.col("doc_id") % 5 == 0) == test)
+        rows = sparse_rows(spark, sf_dir).where(F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False)) == test)
         _lines(spark, rows, rows.count()).write.text(f"{path}/{name}")
     rows, headers = S.read_sparse_dataset(spark, path)
     counted = rows.groupBy("split").agg(F.count("*").alias("n_rows"), F.sum(F.size("labels")).alias("n_labels"), F.min("row").alias("first"), F.max("row").alias("last"))

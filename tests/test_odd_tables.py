@@ -22,7 +22,7 @@ def odd(spark, tmp_path_factory):
     return at, con
 
 
-@pytest.mark.parametrize("name", ["s1_field_schema", "s5_read_sparse_multilabel", "s6_check_header", "p10_shift_for_pad"])
+@pytest.mark.parametrize("name", ["s1_field_schema", "s5_read_sparse_multilabel", "s6_check_header", "s6_header_agreement", "p10_shift_for_pad"])
 def test_documents_without_words(spark, odd, name):
     at, con = odd
     df = plans.QUERIES[name](spark, at)
