@@ -10,7 +10,7 @@ from ..operators import metrics as M
 from ..operators import negatives as N
 from ..operators import retrieval as R
 from .inputs import VECTORS, query_vectors, vectors
-from .retrieval import TOP, _SC, target_rows
+from .retrieval import TOP, _SC, targets
 from .sampling import UNI
 
 
@@ -65,8 +65,8 @@ def m1_rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    targets = target_rows(spark, sf_dir)
-    return R.mark_hits(R.top_k(query_vectors(spark, sf_dir), vectors(spark, sf_dir), 50), targets), targets
+    told = targets(spark, sf_dir)
+    return R.mark_group_hits(R.top_k(query_vectors(spark, sf_dir), vectors(spark, sf_dir), 50), *told), R.group_targets(*told)
 
 
 def m2_precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
