@@ -81,3 +81,16 @@ def test_queries_are_not_written_for_each_block(spark, what):
     out, trips = {"top_k": lambda: pruned.top_k(queries, blocks, 10), "top_k_unseen": lambda: pruned.top_k(queries, blocks, 10, own), "target_rank": lambda: pruned.target_rank(queries, blocks, items)}[what]()
     assert out.count() >= 400 and trips.agg(F.avg("n_visited")).first()[0] > 40
     assert written(spark) - before < 400_000
+
+
+def test_link_prediction_meets_vectors_once(spark, monkeypatch):
+    """Ids are told apart before any vector is met."""
+    from conftest import SMALL
+    from rankprep.plans import graphs
+
+    seen = []
+    look = graphs.G.lookup_vectors
+    monkeypatch.setattr(graphs.G, "lookup_vectors", lambda df, v, *a: seen.append(df) or look(df, v, *a))
+    graphs.kg_link_prediction(spark, SMALL)
+    ids = ["head_id", "relation_id", "tail_id"]
+    assert seen[0].columns == ids and seen[0].count() == seen[0].distinct().count()
